@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
 from .language_id import op7_language_id
+from .quality_crf import op1_quality
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op7_language_id": op7_language_id,
+    "op8_bpe": op8_bpe,
 }
 
+#: None of these can be said in SQL: they rest on fitted models or on merge tables.
 ORACLES: dict[str, str] = {}
