@@ -19,6 +19,7 @@ from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 from operator import add
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import add_columns, table
+from .words import segments, separators, spread, string_bytes
 
 #: Chunks remembered in each of two generations, and the longest one that is remembered.
 MEMORY = 250_000
@@ -180,9 +182,8 @@ class ForcedBoundaryBPE:
         return bytes(self.byte_of[ch] for i in ids for ch in self.tokens[i]).decode("utf-8", "replace")
 
 
-def chunks(text: str) -> list[str]:
-    """A text cut at white space bytes that no vocabulary token of a white-space-free model holds."""
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+#: White space bytes; no vocabulary token of a model without white space holds one, so each is a certain cut.
+BLANKS = separators([9, 10, 13, 32])
 
 
 def pack(ids: list[int]) -> bytes:
@@ -191,17 +192,23 @@ def pack(ids: list[int]) -> bytes:
 
 
 def word_chunk_encoder(bpe: ForcedBoundaryBPE) -> Memory:
-    """Chunk to (ids as little-endian 32-bit integers, decoded text or None); for models without white space."""
+    """Chunk to (ids as little-endian 32-bit integers, a blank and the decoded text); for models without white space."""
     if any(bpe.letters[32] in pair for pair in bpe.joint):
         raise ValueError("the vocabulary has tokens with a space inside; its texts can't be cut at spaces")
 
-    def encode(chunk: str) -> tuple[bytes, str | None]:
+    def encode(chunk: str) -> tuple[bytes, bytes]:
         ids = bpe.encode_chunk(chunk)
-        return pack(ids), bpe.decode(ids) if ids else None
+        return pack(ids), f" {bpe.decode(ids)}".encode() if ids else b""
 
     return Memory(encode)
 
 
+def flat(parts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
+    """All parts as one array, and their sizes in items."""
+    item = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(parts), kind), np.fromiter((len(p) // item for p in parts), np.int64, len(parts))
+
+
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with n_tokens and the digests of the ids and of the decoded text, for a model without white space."""
 
@@ -209,14 +216,22 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         known = word_chunk_encoder(ForcedBoundaryBPE(path))
 
         def run(texts: pa.Array) -> list[pa.Array]:
-            n, ids_of, text_of = [], [], []
-            for t in texts.to_pylist():
-                got = list(map(known.__getitem__, chunks(t or "")))
-                ids = b"".join([g[0] for g in got])
-                n.append(len(ids) // 4)
-                ids_of.append(hashlib.sha256(ids).hexdigest())
-                text_of.append(hashlib.sha256(" ".join([g[1] for g in got if g[1] is not None]).encode()).hexdigest())
-            return [pa.array(n, pa.int64()), pa.array(ids_of, pa.string()), pa.array(text_of, pa.string())]
+            n = np.zeros(len(texts), np.int64)
+            ids_of, text_of = ([hashlib.sha256() for _ in range(len(texts))] for _ in range(2))
+            for s in segments(*string_bytes(texts), BLANKS):
+                chunks, which = s.distinct()
+                got = [known[c] for c in chunks]
+                ids, id_ends = spread(*flat([g[0] for g in got], "<u4"), which)
+                out, out_ends = spread(*flat([g[1] for g in got], np.uint8), which)
+                docs, at = np.unique(s.doc, return_index=True)
+                for d, i, j in zip(docs.tolist(), at.tolist(), [*at[1:].tolist(), len(s.doc)]):
+                    a, z = (id_ends[i - 1] if i else 0), id_ends[j - 1]
+                    ids_of[d].update(ids[a:z])
+                    x, y = (out_ends[i - 1] if i else 0), out_ends[j - 1]
+                    if z > a:  # each chunk's text begins with a blank, which the first one of a document lacks
+                        text_of[d].update(out[x + (n[d] == 0) : y])
+                    n[d] += z - a
+            return [pa.array(n), pa.array([h.hexdigest() for h in ids_of], pa.string()), pa.array([h.hexdigest() for h in text_of], pa.string())]
 
         return run
 
