@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .language_id import op7_language_id
+from .packing import op5_packing
 from .quality_crf import op1_quality
+from .token_count import op10_token_count
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op5_packing": op5_packing,
     "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
+    "op10_token_count": op10_token_count,
 }
 
 #: None of these can be said in SQL: they rest on fitted models or on merge tables.
