@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .language_id import op7_language_id
+from .near_dup import op4_near_dup
 from .packing import op5_packing
+from .pii import op6_pii
 from .quality_crf import op1_quality
 from .token_count import op10_token_count
+from .url_filter import op9_url_filter
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op4_near_dup": op4_near_dup,
     "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
+    "op9_url_filter": op9_url_filter,
     "op10_token_count": op10_token_count,
 }
 
