@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .embedding_dup import op3_embedding_dup
 from .language_id import op7_language_id
+from .media_copies import op2_media_copies
 from .near_dup import op4_near_dup
 from .packing import op5_packing
 from .pii import op6_pii
@@ -13,6 +15,8 @@ from .url_filter import op9_url_filter
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_media_copies": op2_media_copies,
+    "op3_embedding_dup": op3_embedding_dup,
     "op4_near_dup": op4_near_dup,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
