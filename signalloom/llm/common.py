@@ -6,6 +6,7 @@ kernels get texts in packs of a fixed number of characters.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -110,17 +111,19 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def truncate_lineage(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; only where that is unset, as in tests, a new local one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        where = spark.sparkContext.getCheckpointDir()
+    if where is None:
+        where = tempfile.mkdtemp(prefix="checkpoints-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(where)
+    return where
 
-    The folder comes from spark.checkpoint.dir; only where that is unset is a local one set, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(where)
+
+def truncate_lineage(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
