@@ -307,43 +307,43 @@ _CHUNKS = f"{EVENTS}, c AS (SELECT stream_id, CAST(pos // 7 AS BIGINT) AS seq, c
 _SPOILED = f"{BLOCKS}, d AS (SELECT vec_id, pos, CASE WHEN pos = 3 AND vec_id % 5 = 0 THEN 'nan'::DOUBLE WHEN pos = 7 AND vec_id % 7 = 0 THEN 'inf'::DOUBLE WHEN pos = 9 AND vec_id % 11 = 0 THEN '-inf'::DOUBLE ELSE x * {GAIN} END AS x FROM b)"
 
 ORACLES: dict[str, str] = {
-    "vad_windows": f'WITH {WINDOWS} SELECT stream_id, win, t0 AS start, t1 AS "end", round(p, 6) AS probability, speech AS is_speech FROM v',
+    "vad_windows": f'WITH {WINDOWS} SELECT stream_id, win, t0 AS start, t1 AS "end", round(p, 6) + 0 AS probability, speech AS is_speech FROM v',
     "vad_segments": f'WITH {WINDOWS}, g AS (SELECT *, CASE WHEN t0 - lag(t1) OVER o <= {HOLDOFF} THEN 0 ELSE 1 END AS fresh FROM v WHERE speech WINDOW o AS (PARTITION BY stream_id ORDER BY win)), k AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY stream_id ORDER BY win ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS seg FROM g) SELECT stream_id, seg, min(t0) AS start, max(t1) AS "end" FROM k GROUP BY 1, 2',
-    "speaking_state": f'WITH {STATES} SELECT stream_id, seq, t1 AS "end", round(p, 6) AS score, speaking AS is_speaking FROM st',
+    "speaking_state": f'WITH {STATES} SELECT stream_id, seq, t1 AS "end", round(p, 6) + 0 AS score, speaking AS is_speaking FROM st',
     "speech_events": f"WITH {STATES}, c AS (SELECT *, coalesce(lag(speaking) OVER (PARTITION BY stream_id ORDER BY seq), false) AS before FROM st) SELECT stream_id, seq, CASE WHEN speaking THEN 'speech' ELSE 'silence' END AS event FROM c WHERE speaking <> before",
-    "chunk_scores": f"WITH {WINDOWS} SELECT stream_id, win // 3 AS seq, round(max(p), 6) AS score, max(p) >= {LEVEL} AS is_speech FROM w GROUP BY 1, 2",
-    "rebatch_fixed": f"WITH {EVENTS} SELECT stream_id, pos // 10 AS seq, count(*) AS n, round(arg_min(x, pos), 6) AS first, round(arg_max(x, pos), 6) AS last, round(sum(x), 6) AS total FROM s GROUP BY 1, 2",
+    "chunk_scores": f"WITH {WINDOWS} SELECT stream_id, win // 3 AS seq, round(max(p), 6) + 0 AS score, max(p) >= {LEVEL} AS is_speech FROM w GROUP BY 1, 2",
+    "rebatch_fixed": f"WITH {EVENTS} SELECT stream_id, pos // 10 AS seq, count(*) AS n, round(arg_min(x, pos), 6) + 0 AS first, round(arg_max(x, pos), 6) + 0 AS last, round(sum(x), 6) + 0 AS total FROM s GROUP BY 1, 2",
     "chunk_positions": f'WITH {_CHUNKS} SELECT stream_id, seq, frames, row_number() OVER o - 1 AS sequence, (sum(frames) OVER o - frames) / {RATE} AS start, sum(frames) OVER o / {RATE} AS "end" FROM c WINDOW o AS (PARTITION BY stream_id ORDER BY seq)',
-    "overlap_frames": f"WITH {EVENTS}, f AS (SELECT stream_id, pos // 8 + k AS frame, pos - (pos // 8 + k - 1) * 8 AS pos_at, x FROM s, (SELECT unnest([0, 1]) AS k)) SELECT stream_id, frame, count(*) AS n, min(pos_at) AS first_at, round(sum(x * pos_at), 6) AS weighted FROM f GROUP BY 1, 2",
-    "context_carry": f"WITH {EVENTS}, w AS (SELECT stream_id, pos // {SIZE} AS win, list(x ORDER BY pos) AS d FROM s GROUP BY 1, 2 HAVING count(*) = {SIZE}) SELECT stream_id, win, round(coalesce(lag(d[7]) OVER o, 0), 6) AS c0, round(coalesce(lag(d[8]) OVER o, 0), 6) AS c1, round(d[1], 6) AS x0 FROM w WINDOW o AS (PARTITION BY stream_id ORDER BY win)",
+    "overlap_frames": f"WITH {EVENTS}, f AS (SELECT stream_id, pos // 8 + k AS frame, pos - (pos // 8 + k - 1) * 8 AS pos_at, x FROM s, (SELECT unnest([0, 1]) AS k)) SELECT stream_id, frame, count(*) AS n, min(pos_at) AS first_at, round(sum(x * pos_at), 6) + 0 AS weighted FROM f GROUP BY 1, 2",
+    "context_carry": f"WITH {EVENTS}, w AS (SELECT stream_id, pos // {SIZE} AS win, list(x ORDER BY pos) AS d FROM s GROUP BY 1, 2 HAVING count(*) = {SIZE}) SELECT stream_id, win, round(coalesce(lag(d[7]) OVER o, 0), 6) + 0 AS c0, round(coalesce(lag(d[8]) OVER o, 0), 6) + 0 AS c1, round(d[1], 6) + 0 AS x0 FROM w WINDOW o AS (PARTITION BY stream_id ORDER BY win)",
     "overrun_drop": f"WITH {EVENTS} SELECT stream_id, count(*) FILTER (WHERE pos < 20) AS kept, count(*) FILTER (WHERE pos >= 20) AS dropped FROM s GROUP BY 1",
     "ring_evict": f"WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pos DESC) AS k FROM s) SELECT stream_id, min(pos) AS oldest, max(pos) AS newest, count(*) AS n FROM r WHERE k <= 5 GROUP BY 1",
     "record_take": f"WITH {_CHUNKS}, t AS (SELECT *, sum(frames) OVER (PARTITION BY stream_id ORDER BY seq) - frames AS before FROM c) SELECT stream_id, count(*) AS chunks, CAST(sum(frames) AS BIGINT) AS frames FROM t WHERE before < 30 GROUP BY 1",
     "playback_underrun": f"WITH {_QUEUE} SELECT stream_id, ord, wanted - silence AS played, silence AS underrun FROM u",
     "reference_queue": f"WITH {_QUEUE} SELECT stream_id, ord, queued, silence FROM u",
-    "reference_align": f"WITH {EVENTS}, f AS (SELECT stream_id, pos - pos // 3 - 1 AS pos, x AS far FROM s WHERE pos % 3 <> 0) SELECT stream_id, count(*) FILTER (WHERE far IS NULL) AS silence, round(sum(x * coalesce(far, 0)), 6) AS product FROM s LEFT JOIN f USING (stream_id, pos) GROUP BY 1",
+    "reference_align": f"WITH {EVENTS}, f AS (SELECT stream_id, pos - pos // 3 - 1 AS pos, x AS far FROM s WHERE pos % 3 <> 0) SELECT stream_id, count(*) FILTER (WHERE far IS NULL) AS silence, round(sum(x * coalesce(far, 0)), 6) + 0 AS product FROM s LEFT JOIN f USING (stream_id, pos) GROUP BY 1",
     "reference_capped": f"WITH RECURSIVE {_PUSH}, r AS (SELECT stream_id, CAST(-1 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS level, CAST(0 AS BIGINT) AS silence, CAST(0 AS BIGINT) AS dropped FROM p GROUP BY 1 UNION ALL SELECT p.stream_id, p.ord, greatest(0, r.level + least(p.pushed, 12 - r.level) - p.wanted), greatest(0, p.wanted - r.level - least(p.pushed, 12 - r.level)), p.pushed - least(p.pushed, 12 - r.level) FROM r JOIN p ON p.stream_id = r.stream_id AND p.ord = r.ord + 1) SELECT stream_id, CAST(sum(silence) AS BIGINT) AS silence, CAST(sum(dropped) AS BIGINT) AS dropped FROM r WHERE ord >= 0 GROUP BY 1",
-    "rms_subblock": f"WITH {BLOCKS} SELECT vec_id, pos // 16 AS part, round(sqrt(sum(x * x) / 16), 6) AS rms FROM b GROUP BY 1, 2",
-    "downmix": f"WITH {BLOCKS} SELECT vec_id, pos // 4 AS pos, round(sum(x) / 4, 6) AS y FROM b GROUP BY 1, 2",
-    "select_channel": f"WITH {BLOCKS} SELECT vec_id, pos // 4 AS pos, round(x, 6) AS y FROM b WHERE pos % 4 = 2",
-    "channel_map": f"WITH {BLOCKS} SELECT vec_id, pos // 2 * 3 + j AS pos, round(x, 6) AS y FROM b JOIN (SELECT unnest([0, 1, 2]) AS j, unnest([1, 0, 1]) AS c) ON pos % 2 = c",
-    "planar_roundtrip": f"WITH {BLOCKS} SELECT vec_id, pos, round(x, 6) AS y FROM b",
-    "deinterleave": f"WITH {BLOCKS} SELECT vec_id, pos % 2 AS channel, pos // 2 AS pos, round(x, 6) AS y FROM b",
+    "rms_subblock": f"WITH {BLOCKS} SELECT vec_id, pos // 16 AS part, round(sqrt(sum(x * x) / 16), 6) + 0 AS rms FROM b GROUP BY 1, 2",
+    "downmix": f"WITH {BLOCKS} SELECT vec_id, pos // 4 AS pos, round(sum(x) / 4, 6) + 0 AS y FROM b GROUP BY 1, 2",
+    "select_channel": f"WITH {BLOCKS} SELECT vec_id, pos // 4 AS pos, round(x, 6) + 0 AS y FROM b WHERE pos % 4 = 2",
+    "channel_map": f"WITH {BLOCKS} SELECT vec_id, pos // 2 * 3 + j AS pos, round(x, 6) + 0 AS y FROM b JOIN (SELECT unnest([0, 1, 2]) AS j, unnest([1, 0, 1]) AS c) ON pos % 2 = c",
+    "planar_roundtrip": f"WITH {BLOCKS} SELECT vec_id, pos, round(x, 6) + 0 AS y FROM b",
+    "deinterleave": f"WITH {BLOCKS} SELECT vec_id, pos % 2 AS channel, pos // 2 AS pos, round(x, 6) + 0 AS y FROM b",
     "pcm16_encode": f"WITH {BLOCKS} SELECT vec_id, pos, least(32767, CAST(trunc(greatest(-1, least(1, x * {GAIN})) * 32768) AS INTEGER)) AS code FROM b",
     "pcm16_round": f"WITH {BLOCKS} SELECT vec_id, pos, CAST(greatest(-32768, least(32767, floor(greatest(-2, least(2, x * {GAIN})) * 32768 + 0.5))) AS INTEGER) AS code FROM b",
-    "pcm16_decode": f"WITH {BLOCKS} SELECT vec_id, pos, round(least(32767, trunc(greatest(-1, least(1, x)) * 32768)) / 32768, 6) AS y FROM b",
-    "frame_peaks": f"WITH {BLOCKS} SELECT vec_id, pos // 4 AS pos, round(max(abs(x)), 6) AS y FROM b GROUP BY 1, 2",
-    "frame_mean_squares": f"WITH {BLOCKS} SELECT vec_id, pos // 4 AS pos, round(sum(x * x) / 4, 6) AS y FROM b GROUP BY 1, 2",
-    "sanitize_report": f"WITH {_SPOILED} SELECT vec_id, count(*) FILTER (WHERE NOT isfinite(x)) AS non_finite, round(sum(CASE WHEN isfinite(x) THEN x ELSE 0 END), 6) AS total FROM d GROUP BY 1",
-    "clip_report": f"WITH {_SPOILED} SELECT vec_id, count(*) FILTER (WHERE isfinite(x) AND abs(x) > 1) AS clipped_samples, count(*) FILTER (WHERE NOT isfinite(x)) AS non_finite_samples, round(sum(CASE WHEN isnan(x) THEN 0 ELSE greatest(-1, least(1, x)) END), 6) AS total FROM d GROUP BY 1",
+    "pcm16_decode": f"WITH {BLOCKS} SELECT vec_id, pos, round(least(32767, CAST(trunc(greatest(-1, least(1, x)) * 32768) AS INTEGER)) / 32768, 6) + 0 AS y FROM b",
+    "frame_peaks": f"WITH {BLOCKS} SELECT vec_id, pos // 4 AS pos, round(max(abs(x)), 6) + 0 AS y FROM b GROUP BY 1, 2",
+    "frame_mean_squares": f"WITH {BLOCKS} SELECT vec_id, pos // 4 AS pos, round(sum(x * x) / 4, 6) + 0 AS y FROM b GROUP BY 1, 2",
+    "sanitize_report": f"WITH {_SPOILED} SELECT vec_id, count(*) FILTER (WHERE NOT isfinite(x)) AS non_finite, round(sum(CASE WHEN isfinite(x) THEN x ELSE 0 END), 6) + 0 AS total FROM d GROUP BY 1",
+    "clip_report": f"WITH {_SPOILED} SELECT vec_id, count(*) FILTER (WHERE isfinite(x) AND abs(x) > 1) AS clipped_samples, count(*) FILTER (WHERE NOT isfinite(x)) AS non_finite_samples, round(sum(CASE WHEN isnan(x) THEN 0 ELSE greatest(-1, least(1, x)) END), 6) + 0 AS total FROM d GROUP BY 1",
     "save_report": f"WITH {_SPOILED} SELECT vec_id, count(*) FILTER (WHERE isfinite(x) AND abs(x) > 1) AS clipped_samples, count(*) FILTER (WHERE NOT isfinite(x)) AS non_finite_samples FROM d GROUP BY 1",
-    "linear_resample": f"WITH {BLOCKS}, k AS (SELECT CAST(unnest(range(0, 26)) AS INTEGER) AS k) SELECT l.vec_id, k AS pos, round(l.x + (r.x - l.x) * (k * 2.5 - floor(k * 2.5)), 6) AS y FROM k JOIN b l ON l.pos = floor(k * 2.5) JOIN b r ON r.vec_id = l.vec_id AND r.pos = l.pos + 1 WHERE k * 2.5 < 63",
-    "si_sdr": f"WITH {BLOCKS}, j AS (SELECT a.vec_id, a.x AS r, a.x + 0.5 * o.x AS e FROM b a JOIN b o ON o.vec_id = a.vec_id - 1 AND o.pos = a.pos), m AS (SELECT vec_id, covar_pop(e, r) * 64 AS er, var_pop(r) * 64 AS rr, var_pop(e) * 64 AS ee FROM j GROUP BY 1), g AS (SELECT vec_id, pow(er / (rr + 1e-12), 2) * rr AS s, ee - 2 * er / (rr + 1e-12) * er + pow(er / (rr + 1e-12), 2) * rr AS n FROM m) SELECT vec_id, round(10 * log10((s + 1e-12) / (greatest(n, 0) + 1e-12)), 4) AS si_sdr FROM g",
-    "seg_snr": f"WITH {EVENTS}, f AS (SELECT stream_id, pos // 16 AS f, sum(x * x) AS p, sum(pow(x - x * CASE WHEN pos % 2 = 0 THEN 0.9 ELSE 1.2 END, 2)) AS e FROM s GROUP BY 1, 2 HAVING count(*) = 16), t AS (SELECT *, max(p) OVER (PARTITION BY stream_id) AS top FROM f) SELECT stream_id, round(coalesce(avg(greatest(-10, least(35, 10 * log10((p + 1e-10) / (e + 1e-10))))) FILTER (WHERE p > top * 1e-4), 0), 4) AS seg_snr FROM t GROUP BY 1",
-    "dc_block": f"WITH RECURSIVE {EVENTS}, r AS (SELECT stream_id, pos, x, x AS y FROM s WHERE pos = 0 UNION ALL SELECT s.stream_id, s.pos, s.x, s.x - r.x + 0.995::DOUBLE * r.y FROM r JOIN s ON s.stream_id = r.stream_id AND s.pos = r.pos + 1) SELECT stream_id, pos, round(y, 6) AS y FROM r",
-    "highpass": f"WITH RECURSIVE {EVENTS}, w AS (SELECT 2 * pi() * 80 / 16000 AS w), k AS (SELECT (1 + cos(w)) / 2 / (1 + sin(w) / sqrt(2)) AS b0, -2 * cos(w) / (1 + sin(w) / sqrt(2)) AS a1, (1 - sin(w) / sqrt(2)) / (1 + sin(w) / sqrt(2)) AS a2 FROM w), r AS (SELECT stream_id, pos, b0 * x AS y, -2 * b0 * x - a1 * b0 * x AS z1, b0 * x - a2 * b0 * x AS z2 FROM s, k WHERE pos = 0 UNION ALL SELECT s.stream_id, s.pos, b0 * s.x + z1, -2 * b0 * s.x - a1 * (b0 * s.x + z1) + z2, b0 * s.x - a2 * (b0 * s.x + z1) FROM r JOIN s ON s.stream_id = r.stream_id AND s.pos = r.pos + 1, k) SELECT stream_id, pos, round(y, 6) AS y FROM r",
-    "limiter": f"WITH RECURSIVE {EVENTS}, k AS (SELECT pow(10, -1.0 / 20) AS c, 1 - exp(-1 / (0.0005 * 16000)) AS atk, 1 - exp(-1 / (0.05 * 16000)) AS re), d AS (SELECT stream_id, pos, x, c, atk, re, CASE WHEN abs(x) > c THEN c / abs(x) ELSE 1 END AS want FROM s, k), r AS (SELECT stream_id, pos, x, c, 1 + (want - 1) * (CASE WHEN want < 1 THEN atk ELSE re END) AS g FROM d WHERE pos = 0 UNION ALL SELECT d.stream_id, d.pos, d.x, d.c, r.g + (d.want - r.g) * (CASE WHEN d.want < r.g THEN d.atk ELSE d.re END) FROM r JOIN d ON d.stream_id = r.stream_id AND d.pos = r.pos + 1) SELECT stream_id, pos, round(greatest(-c, least(c, x * g)), 6) AS y FROM r",
-    "agc": f"WITH RECURSIVE {EVENTS}, k AS (SELECT pow(10, -18.0 / 20) AS target, pow(10, -50.0 / 20) AS nf, pow(10, 1.5) AS mx, pow(10, -1.5) AS mn, 1 - exp(-1 / (0.4 * 16000)) AS sl, 1 - exp(-1 / (0.01 * 16000)) AS atk, 1 - exp(-1 / (0.02 * 16000)) AS wm, pow(10, 6.0 / 16000 / 20) AS up), r AS (SELECT stream_id, CAST(-1 AS BIGINT) AS pos, 0.0::DOUBLE AS y, 0.0::DOUBLE AS power, 1.0::DOUBLE AS gain, 1600 AS warm, 0 AS hang FROM s GROUP BY 1 UNION ALL SELECT stream_id, pos, y, power, CASE WHEN NOT present THEN gain WHEN want <= gain THEN gain + (want - gain) * atk WHEN warm > 0 THEN gain + (want - gain) * wm ELSE least(gain * up, want) END, CASE WHEN present THEN greatest(0, warm - 1) ELSE warm END, CASE WHEN loud THEN 3200 ELSE greatest(0, hang - 1) END FROM (SELECT *, loud OR hang > 0 AS present, greatest(mn, least(mx, target / sqrt(power))) AS want FROM (SELECT *, sqrt(power) > nf AS loud FROM (SELECT s.stream_id, s.pos, s.x * r.gain AS y, r.power + greatest(sl, 1.0::DOUBLE / (s.pos + 1)) * (s.x * s.x - r.power) AS power, r.gain, r.warm, r.hang, k.* FROM r JOIN s ON s.stream_id = r.stream_id AND s.pos = r.pos + 1, k)))) SELECT stream_id, pos, round(y, 6) AS y FROM r WHERE pos >= 0",
+    "linear_resample": f"WITH {BLOCKS}, k AS (SELECT CAST(unnest(range(0, 26)) AS INTEGER) AS k) SELECT l.vec_id, k AS pos, round(l.x + (r.x - l.x) * (k * 2.5 - floor(k * 2.5)), 6) + 0 AS y FROM k JOIN b l ON l.pos = floor(k * 2.5) JOIN b r ON r.vec_id = l.vec_id AND r.pos = l.pos + 1 WHERE k * 2.5 < 63",
+    "si_sdr": f"WITH {BLOCKS}, j AS (SELECT a.vec_id, a.x AS r, a.x + 0.5 * o.x AS e FROM b a JOIN b o ON o.vec_id = a.vec_id - 1 AND o.pos = a.pos), m AS (SELECT vec_id, covar_pop(e, r) * 64 AS er, var_pop(r) * 64 AS rr, var_pop(e) * 64 AS ee FROM j GROUP BY 1), g AS (SELECT vec_id, pow(er / (rr + 1e-12), 2) * rr AS s, ee - 2 * er / (rr + 1e-12) * er + pow(er / (rr + 1e-12), 2) * rr AS n FROM m) SELECT vec_id, round(10 * log10((s + 1e-12) / (greatest(n, 0) + 1e-12)), 4) + 0 AS si_sdr FROM g",
+    "seg_snr": f"WITH {EVENTS}, f AS (SELECT stream_id, pos // 16 AS f, sum(x * x) AS p, sum(pow(x - x * CASE WHEN pos % 2 = 0 THEN 0.9 ELSE 1.2 END, 2)) AS e FROM s GROUP BY 1, 2 HAVING count(*) = 16), t AS (SELECT *, max(p) OVER (PARTITION BY stream_id) AS top FROM f) SELECT stream_id, round(coalesce(avg(greatest(-10, least(35, 10 * log10((p + 1e-10) / (e + 1e-10))))) FILTER (WHERE p > top * 1e-4), 0), 4) + 0 AS seg_snr FROM t GROUP BY 1",
+    "dc_block": f"WITH RECURSIVE {EVENTS}, r AS (SELECT stream_id, pos, x, x AS y FROM s WHERE pos = 0 UNION ALL SELECT s.stream_id, s.pos, s.x, s.x - r.x + 0.995::DOUBLE * r.y FROM r JOIN s ON s.stream_id = r.stream_id AND s.pos = r.pos + 1) SELECT stream_id, pos, round(y, 6) + 0 AS y FROM r",
+    "highpass": f"WITH RECURSIVE {EVENTS}, w AS (SELECT 2 * pi() * 80 / 16000 AS w), k AS (SELECT (1 + cos(w)) / 2 / (1 + sin(w) / sqrt(2)) AS b0, -2 * cos(w) / (1 + sin(w) / sqrt(2)) AS a1, (1 - sin(w) / sqrt(2)) / (1 + sin(w) / sqrt(2)) AS a2 FROM w), r AS (SELECT stream_id, pos, b0 * x AS y, -2 * b0 * x - a1 * b0 * x AS z1, b0 * x - a2 * b0 * x AS z2 FROM s, k WHERE pos = 0 UNION ALL SELECT s.stream_id, s.pos, b0 * s.x + z1, -2 * b0 * s.x - a1 * (b0 * s.x + z1) + z2, b0 * s.x - a2 * (b0 * s.x + z1) FROM r JOIN s ON s.stream_id = r.stream_id AND s.pos = r.pos + 1, k) SELECT stream_id, pos, round(y, 6) + 0 AS y FROM r",
+    "limiter": f"WITH RECURSIVE {EVENTS}, k AS (SELECT pow(10, -1.0 / 20) AS c, 1 - exp(-1 / (0.0005 * 16000)) AS atk, 1 - exp(-1 / (0.05 * 16000)) AS re), d AS (SELECT stream_id, pos, x, c, atk, re, CASE WHEN abs(x) > c THEN c / abs(x) ELSE 1 END AS want FROM s, k), r AS (SELECT stream_id, pos, x, c, 1 + (want - 1) * (CASE WHEN want < 1 THEN atk ELSE re END) AS g FROM d WHERE pos = 0 UNION ALL SELECT d.stream_id, d.pos, d.x, d.c, r.g + (d.want - r.g) * (CASE WHEN d.want < r.g THEN d.atk ELSE d.re END) FROM r JOIN d ON d.stream_id = r.stream_id AND d.pos = r.pos + 1) SELECT stream_id, pos, round(greatest(-c, least(c, x * g)), 6) + 0 AS y FROM r",
+    "agc": f"WITH RECURSIVE {EVENTS}, k AS (SELECT pow(10, -18.0 / 20) AS target, pow(10, -50.0 / 20) AS nf, pow(10, 1.5) AS mx, pow(10, -1.5) AS mn, 1 - exp(-1 / (0.4 * 16000)) AS sl, 1 - exp(-1 / (0.01 * 16000)) AS atk, 1 - exp(-1 / (0.02 * 16000)) AS wm, pow(10, 6.0 / 16000 / 20) AS up), r AS (SELECT stream_id, CAST(-1 AS BIGINT) AS pos, 0.0::DOUBLE AS y, 0.0::DOUBLE AS power, 1.0::DOUBLE AS gain, 1600 AS warm, 0 AS hang FROM s GROUP BY 1 UNION ALL SELECT stream_id, pos, y, power, CASE WHEN NOT present THEN gain WHEN want <= gain THEN gain + (want - gain) * atk WHEN warm > 0 THEN gain + (want - gain) * wm ELSE least(gain * up, want) END, CASE WHEN present THEN greatest(0, warm - 1) ELSE warm END, CASE WHEN loud THEN 3200 ELSE greatest(0, hang - 1) END FROM (SELECT *, loud OR hang > 0 AS present, greatest(mn, least(mx, target / sqrt(power))) AS want FROM (SELECT *, sqrt(power) > nf AS loud FROM (SELECT s.stream_id, s.pos, s.x * r.gain AS y, r.power + greatest(sl, 1.0::DOUBLE / (s.pos + 1)) * (s.x * s.x - r.power) AS power, r.gain, r.warm, r.hang, k.* FROM r JOIN s ON s.stream_id = r.stream_id AND s.pos = r.pos + 1, k)))) SELECT stream_id, pos, round(y, 6) + 0 AS y FROM r WHERE pos >= 0",
     "device_match": "SELECT CAST(s_suppkey AS INTEGER) AS \"index\", s_name AS name, CASE WHEN s_suppkey % 10 <> 0 THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS id, s_suppkey = 7 AS is_default FROM supplier WHERE contains(lower(s_name), 'supplier#0000000')",
     "format_resolve": "SELECT page_id, '/rec/' || page_id || ['.wav', '.AIFF', '.flac', '.mp3', ''][page_id % 5 + 1] AS path, CASE page_id % 5 WHEN 0 THEN 'wav' WHEN 1 THEN 'aiff' WHEN 2 THEN 'flac' END AS format FROM pages",
 }
