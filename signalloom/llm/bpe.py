@@ -14,8 +14,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 from operator import add
 
@@ -28,34 +28,38 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import add_columns, table
-from .words import segments, separators, spread, string_bytes
+from .words import Segment, segments, separators, spread, string_bytes
 
 #: Chunks remembered in each of two generations, and the longest one that is remembered.
-MEMORY = 250_000
+MEMORY = 500_000
 LONGEST = 64
 #: The pattern of the byte-level pre-tokenizer where its file names none.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OUT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-class Memory(dict):
+class Memory:
     """fn's values by key; two generations of at most `most` keys, so that size is bounded and hot keys stay."""
 
     def __init__(self, fn: Callable, most: int = MEMORY):
-        super().__init__()
-        self.fn, self.most, self.old = fn, most, {}
-
-    def __missing__(self, key: str):
-        value = self.old.get(key)
-        if value is None:
-            value = self.fn(key)
-            if len(key) > LONGEST:
-                return value
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+        self.fn, self.most, self.new, self.old = fn, most, {}, {}
+
+    def many(self, keys: list[bytes]) -> list:
+        """The values of distinct keys."""
+        if len(self.new) + len(keys) > self.most:
+            self.new, self.old = {}, self.new
+        new, old, fn = self.new, self.old.get, self.fn
+        out = list(map(new.get, keys))
+        for i, value in enumerate(out):
+            if value is None:
+                k = keys[i]
+                value = old(k)
+                if value is None:
+                    value = fn(k.decode("utf-8", "surrogatepass"))
+                out[i] = value
+                if len(k) <= LONGEST:
+                    new[k] = value
+        return out
 
 
 def byte_letters() -> list[str]:
@@ -87,6 +91,7 @@ class ForcedBoundaryBPE:
         self.byte_of = {ch: b for b, ch in enumerate(self.letters)}
         self.joint = self._joint_pairs()
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model  # merges a fragment that ends a word, or any if words have no end mark
 
     def _joint_pairs(self) -> frozenset[str]:
         """The byte pairs that occur inside some vocabulary token, in byte letters; any other pair is a forced boundary."""
@@ -96,14 +101,13 @@ class ForcedBoundaryBPE:
             inside.update(map(add, t, t[1:]))
         return frozenset(inside)
 
-    def _merge(self, key: str) -> tuple[int, ...]:
-        """Ids of one fragment in byte letters; a trailing blank marks the end of a word."""
-        parts = list(key)
-        if parts[-1] == " ":
-            parts.pop()
-            parts[-1] += self.suffix
+    def encode_fragment(self, s: str, ends: bool) -> list[int]:
+        """Ids of one fragment in byte letters; `ends`: it ends a word."""
+        if ends or not self.suffix:
+            return [t.id for t in self.model.tokenize(s)]
+        parts = list(s)
         parts = self._merge_short(parts) if len(parts) <= 100 else self._merge_long(parts)
-        return tuple([self.vocab[p] for p in parts])
+        return [self.vocab[p] for p in parts]
 
     def _merge_short(self, parts: list[str]) -> list[str]:
         """Merge the leftmost pair of the lowest rank until none is left; quadratic."""
@@ -141,15 +145,12 @@ class ForcedBoundaryBPE:
         return [p for p in parts if p]
 
     def fragments(self, s: str) -> list[str]:
-        """A pretoken in byte letters cut at every forced boundary; the last bears the end-of-word mark."""
+        """A pretoken in byte letters cut at every forced boundary."""
         inside = self.joint.__contains__
         if all(map(inside, map(add, s, s[1:]))):
-            return [s + " "] if self.suffix else [s]
+            return [s]
         cuts = [i + 1 for i, pair in enumerate(map(add, s, s[1:])) if not inside(pair)]
-        out = [s[i:j] for i, j in zip([0, *cuts], [*cuts, len(s)])]
-        if self.suffix:
-            out[-1] += " "
-        return out
+        return [s[i:j] for i, j in zip([0, *cuts], [*cuts, len(s)])]
 
     def pretokens(self, part: str) -> list[str]:
         """Pretokens in byte letters; the library's own normaliser and pattern wherever Unicode tables matter."""
@@ -164,6 +165,10 @@ class ForcedBoundaryBPE:
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a stretch of text whose ends are certain cuts."""
+        if self.folds and chunk.isascii() and chunk.isalpha():  # one plain word, most often without a forced boundary
+            s = chunk.lower()
+            if all(map(self.joint.__contains__, map(add, s, s[1:]))):
+                return [t.id for t in self.model.tokenize(s)]
         ids: list[int] = []
         parts = self.special.split(chunk) if self.special and self.special.search(chunk) else [chunk]
         for k, part in enumerate(parts):
@@ -171,8 +176,10 @@ class ForcedBoundaryBPE:
                 ids.append(self.specials[part])
             elif part:
                 for pretoken in self.pretokens(part):
-                    for f in self.fragments(pretoken):
-                        ids.extend(self._merge(f))
+                    *inner, last = self.fragments(pretoken)
+                    for f in inner:
+                        ids += self.encode_fragment(f, False)
+                    ids += self.encode_fragment(last, True)
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -188,19 +195,46 @@ BLANKS = separators([9, 10, 13, 32])
 
 def pack(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-def word_chunk_encoder(bpe: ForcedBoundaryBPE) -> Memory:
-    """Chunk to (ids as little-endian 32-bit integers, a blank and the decoded text); for models without white space."""
-    if any(bpe.letters[32] in pair for pair in bpe.joint):
-        raise ValueError("the vocabulary has tokens with a space inside; its texts can't be cut at spaces")
-
-    def encode(chunk: str) -> tuple[bytes, bytes]:
-        ids = bpe.encode_chunk(chunk)
-        return pack(ids), f" {bpe.decode(ids)}".encode() if ids else b""
-
-    return Memory(encode)
+    return array("I", ids).tobytes()
+
+
+def forced_cuts(bpe: ForcedBoundaryBPE) -> np.ndarray:
+    """256 x 256: pairs of ASCII bytes that no vocabulary token holds and between which a pretoken ends for certain.
+
+    That is so between a letter and anything else, and beside a digit; between two other signs the pattern of
+    contractions may reach across.
+    """
+    ch = [chr(c).lower() if bpe.folds else chr(c) for c in range(128)]
+    cut = np.zeros((256, 256), bool)
+    for x in range(33, 127):
+        for y in range(33, 127):
+            sure = ch[x].isalpha() != ch[y].isalpha() or ch[x].isdigit() or ch[y].isdigit()
+            cut[x, y] = sure and ch[x] + ch[y] not in bpe.joint
+    return cut.ravel()
+
+
+class WordSplitter:
+    """Segments of texts cut at every forced boundary, for models whose vocabulary has no white space."""
+
+    def __init__(self, bpe: ForcedBoundaryBPE):
+        if any(bpe.letters[32] in pair for pair in bpe.joint):
+            raise ValueError("the vocabulary has tokens with a space inside; its texts can't be cut at spaces")
+        self.cut, self.specials = forced_cuts(bpe), [t.encode() for t in bpe.specials]
+
+    def __call__(self, texts: pa.Array) -> Iterator[Segment]:
+        for s in segments(*string_bytes(texts), BLANKS):
+            here = np.zeros(len(s.b), bool)
+            here[1:] = self.cut[(s.b[:-1].astype(np.uint16) << 8) | s.b[1:]]
+            here[s.first] = False  # no cut where a text or a word begins anyway
+            data = s.b.tobytes()
+            for t in self.specials:
+                at = data.find(t)
+                while at >= 0:
+                    here[at + 1 : at + len(t)] = False
+                    at = data.find(t, at + len(t))
+            at = np.flatnonzero(here)
+            which = np.searchsorted(s.first, at, "right")
+            yield Segment(s.b, np.insert(s.first, which, at), np.insert(s.end, which - 1, at), np.insert(s.doc, which, s.doc[which - 1]))
 
 
 def flat(parts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
@@ -213,14 +247,22 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with n_tokens and the digests of the ids and of the decoded text, for a model without white space."""
 
     def make():
-        known = word_chunk_encoder(ForcedBoundaryBPE(path))
+        bpe = ForcedBoundaryBPE(path)
+        split, tokens = WordSplitter(bpe), {i: f" {t}".encode() for i, t in bpe.tokens.items()}
+
+        def encode(fragment: str) -> tuple[bytes, bytes]:
+            """Ids, and the decoded text with a blank before each token: the model has no decoder."""
+            ids = bpe.encode_chunk(fragment)
+            return pack(ids), b"".join([tokens[i] for i in ids])
+
+        known = Memory(encode)
 
         def run(texts: pa.Array) -> list[pa.Array]:
             n = np.zeros(len(texts), np.int64)
             ids_of, text_of = ([hashlib.sha256() for _ in range(len(texts))] for _ in range(2))
-            for s in segments(*string_bytes(texts), BLANKS):
+            for s in split(texts):
                 chunks, which = s.distinct()
-                got = [known[c] for c in chunks]
+                got = known.many(chunks)
                 ids, id_ends = spread(*flat([g[0] for g in got], "<u4"), which)
                 out, out_ends = spread(*flat([g[1] for g in got], np.uint8), which)
                 docs, at = np.unique(s.doc, return_index=True)
@@ -228,7 +270,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     a, z = (id_ends[i - 1] if i else 0), id_ends[j - 1]
                     ids_of[d].update(ids[a:z])
                     x, y = (out_ends[i - 1] if i else 0), out_ends[j - 1]
-                    if z > a:  # each chunk's text begins with a blank, which the first one of a document lacks
+                    if z > a:  # each fragment's text begins with a blank, which the first one of a document lacks
                         text_of[d].update(out[x + (n[d] == 0) : y])
                     n[d] += z - a
             return [pa.array(n), pa.array([h.hexdigest() for h in ids_of], pa.string()), pa.array([h.hexdigest() for h in text_of], pa.string())]

@@ -13,7 +13,6 @@ empty table gives no piece.
 
 from __future__ import annotations
 
-import os
 import zlib
 from dataclasses import dataclass
 
@@ -23,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
-from .bpe import BLANKS, LONGEST, MEMORY, flat
+from .bpe import ForcedBoundaryBPE, Memory, WordSplitter, flat, pack
 from .common import add_columns, map_batches, table, truncate_lineage
-from .words import segments, spread, string_bytes
+from .words import spread
 
 WINDOW, CELL, END_ID = 4096, 64, 2
 #: Most parts of an enumerated combination.
@@ -200,31 +198,6 @@ class Plan:
 # ---- the pieces --------------------------------------------------------------------------------------------
 
 
-class ChunkIds:
-    """Ids of chunks without white space, by the library, many at a time; the latest are remembered."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def many(self, chunks: list[str]) -> list[bytes]:
-        got = [self.new.get(c) or self.old.get(c) for c in chunks]
-        missing = [i for i, g in enumerate(got) if g is None]
-        if len(self.new) + len(missing) > MEMORY:
-            self.old, self.new = self.new, {}
-        for a in range(0, len(missing), 20_000):
-            some = missing[a : a + 20_000]
-            for i, e in zip(some, self.library.encode_batch_fast([chunks[i] for i in some], add_special_tokens=False)):
-                got[i] = np.array(e.ids, "<u4").tobytes()
-                if len(chunks[i]) <= LONGEST:
-                    self.new[chunks[i]] = got[i]
-        return got
-
-
 def cut(n: int, window: int, cell: int) -> list[int]:
     """Lengths of the pieces of n tokens: whole windows, a run of cells, a crumb."""
     whole, rest = divmod(n, window)
@@ -262,13 +235,14 @@ def cut_documents(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "
     src = docs.select(F.col(doc), F.col(text))
 
     def make():
-        chunk_ids = ChunkIds(path)
+        bpe = ForcedBoundaryBPE(path)
+        split, known = WordSplitter(bpe), Memory(lambda fragment: pack(bpe.encode_chunk(fragment)))
 
         def run(b: pa.RecordBatch) -> dict:
             pieces = [Cutter(window, cell) for _ in range(b.num_rows)]
-            for s in segments(*string_bytes(b.column(1)), BLANKS):
-                chunks, which = s.distinct()
-                ids, ends = spread(*flat(chunk_ids.many(chunks), "<u4"), which)
+            for s in split(b.column(1)):
+                fragments, which = s.distinct()
+                ids, ends = spread(*flat(known.many(fragments), "<u4"), which)
                 rows, at = np.unique(s.doc, return_index=True)
                 for d, i, j in zip(rows.tolist(), at.tolist(), [*at[1:].tolist(), len(s.doc)]):
                     pieces[d].add(ids[ends[i - 1] if i else 0 : ends[j - 1]])

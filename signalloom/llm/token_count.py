@@ -145,7 +145,7 @@ class TokenCounter:
         if pretoken in self.bpe.specials:
             return 1
         s = "".join([self.bpe.letters[x] for x in pretoken.encode("utf-8", "surrogatepass")])
-        return sum(len(self.bpe._merge(f)) for f in self.bpe.fragments(s))
+        return sum(len(self.bpe.encode_fragment(f, True)) for f in self.bpe.fragments(s))
 
     def _pack(self, texts: list[str]) -> np.ndarray:
         whole = "\n".join(texts) + "\n"
@@ -163,11 +163,10 @@ class TokenCounter:
         end = np.concatenate([first[1:], [len(cls)]])
         keep = cls[first] != BORDER
         first, end = first[keep], end[keep]
-        data = whole.encode("utf-8", "surrogatepass")
-        b = np.frombuffer(data, np.uint8)
+        b = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
         lead = np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))
-        example, which = distinct_spans(b, lead[first], lead[end])
-        counts = np.fromiter((self.known[data[i:j].decode("utf-8", "surrogatepass")] for i, j in zip(lead[first[example]].tolist(), lead[end[example]].tolist())), np.int64, len(example))
+        pretokens, which = distinct_spans(b, lead[first], lead[end])
+        counts = np.array(self.known.many(pretokens), np.int64)
         return np.bincount(np.searchsorted(borders, first), counts[which] if len(which) else None, len(texts)).astype(np.int64)
 
     def count(self, texts: list[str]) -> np.ndarray:

@@ -63,22 +63,16 @@ def span_hashes(b: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix64(h + (end - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def distinct_spans(b: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An example of each distinct span, and for each span the number of its example. Exact: bytes are compared."""
-    h = span_hashes(b, first, end)
-    _, example, inverse = np.unique(h, return_index=True, return_inverse=True)
-    rep, size = example[inverse], end - first
-    same = bool((size == size[rep]).all())
-    if same and len(first):
-        shift = np.repeat(first[rep] - first, size)
-        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        same = bool((b[at] == b[at + shift]).all())
-    if not same:  # two spans with one hash: number them by their bytes
-        seen: dict[bytes, int] = {}
-        inverse = np.fromiter((seen.setdefault(b[i:j].tobytes(), len(seen)) for i, j in zip(first, end)), np.int64, len(first))
-        example = np.zeros(len(seen), np.int64)
-        example[inverse[::-1]] = np.arange(len(first))[::-1]
-    return example, inverse
+def distinct_spans(b: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte strings b[first:end] of ascending spans that don't overlap, and each span's number among them."""
+    edge = np.zeros(len(b) + 1, np.int8)
+    edge[first] += 1
+    edge[end] -= 1
+    data = b[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    offsets = np.concatenate([[0], np.cumsum(end - first)]).astype(np.int32)
+    spans = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    coded = spans.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
 @dataclass
@@ -88,11 +82,9 @@ class Segment:
     end: np.ndarray
     doc: np.ndarray  # row of each word, ascending
 
-    def distinct(self) -> tuple[list[str], np.ndarray]:
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
         """The distinct words and each word's number among them."""
-        example, inverse = distinct_spans(self.b, self.first, self.end)
-        data = self.b.tobytes()
-        return [data[i:j].decode("utf-8", "surrogatepass") for i, j in zip(self.first[example].tolist(), self.end[example].tolist())], inverse
+        return distinct_spans(self.b, self.first, self.end)
 
 
 def segments(b: np.ndarray, offsets: np.ndarray, separator: np.ndarray, most: int = SEGMENT) -> Iterator[Segment]:
