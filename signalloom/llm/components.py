@@ -66,7 +66,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         assigned = stars.groupBy("node").agg(F.min("root").alias("component"))
         assigned = _jumped(truncate_lineage(assigned))
         rounds.append(assigned)
-        left = truncate_lineage(stars.join(assigned, "node").filter(F.col("root") != F.col("component")).select(F.col("root").alias("a"), F.col("component").alias("b")).distinct())
+        open_ = stars.join(assigned, "node").filter(F.col("root") != F.col("component")).select("root", F.col("component").alias("b"))
+        to = assigned.select(F.col("node").alias("root"), F.col("component").alias("__to"))  # a root may be assigned itself, elsewhere
+        open_ = open_.join(to, "root", "left").select(F.coalesce("__to", "root").alias("a"), "b")
+        left = truncate_lineage(open_.filter("a != b").distinct())
     if not rounds:
         return stars_schema(edges)
     out = rounds[-1]

@@ -143,7 +143,7 @@ DISGUISED = re.compile(_class(set(CHARACTERS)))
 # Spelled digits and signs.
 DIGITS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 AT_WORDS, DOT_WORDS = r"(?:at|arroba|arobase)", r"(?:dot|punto|point|punkt)"
-TOP_LEVEL = r"(?:com|org|net|edu|gov|info|biz|io|co|de|fr|es|uk|eu|us|ch|at|it|nl)"
+TOP_LEVEL = r"(?:com|org|net|edu|gov|mil|int|info|biz|name|io|co|ai|app|dev|me|tv|xyz|online|site|test|example|invalid|local|de|fr|es|uk|eu|us|ca|au|in|jp|cn|br|mx|ru|ch|at|be|it|nl|pl|pt|se|no|dk|fi|ie)"
 
 REFERENCE = re.compile(r"&#0*64;|&#[xX]0*40;|&commat;|%40|&#0*46;|&#[xX]0*2[eE];|&period;")
 _word = "|".join(DIGITS)
@@ -225,14 +225,14 @@ def _number_dots_of(m: Mapped) -> list[tuple[int, int, str]]:
 
 
 def _spelled_at_of(m: Mapped) -> list[tuple[int, int, str]]:
-    """A spelled at, with a spelled dot or a known top-level domain behind it; spelled dots before it."""
+    """A spelled or spaced at with a domain behind it that ends in a known top-level name; spelled dots before it."""
     t, out, free = m.text, [], 0
     for x in SPELLED_AT.finditer(t):
         at, domain = x["at"], x["domain"]
         dots = list(SPELLED_DOT.finditer(domain))
-        plain = "@" in at
-        joined = at[0] in "_-"
-        if plain and at == "@" and not dots or not plain and not dots and (joined or not ENDS_TOP_LEVEL.search(domain)) or x.start() < free:
+        if x.start() < free or not ENDS_TOP_LEVEL.search(SPELLED_DOT.sub(".", domain)):
+            continue
+        if not dots and (at == "@" or at[0] in "_-"):  # nothing disguised, or a name with `-at-` in it
             continue
         a = x.start("at")
         before = []
