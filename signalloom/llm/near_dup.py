@@ -8,9 +8,11 @@ its signature is full, since later steps can only bring larger values.
 2. Equal sets become one class, so exact copies never meet again.
 3. In every band bucket all members are paired with the smallest one: as many pairs as rows, however large
    the bucket. Pairs are verified on full shingle sets; links give components.
-4. A bucket whose members are not all in its smallest member's component gets the rest of its pairs tested
-   between components, in tiles of bounded size; signatures agree in well under MIN_AGREE of their places are
-   dropped (at a similarity of 0.8 that is over five standard deviations off), the others verified as before.
+4. In a bucket whose members are not all in its smallest member's component, each outsider meets the members of
+   other components, in tiles of bounded size that hold the full sets: those whose signatures agree in MIN_AGREE
+   of their places (at a similarity of 0.8 less is over four standard deviations off), the most similar first,
+   each pair only in the first band it shares. A link found joins two components inside the tile, so their
+   other pairs need no test; only such joining links leave the task, fewer than its rows.
 
 Edge cases: documents without words (null or empty texts too) have 0 shingles and link with nothing; one word
 gives one shingle. Repeated rows are copies of each other. A null id is never linked to by a smaller one; its
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 
 from .common import map_batches, mix64, table, truncate_lineage
 from .components import connected_components
+from .pairs import with_payloads
 from .words import segments, separators, span_hashes, string_bytes
 
 #: Words a shingle, and the least similarity of a link in hundredths.
@@ -38,9 +41,8 @@ SHINGLE, PERCENT = 2, 80
 BANDS, ROWS = 26, 5
 PLACES = BANDS * ROWS
 #: Least part of equal places (8 bits each) for a pair of stage 4.
-MIN_AGREE = 0.6
-TILE = 256
-SALT = 64
+MIN_AGREE = 0.65
+TILE = 2048
 WORD_ENDS = separators([0x20, *range(0x09, 0x0E)])
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Elements whose permutations are held together.
@@ -190,17 +192,18 @@ def _sets(docs: DataFrame, settings: Settings) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """(id, data): the full sets of the class representatives `ids` (doc_id), from their whole texts."""
+    wanted = truncate_lineage(ids.distinct())
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    keys = classes.select(F.col("rep").alias("doc_id"), "fp_a", "fp_b").join(near, "doc_id", "left_semi")
+    sets = _sets(docs.join(near, "doc_id", "left_semi"), settings).join(keys, ["doc_id", "fp_a", "fp_b"], "left_semi")
+    return truncate_lineage(sets.select(F.col("doc_id").alias("id"), F.col("members").alias("data")))
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """Those of the pairs (a, b) of class representatives that are links; a may be hot, so its set is salted."""
-    pairs = truncate_lineage(pairs)
-    wanted = truncate_lineage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    keys = classes.select(F.col("rep").alias("doc_id"), "fp_a", "fp_b").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = truncate_lineage(_sets(texts, settings).join(keys, ["doc_id", "fp_a", "fp_b"], "left_semi").select("doc_id", "members"))
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    first = sets.join(salts, sets.doc_id == salts.a).select("a", F.col("members").alias("set_a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    second = pairs.join(salts, "a").join(sets, pairs.b == sets.doc_id).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("members").alias("set_b"))
+    """Those of the (checkpointed) pairs (a, b) of class representatives that are links; a may be hot."""
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, classes, settings)
 
     def make():
         def run(b: pa.RecordBatch) -> dict:
@@ -210,45 +213,64 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, settings: Set
 
         return run
 
-    both = second.join(first, ["a", "salt"]).select("a", "b", "set_a", "set_b")
-    return truncate_lineage(map_batches(both, make, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).distinct())
+    return truncate_lineage(map_batches(with_payloads(pairs, sets), make, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).distinct())
 
 
 def _near_size(x: str, y: str, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of stage 4: bucket members (key, rep, n, leader) of different components, the smallest apart."""
+def joining_links(x: pd.DataFrame, y: pd.DataFrame, key: int, percent: int) -> list[tuple[int, int]]:
+    """Links between outsiders x and members y of one bucket that join their components; see stage 4."""
+    sx, sy = (np.frombuffer(b"".join(t["sketch"]), np.uint8).reshape(len(t), -1) for t in (x, y))
+    bx, by = (np.array(t["bands"].to_list()) for t in (x, y))
+    nx, ny, rx, ry = x["n"].to_numpy(), y["n"].to_numpy(), x["rep"].to_numpy(), y["rep"].to_numpy()
+    cx, cy, dx, dy, out = x["comp"].to_numpy().copy(), y["comp"].to_numpy().copy(), x["data"].to_list(), y["data"].to_list(), []
+    at = np.arange(len(y))
+    for i in range(len(x)):
+        first = (by == bx[i]).argmax(1)
+        k = np.flatnonzero((cy != cx[i]) & (100 * np.minimum(ny, nx[i]) >= percent * np.maximum(ny, nx[i])) & (by[at, first] == key))
+        if not len(k):
+            continue
+        agree = (sy[k] == sx[i]).mean(1)
+        order = np.lexsort((ry[k], -agree))
+        k = k[order[agree[order] >= MIN_AGREE]]
+        while len(k):
+            j, k = k[0], k[1:]
+            if verified(dx[i], dy[j], percent):
+                out.append((min(rx[i], ry[j]), max(rx[i], ry[j])))
+                old, new = cx[i], cy[j]
+                cx[cx == old] = new
+                cy[cy == old] = new
+                k = k[cy[k] != new]
+    return out
+
+
+def _open_links(members: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame | None:
+    """Stage 4 for bucket members (key, rep, n, leader); None if no bucket is open."""
     of = lambda c, name: labels.select(F.col("node").alias(c), F.col("component").alias(name))
     m = members.join(of("rep", "__c"), "rep", "left").join(of("leader", "__l"), "leader", "left")
     m = m.select("key", "rep", "n", "leader", F.coalesce("__c", "rep").alias("comp"), F.coalesce("__l", "leader").alias("lcomp")).filter(F.col("rep") != F.col("leader"))
-    m = truncate_lineage(m.withColumn("out", F.col("comp") != F.col("lcomp")))
-    sizes = m.groupBy("key").agg(F.sum(F.col("out").cast("long")).alias("n_out"), F.count("*").alias("n_all")).filter((F.col("n_out") > 0) & (F.col("n_all") > 1))
-    sizes = sizes.select("key", F.ceil(F.col("n_out") / TILE).cast("int").alias("lb"), F.ceil(F.col("n_all") / TILE).cast("int").alias("rb"))
-    m = m.join(sizes, "key").join(classes.select("rep", "sketch"), "rep")
+    m = truncate_lineage(m.select("key", "rep", "n", "comp", (F.col("comp") != F.col("lcomp")).alias("out")))
+    sizes = m.groupBy("key").agg(F.sum(F.col("out").cast("long")).alias("n_out"), F.count("*").alias("n_all"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    sizes = sizes.filter("n_out > 0 AND c0 < c1").select("key", F.ceil(F.col("n_out") / TILE).cast("int").alias("lb"), F.ceil(F.col("n_all") / TILE).cast("int").alias("rb"))
+    m = truncate_lineage(m.join(sizes, "key"))
+    if not m.take(1):
+        return None
+    sets = _sets_of(m.select(F.col("rep").alias("doc_id")), docs, classes, settings)
+    m = m.join(classes.select("rep", "sketch", "bands"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = m.filter("out").select("key", block("lb").alias("i"), every("rb").alias("j"), F.lit(True).alias("left"), "rep", "n", "comp", "out", "sketch")
-    right = m.select("key", every("lb").alias("i"), block("rb").alias("j"), F.lit(False).alias("left"), "rep", "n", "comp", "out", "sketch")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.transform(every("lb"), lambda i: F.struct(i.alias("i"), block("rb").alias("j"), F.lit(False).alias("left")))
+    as_outsider = F.transform(every("rb"), lambda j: F.struct(block("lb").alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    m = m.withColumn("place", F.explode(F.concat(own, F.when(F.col("out"), as_outsider).otherwise(F.filter(as_outsider, lambda p: F.lit(False))))))
+    m = m.select("key", "place.i", "place.j", "place.left", "rep", "n", "comp", "sketch", "bands", "data")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = g[g["left"]], g[~g["left"]]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        sx, sy = (np.frombuffer(b"".join(t["sketch"]), np.uint8).reshape(len(t), -1) for t in (x, y))
-        rx, ry, cy, ny, oy = x["rep"].to_numpy(), y["rep"].to_numpy(), y["comp"].to_numpy(), y["n"].to_numpy(), y["out"].to_numpy()
-        a, b = [], []
-        for i in range(len(x)):
-            n = x["n"].iat[i]
-            ok = (cy != x["comp"].iat[i]) & (100 * np.minimum(ny, n) >= settings.percent * np.maximum(ny, n)) & (~oy | (rx[i] < ry))
-            k = np.flatnonzero(ok)
-            k = k[(sy[k] == sx[i]).mean(1) >= MIN_AGREE] if len(k) else k
-            a.append(np.minimum(ry[k], rx[i]))
-            b.append(np.maximum(ry[k], rx[i]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return left.union(right).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        links = joining_links(g[g["left"]], g[~g["left"]], g["key"].iat[0], settings.percent) if g["left"].any() else []
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return m.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def group_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -261,12 +283,12 @@ def group_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> D
     buckets = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("low.rep").alias("leader"), F.col("low.n").alias("leader_n"))
     members = truncate_lineage(rows.join(buckets, "key"))
     pairs = members.filter((F.col("rep") != F.col("leader")) & _near_size("n", "leader_n", settings.percent)).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = truncate_lineage(pairs)
     links = _verify(pairs, docs, classes, settings)
     labels = connected_components(links)
-    more = truncate_lineage(_open_pairs(members, labels, classes, settings))
-    if more.take(1):
-        links = links.unionByName(_verify(more, docs, classes, settings))
-        labels = connected_components(links)
+    more = _open_links(members, labels, docs, classes, settings)
+    if more is not None:
+        labels = connected_components(links.unionByName(more))
     grouped = classes.select("fp_a", "fp_b", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     grouped = grouped.select("fp_a", "fp_b", "n_shingles", F.coalesce("component", "rep").alias("__component"))
     out = features.drop("bands", "sketch").join(grouped, ["fp_a", "fp_b", "n_shingles"], "left")
