@@ -92,6 +92,11 @@ def interleaved(planes: Column, channels: int) -> Column:
     return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda f: F.array(*[F.get(F.get(planes, F.lit(c)), f) for c in range(channels)])))).otherwise(F.array().cast("array<double>"))
 
 
+def widened(data: Column, channels: int) -> Column:
+    """A mono block on every channel."""
+    return F.flatten(F.transform(data, lambda x: F.array_repeat(x, channels)))
+
+
 def frame_peaks(data: Column, channels: int) -> Column:
     """Largest magnitude of each frame; a sample that is no number counts as 0."""
     return _per_frame(data, channels, lambda i: F.greatest(F.lit(0.0), *[F.abs(F.when(F.isnan(F.get(data, i + c)), 0.0).otherwise(F.get(data, i + c).cast("double"))) for c in range(channels)]))

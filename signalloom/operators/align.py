@@ -104,7 +104,45 @@ def echo_cancelled(pairs: DataFrame, tail: int, block: int = 256) -> DataFrame:
     return pairs.select("stream_id", "pos", "x", "far").groupBy("stream_id").applyInPandas(run, f"stream_id {kind}, pos long, y double")
 
 
-def echo_metrics(cancelled: DataFrame) -> DataFrame:
-    """Per stream: echo return loss enhancement in dB and silence supplied, for rows (x, far, missing, y)."""
-    g = cancelled.groupBy("stream_id").agg(F.sum(F.col("x") * F.col("x")).alias("__i"), F.sum(F.col("y") * F.col("y")).alias("__o"), F.count_if("missing").alias("silence"))
-    return g.select("stream_id", (10 * F.log10((F.col("__i") + 1e-12) / (F.col("__o") + 1e-12))).alias("erle_db"), "silence")
+def echo_metrics(cancelled: DataFrame, *by: str) -> DataFrame:
+    """Per stream (and `by`, such as a channel): echo return loss enhancement in dB and silence supplied.
+
+    For rows (x, far, missing, y); one hash aggregation.
+    """
+    g = cancelled.groupBy("stream_id", *by).agg(F.sum(F.col("x") * F.col("x")).alias("__i"), F.sum(F.col("y") * F.col("y")).alias("__o"), F.count_if("missing").alias("silence"))
+    return g.select("stream_id", *by, (10 * F.log10((F.col("__i") + 1e-12) / (F.col("__o") + 1e-12))).alias("erle_db"), "silence")
+
+
+class LiveCanceller:
+    """Near and far samples as they come: the far ones wait in a bounded queue, the near ones set the pace.
+
+    One engine per near channel hears the same reference. Counters: far samples dropped at a full queue, silence
+    supplied at an empty one; delay is where the first channel's filter is strongest, in samples.
+    """
+
+    def __init__(self, tail: int, channels: int = 1, capacity: int = 32_000, block: int = 256):
+        self.engines = [EchoCanceller(tail, block) for _ in range(channels)]
+        self.queue, self.capacity, self.dropped, self.silence = np.zeros(0), capacity, 0, 0
+
+    def push_reference(self, far: np.ndarray) -> None:
+        """far: n, or n x channels, which are averaged."""
+        far = far if far.ndim == 1 else far.mean(1)
+        room = self.capacity - len(self.queue)
+        self.dropped += max(0, len(far) - room)
+        self.queue = np.concatenate([self.queue, far[:room]])
+
+    def process(self, near: np.ndarray) -> np.ndarray:
+        """near: n x channels."""
+        n = len(near)
+        far, self.queue = self.queue[:n], self.queue[n:]
+        self.silence += n - len(far)
+        far = np.concatenate([far, np.zeros(n - len(far))])
+        return np.stack([e.process(near[:, c], far) for c, e in enumerate(self.engines)], 1)
+
+    def flush(self) -> np.ndarray:
+        return np.stack([e.flush() for e in self.engines], 1)
+
+    @property
+    def delay(self) -> int:
+        taps = np.fft.irfft(self.engines[0].weights, axis=1)[:, : self.engines[0].n].ravel()
+        return int(np.abs(taps).argmax())

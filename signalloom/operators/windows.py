@@ -117,3 +117,16 @@ def playback(pushes: DataFrame) -> DataFrame:
 
 def seconds(position: Column, rate: float) -> Column:
     return position / rate
+
+
+def rendered(samples: DataFrame, block: int, wanted: int | None = None) -> DataFrame:
+    """What a player hears: samples (stream_id, pos, x) in fixed output blocks, silence where none is left.
+
+    wanted: blocks asked of each stream; by default as many as hold its samples. underrun counts the silence.
+    """
+    full = rebatched(samples, block).select("stream_id", F.col("seq").cast("long").alias("seq"), "data")
+    count = F.lit(wanted) if wanted is not None else F.col("__n")
+    asked = full.groupBy("stream_id").agg((F.max("seq") + 1).cast("int").alias("__n")).select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long"))).alias("seq"))
+    out = asked.join(full, ["stream_id", "seq"], "left").withColumn("data", F.coalesce("data", F.array().cast("array<double>")))
+    missing = F.lit(block) - F.size("data")
+    return out.select("stream_id", "seq", F.concat("data", F.array_repeat(F.lit(0.0), missing)).alias("data"), missing.cast("long").alias("underrun"))

@@ -68,6 +68,54 @@ def speaking(scores: DataFrame, threshold: float, holdoff: float) -> DataFrame:
     return scores.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, score double, is_speaking boolean", "loud double", "append", GroupStateTimeout.NoTimeout)
 
 
+def speaking_now(scores: DataFrame, threshold: float, holdoff_ms: int) -> DataFrame:
+    """Transitions by the clock: `speech` at a loud chunk, `silence` once the holdoff has passed without one.
+
+    The clock is the engine's processing time, so results depend on when rows arrive; use `speaking` where they
+    must not.
+    """
+
+    def step(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        on, events = bool(state.exists and state.get[0]), []
+        if state.hasTimedOut:
+            on, events = False, ["silence"]
+        else:
+            loud = any((g["score"] >= threshold).any() for g in groups)
+            if loud and not on:
+                on, events = True, ["speech"]
+            if loud:
+                state.setTimeoutDuration(holdoff_ms)
+        state.update((on,))
+        yield pd.DataFrame({"stream_id": [key[0]] * len(events), "event": events})
+
+    return scores.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, event string", "on boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+PAIRED = "stream_id string, ord long, side string, channels int, data array<float>, last boolean"
+
+
+def echo_cancelled(rows: DataFrame, tail: int, capacity: int = 32_000) -> DataFrame:
+    """Live near and far blocks (PAIRED rows in ord) to near blocks without echo, with the queue's counters."""
+    from ..operators.align import LiveCanceller
+
+    def step(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        g = pd.concat(list(groups)).sort_values("ord")
+        c, out = pickle.loads(state.get[0]) if state.exists else None, []
+        for r in g.itertuples():
+            x = np.asarray(r.data, float).reshape(-1, int(r.channels))
+            if r.side == "near":
+                c = c or LiveCanceller(tail, int(r.channels), capacity)
+                y = [c.process(x)] + ([c.flush()] if r.last else [])
+                out.append((key[0], r.ord, np.concatenate(y).astype(np.float32).ravel(), c.dropped, c.silence, c.delay))
+            else:
+                c = c or LiveCanceller(tail, 1, capacity)
+                c.push_reference(x)
+        state.update((pickle.dumps(c),))
+        yield pd.DataFrame(out, columns=["stream_id", "ord", "data", "dropped", "silence", "delay"])
+
+    return rows.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, ord long, data array<float>, dropped long, silence long, delay long", "canceller binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def play(frames: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Write each micro-batch once, in order of its id; a batch seen again after a restart has the same id."""
     return frames.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

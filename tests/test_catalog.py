@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from signalloom.catalog import ORACLES, QUERIES
 
@@ -38,3 +39,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rendered_blocks(spark):
+    from signalloom.functions import samples as S
+    from signalloom.operators import windows as W
+
+    s = spark.createDataFrame([("a", i, float(i)) for i in range(7)], "stream_id string, pos long, x double")
+    got = W.rendered(s, 3, 4).withColumn("wide", S.widened(F.col("data"), 2)).orderBy("seq").collect()
+    assert [r["data"] for r in got] == [[0, 1, 2], [3, 4, 5], [6, 0, 0], [0, 0, 0]] and [r["underrun"] for r in got] == [0, 0, 2, 3]
+    assert got[0]["wide"] == [0, 0, 1, 1, 2, 2]
+    assert [r["underrun"] for r in W.rendered(s, 4).orderBy("seq").collect()] == [0, 1]

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from signalloom.operators import folds
@@ -27,3 +29,40 @@ def test_live_fold_flush_and_late_rows(spark, tmp_path):
     want = np.concatenate([r.process(x.astype(float)), r.flush()])
     assert np.allclose(got, want, atol=1e-6)
     assert sum(r["rejected"] for r in seen) == 1 and sum(bool(r["closed"]) and not r["rejected"] for r in seen) == 1
+
+
+def test_live_speaking_state(spark, tmp_path):
+    scores = [0.5, 0.0, 0.0, 0.0, 0.0, 0.4]
+    rows = [("a", i, i * 0.1, (i + 1) * 0.1, s) for i, s in enumerate(scores)]
+    ddl, seen = "stream_id string, seq long, start double, end double, score double", []
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "in"))
+    frames = live.speaking(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")), 0.1, 0.25)
+    live.play(frames, lambda df, i: seen.extend(df.collect()), str(tmp_path / "ck")).awaitTermination()
+    assert [r["is_speaking"] for r in sorted(seen, key=lambda r: r["seq"])] == [True, True, True, False, False, True]
+
+
+def test_live_echo_and_clock(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    far = rng.normal(0, 0.3, 32_000)
+    near = 0.25 * np.concatenate([np.zeros(100), far[:-100]])
+    rows = []
+    for i in range(20):
+        a = slice(i * 1600, (i + 1) * 1600)
+        rows += [("a", 2 * i, "far", 1, far[a].tolist(), False), ("a", 2 * i + 1, "near", 1, near[a].tolist(), i == 19)]
+    spark.createDataFrame(rows, live.PAIRED).coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    frames = live.echo_cancelled(spark.readStream.schema(live.PAIRED).parquet(str(tmp_path / "in")), 512)
+    live.play(frames, lambda df, i: seen.extend(df.collect()), str(tmp_path / "ck")).awaitTermination()
+    seen.sort(key=lambda r: r["ord"])
+    y = np.concatenate([r["data"] for r in seen])
+    assert len(y) == len(near) and (near[-8000:] ** 2).sum() > 1000 * (y[-8000:] ** 2).sum()
+    assert (seen[-1]["dropped"], seen[-1]["silence"], seen[-1]["delay"]) == (0, 0, 100)
+    ddl, events = "stream_id string, score double", []
+    spark.createDataFrame([("a", 0.5), ("b", 0.0)], ddl).write.parquet(str(tmp_path / "scores"))
+    q = live.speaking_now(spark.readStream.schema(ddl).parquet(str(tmp_path / "scores")), 0.1, 200).writeStream.foreachBatch(lambda df, i: events.extend(df.collect())).option("checkpointLocation", str(tmp_path / "ck2")).trigger(processingTime="100 milliseconds").start()
+    for _ in range(150):
+        if len(events) == 2:
+            break
+        time.sleep(0.2)
+    q.stop()
+    assert [(r["stream_id"], r["event"]) for r in events] == [("a", "speech"), ("a", "silence")]
