@@ -26,5 +26,28 @@ QUERIES = {
     "op10_token_count": op10_token_count,
 }
 
-#: None of these can be said in SQL: they rest on fitted models or on merge tables.
-ORACLES: dict[str, str] = {}
+#: Components as the least id of each closure; small graphs only, as the checks have. The other operators rest on
+#: fitted models, merge tables or cascades of rewriting that SQL can't express.
+_CLOSURE = "c(id, m) AS (SELECT id, id FROM nodes UNION SELECT c.id, p.b FROM c JOIN pairs p ON p.a = c.m), comp AS (SELECT id, min(m) AS component_id FROM c GROUP BY id)"
+
+ORACLES: dict[str, str] = {
+    "op3_embedding_dup": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS size FROM v),
+pairs AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id <> y.id AND len(x.e) = len(y.e) WHERE list_inner_product(x.e, y.e) / (x.size * y.size) >= 0.95),
+nodes AS (SELECT DISTINCT vec_id AS id FROM embeddings),
+{_CLOSURE}
+SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp ON id = vec_id""",
+    "op4_near_dup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+one AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+pairs AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+nodes AS (SELECT DISTINCT doc_id AS id FROM documents),
+{_CLOSURE}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN comp ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+}
