@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import add_columns, table
-from .words import Segment, segments, separators, spread, string_bytes
+from .words import SEGMENT, Segment, segments, separators, spread, string_bytes
 
 #: Chunks remembered in each of two generations, and the longest one that is remembered.
 MEMORY = 500_000
@@ -182,6 +182,14 @@ class ForcedBoundaryBPE:
                     ids += self.encode_fragment(last, True)
         return ids
 
+    def encode_whole(self, chunk: str) -> list[int]:
+        """The same ids without cutting pretokens further: the library's model merges each as a whole."""
+        if self.folds and chunk.isascii() and chunk.isalpha():
+            return [t.id for t in self.model.tokenize(chunk.lower())]
+        if self.special and self.special.search(chunk):
+            return self.encode_chunk(chunk)
+        return [t.id for p in self.pretokens(chunk) for t in self.model.tokenize(p)]
+
     def decode(self, ids: list[int]) -> str:
         """As the library's decode with special tokens kept: without a decoder, tokens between single spaces."""
         if not self.byte_decoder:
@@ -222,7 +230,7 @@ class WordSplitter:
         self.cut, self.specials = forced_cuts(bpe), [t.encode() for t in bpe.specials]
 
     def __call__(self, texts: pa.Array) -> Iterator[Segment]:
-        for s in segments(*string_bytes(texts), BLANKS):
+        for s in segments(*string_bytes(texts), BLANKS, 2 * SEGMENT):
             here = np.zeros(len(s.b), bool)
             here[1:] = self.cut[(s.b[:-1].astype(np.uint16) << 8) | s.b[1:]]
             here[s.first] = False  # no cut where a text or a word begins anyway
@@ -240,7 +248,7 @@ class WordSplitter:
 def flat(parts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
     """All parts as one array, and their sizes in items."""
     item = np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(parts), kind), np.fromiter((len(p) // item for p in parts), np.int64, len(parts))
+    return np.frombuffer(b"".join(parts), kind), np.array(list(map(len, parts)), np.int64) // item
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

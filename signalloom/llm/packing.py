@@ -236,7 +236,7 @@ def cut_documents(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "
 
     def make():
         bpe = ForcedBoundaryBPE(path)
-        split, known = WordSplitter(bpe), Memory(lambda fragment: pack(bpe.encode_chunk(fragment)))
+        split, known = WordSplitter(bpe), Memory(lambda fragment: pack(bpe.encode_whole(fragment)))
 
         def run(b: pa.RecordBatch) -> dict:
             pieces = [Cutter(window, cell) for _ in range(b.num_rows)]
