@@ -12,6 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from signalloom.llm import language_id, near_dup, packing, pii, quality_crf
 from signalloom.llm.common import fold_of, shared_folder, table
@@ -20,18 +21,29 @@ from signalloom.llm.common import fold_of, shared_folder, table
 LEAST_LANGUAGE = 0.35
 
 
+def aside(docs: DataFrame, out: StructType) -> DataFrame:
+    """docs with columns that an operator's output would replace under other names; given back by `restored`."""
+    names = {f.name for f in out.fields}
+    return docs.select(*[F.col(f"`{c}`").alias(f"__aside_{c}") if c in names else F.col(f"`{c}`") for c in docs.columns])
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from rows that came through an operator after `aside`."""
+    return df.select(*[F.col(f"`__aside_{c}`").alias(c) if f"__aside_{c}" in df.columns else F.col(f"`{c}`") for c in docs.columns])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; a missing lang is filled in with the predicted one."""
     model = language_id.fit(docs.filter(fold_of("doc_id", 3) != 1).select("doc_id", "text", "lang"))
-    out = language_id.predict_language(docs, model).filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_LANGUAGE))
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    out = language_id.predict_language(aside(docs, language_id.OUT), model).filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_LANGUAGE))
+    return restored(out.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier predicts to be good."""
     labels = table(spark, sf_dir, "labels").filter(fold_of("doc_id", 5) != 0).select("doc_id", "quality")
     model = quality_crf.fit(docs.select("doc_id", "text"), labels)
-    return quality_crf.score_quality(docs, model).filter("predicted = 1").select(*docs.columns)
+    return restored(quality_crf.score_quality(aside(docs, quality_crf.OUT), model).filter("predicted = 1"), docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

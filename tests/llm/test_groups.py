@@ -215,7 +215,7 @@ def test_pipeline_stages(spark, data, tmp_path):
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     odd = spark.createDataFrame([(900_001, None, "en", "s", None), (900_002, "", None, None, 0), (900_003, "12 34 ##", "en", "s", 8)], docs.schema)
-    docs = docs.unionByName(odd)
+    docs = docs.unionByName(odd).selectExpr("*", "doc_id + 1 AS score", "'p' AS predicted", "1 AS component", "'x' AS __text2")
     kept = {}
     before = docs
     for name, stage in c.STAGES:
@@ -223,7 +223,7 @@ def test_pipeline_stages(spark, data, tmp_path):
         after = spark.read.parquet(str(tmp_path / name))
         kept[name] = after.toPandas()
         if name != "packing":
-            assert after.columns == docs.columns
+            assert after.columns == docs.columns and after.filter("score <> doc_id + 1 OR predicted <> 'p'").count() == 0
         before, previous = after, before
     ids = lambda n: set(kept[n]["doc_id"])
     assert ids("language_id") == set(docs.toPandas()["doc_id"]) - {900_001, 900_002, 900_003}
