@@ -164,7 +164,7 @@ class Mapped:
 
     def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
         self.text = text
-        self.start = np.arange(len(text)) if start is None else start
+        self.start = np.arange(len(text), dtype=np.int32) if start is None else start
         self.end = self.start + 1 if end is None else end
 
     def rewritten(self, edits: list[tuple[int, int, str]]) -> Mapped:
@@ -174,8 +174,8 @@ class Mapped:
         text, start, end, at = [], [], [], 0
         for a, z, new in edits:
             text += [self.text[at:a], new]
-            start += [self.start[at:a], np.full(len(new), self.start[a])]
-            end += [self.end[at:a], np.full(len(new), self.end[z - 1])]
+            start += [self.start[at:a], np.full(len(new), self.start[a], np.int32)]
+            end += [self.end[at:a], np.full(len(new), self.end[z - 1], np.int32)]
             at = z
         return Mapped("".join([*text, self.text[at:]]), np.concatenate([*start, self.start[at:]]), np.concatenate([*end, self.end[at:]]))
 
