@@ -42,7 +42,7 @@ BANDS, ROWS = 26, 5
 PLACES = BANDS * ROWS
 #: Least part of equal places (8 bits each) for a pair of stage 4.
 MIN_AGREE = 0.65
-TILE = 2048
+TILE = 1024
 WORD_ENDS = separators([0x20, *range(0x09, 0x0E)])
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Elements whose permutations are held together.
