@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PACK_CHARS, add_columns, codepoints, fold_of, map_batches, share_of_hash, table
+from .common import PACK_CHARS, add_columns, codepoints, fold_of, map_batches, share_of_hash, table, truncate_lineage
 
 #: Expected training documents per language; a language with fewer gives them all.
 TRAIN_DOCS = 2000
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageFilter:
         return count
 
     grams = map_batches(sample, make, T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())]))
-    grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = truncate_lineage(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")))  # read twice below
     totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return LanguageFilter.build(langs, np.zeros(0, np.uint64), np.zeros(0, np.int64))
