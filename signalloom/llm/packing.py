@@ -31,7 +31,7 @@ WINDOW, CELL, END_ID = 4096, 64, 2
 #: Most parts of an enumerated combination.
 PARTS = 5
 #: Pieces ranked together in one group, about.
-SLICE = 1 << 16
+SLICE = 1 << 13
 PIECES = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType())])
 
 
