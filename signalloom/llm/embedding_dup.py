@@ -2,7 +2,7 @@
 
 Each pass gives every vector a key: its signs against random hyperplanes, most significant first. Vectors are
 sorted by the key, so that near ones share long prefixes, and each is compared, in double precision, with the
-WINDOW vectors before it. Verified pairs of all passes are united into components.
+WINDOW vectors before it, across the borders of partitions too. Verified pairs of all passes are united into components.
 
 A link can only lie inside a component, so the links of each vector are then counted exactly there: the
 members of a component of more than one distinct vector are dealt into tiles of bounded size, and every pair
@@ -16,9 +16,12 @@ Vectors of different lengths never link. Repeated rows (equal ids too) count as
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +30,24 @@ from .common import bound_batches, map_batches, table, truncate_lineage
 from .components import connected_components, union_find
 
 COSINE = 0.95
-#: Passes, signs a key and vectors compared before each. A pair at the threshold agrees in a sign with
-#: probability 1 - acos(0.95) / pi = 0.899; among n unrelated vectors a prefix of log2(n / WINDOW) signs leaves
-#: WINDOW of them, so a pass finds the pair with probability 0.899**log2(n / WINDOW) at least.
-PASSES, SIGNS, WINDOW = 24, 48, 128
+#: Signs a key, vectors compared before each, and the probability with which a pair at the threshold may be missed.
+SIGNS, WINDOW, MISS = 48, 128, 1e-5
 TILE = 512
 SEED = 20240607
 
 
+def passes_for(n: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
+    """Passes that leave a pair at the threshold unmet with probability `miss`, among n vectors.
+
+    It agrees in a sign with probability q = 1 - acos(cosine) / pi; among unrelated vectors a prefix of
+    log2(n / window) signs leaves a window of them, so a pass meets the pair with probability
+    q ** log2(n / window) at least.
+    """
+    q = 1 - math.acos(cosine) / math.pi
+    meets = min(0.9, q ** max(0.0, math.log2(max(1, n) / window)))
+    return math.ceil(math.log(miss) / math.log1p(-meets))
+
+
 def unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
     x = flat.reshape(-1, dim).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -76,7 +89,7 @@ def _keys(vectors: DataFrame, passes: int, signs: int) -> DataFrame:
 
 
 def _sorted(keys: DataFrame) -> DataFrame:
-    """In key order by range, each pass apart; pairs across a border of partitions are left to the other passes."""
+    """In key order by range, each pass apart."""
     return keys.repartitionByRange("pass", "key", "id").sortWithinPartitions("pass", "key", "id")
 
 
@@ -86,37 +99,69 @@ def doubles(v: list[bytes], dim: int) -> np.ndarray:
     return unit_rows(np.concatenate(flat), dim) if flat else np.zeros((0, dim))
 
 
+def window_pairs(ps: np.ndarray, ids: np.ndarray, v: list[bytes], dim: np.ndarray, old: int, cosine: float, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of sorted rows from `old` on with those up to `window` rows before, in the same pass."""
+    found = [np.zeros((2, 0), np.int64)]
+    for d in np.unique(dim).tolist():
+        at = np.flatnonzero(dim == d)
+        x = doubles([v[i] for i in at], d)
+        for a in range(int(np.searchsorted(at, old)), len(at), window):
+            z, low = min(len(at), a + window), max(0, a - window)
+            i, j = np.nonzero(x[a:z] @ x[low:z].T >= cosine)
+            i, j = at[i + a], at[j + low]
+            ok = (j < i) & (ps[i] == ps[j]) & (ids[i] != ids[j])
+            found.append(np.stack([ids[i[ok]], ids[j[ok]]]))
+    return union_find(*np.concatenate(found, 1))
+
+
+FOUND = "a long, b long, border int, side int, at int, pass int, id long, v binary, dim long"
+
+
 def _window_links(sorted_rows: DataFrame, cosine: float, window: int) -> DataFrame:
-    """A spanning set of the links found in each sorted partition, each row against the `window` before it."""
+    """A spanning set of the links found: inside each sorted partition, then across the borders of partitions.
+
+    Each partition also gives its first and last `window` rows, for the borders before and behind it.
+    """
+
+    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        nothing = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *nothing], names=NAMES)
+
+    def edge(rows: tuple, border: int, side: int) -> pa.RecordBatch:
+        ps, ids, v, dim = rows
+        n = len(v)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([border] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(ps, pa.int32()), pa.array(ids, pa.int64()), pa.array(v, pa.binary()), pa.array(dim, pa.int64())], names=NAMES)
 
     def run(batches):
-        tail: dict = {"pass": np.zeros(0, np.int32), "id": np.zeros(0, np.int64), "v": [], "dim": np.zeros(0, np.int64)}
+        part = TaskContext.get().partitionId()
+        rows, head = (np.zeros(0, np.int32), np.zeros(0, np.int64), [], np.zeros(0, np.int64)), None
+        seen = 0
         for b in batches:
-            ps, ids = (np.concatenate([tail[k], b.column(i).to_numpy()]) for i, k in ((0, "pass"), (2, "id")))
-            v = tail["v"] + b.column(3).to_pylist()
-            dim = np.concatenate([tail["dim"], b.column(4).to_numpy()])
-            old, found = len(tail["v"]), []
-            for d in np.unique(dim).tolist():
-                at = np.flatnonzero(dim == d)
-                x = doubles([v[i] for i in at], d)
-                begin = int(np.searchsorted(at, old))
-                for a in range(begin, len(at), window):
-                    z, low = min(len(at), a + window), max(0, a - window)
-                    c = x[a:z] @ x[low:z].T
-                    i, j = np.nonzero(c >= cosine)
-                    i, j = at[i + a], at[j + low]
-                    ok = (j < i) & (ps[i] == ps[j])
-                    found.append(np.stack([ids[i[ok]], ids[j[ok]]]))
-            if found:
-                x, y = np.concatenate(found, 1)
-                ok = x != y
-                node, root = union_find(x[ok], y[ok])
-                if len(node):
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
-            k = max(0, len(v) - window)
-            tail = {"pass": ps[k:], "id": ids[k:], "v": v[k:], "dim": dim[k:]}
-
-    return sorted_rows.mapInArrow(run, "a long, b long")
+            old = len(rows[2])
+            rows = (*(np.concatenate([rows[k], b.column(c).to_numpy()]) for k, c in ((0, 0), (1, 2))), rows[2] + b.column(3).to_pylist(), np.concatenate([rows[3], b.column(4).to_numpy()]))
+            a, z = window_pairs(*rows, old, cosine, window)
+            if len(a):
+                yield links(a, z)
+            if seen < window:  # rows still hold all since the beginning
+                head = tuple(x[:window] for x in rows)
+            seen += b.num_rows
+            k = max(0, len(rows[2]) - window)
+            rows = tuple(x[k:] for x in rows)
+        if seen:
+            yield edge(head, part, 1)
+            yield edge(rows, part + 1, 0)
+
+    def across(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["side", "at"])
+        a, b = window_pairs(g["pass"].to_numpy(), g["id"].to_numpy(), g["v"].to_list(), g["dim"].to_numpy(), int((g["side"] == 0).sum()), cosine, window)
+        return pd.DataFrame({"a": a, "b": b})
+
+    found = truncate_lineage(sorted_rows.mapInArrow(run, FOUND))
+    between = found.filter("border IS NOT NULL").select("border", "side", "at", "pass", "id", "v", "dim").groupBy("border").applyInPandas(across, "a long, b long")
+    return found.filter("a IS NOT NULL").select("a", "b").unionByName(between)
+
+
+NAMES = [f.split()[0] for f in FOUND.split(", ")]
 
 
 def _links_inside(members: DataFrame, cosine: float) -> DataFrame:
@@ -145,8 +190,8 @@ def _links_inside(members: DataFrame, cosine: float) -> DataFrame:
     return m.groupBy("component", "i", "j").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def group_embeddings(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, passes: int = PASSES, signs: int = SIGNS, window: int = WINDOW) -> DataFrame:
-    """One row per row: id, n_links, component_id, kept."""
+def group_embeddings(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, passes: int | None = None, signs: int = SIGNS, window: int = WINDOW) -> DataFrame:
+    """One row per row: id, n_links, component_id, kept. passes: by default what the number of vectors asks for."""
     bound_batches(rows.sparkSession)
     v = F.col(vector)
     sound = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -155,6 +200,7 @@ def group_embeddings(rows: DataFrame, id_col: str = "vec_id", vector: str = "emb
     src = src.withColumn("vector", F.when((norm > 0) & (norm < float("inf")), F.col("vector")))
     distinct = src.filter(F.col("vector").isNotNull()).groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     distinct = truncate_lineage(distinct.select("id", "vector", "n"))
+    passes = passes or passes_for(distinct.count(), cosine, window)
     found = _window_links(_sorted(_keys(distinct.select("id", "vector"), passes, signs)), cosine, window)
     labels = connected_components(found)
     named = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -121,6 +121,22 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert embedding_dup.group_embeddings(df.limit(0)).count() == 0
 
 
+def test_windows_reach_over_partitions(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, 0, rng.normal(size=4).tolist()) for i in range(60)]
+    rows = [(i, rows[i // 2 * 2][2]) for i in range(60)]  # pairs of equal neighbours
+    df = spark.createDataFrame([(0, i, i, np.array(v, "<f8").tobytes(), 4) for i, v in rows], "pass int, key long, id long, v binary, dim long")
+    for parts in (1, 2, 7, 29):
+        cut = df.repartitionByRange(parts, "key").sortWithinPartitions("key")
+        got = {(r.a, r.b) for r in embedding_dup._window_links(cut, 0.999999, 3).collect()}
+        assert got == {(i + 1, i) for i in range(0, 60, 2)}
+
+
+def test_passes_grow_with_the_table():
+    n = [embedding_dup.passes_for(k) for k in (1, 1000, 10**5, 10**9)]
+    assert n == sorted(n) and n[0] >= 5 and n[-1] > 2 * n[2]
+
+
 def test_media_copies(spark, data):
     e = spark.read.parquet(f"{data}/embeddings.parquet")
     media = media_copies.render(e)
