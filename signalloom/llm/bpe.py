@@ -28,10 +28,10 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import add_columns, table
-from .words import SEGMENT, Segment, segments, separators, spread, string_bytes
+from .words import Segment, segments, separators, spread, string_bytes
 
 #: Chunks remembered in each of two generations, and the longest one that is remembered.
-MEMORY = 500_000
+MEMORY = 200_000
 LONGEST = 64
 #: The pattern of the byte-level pre-tokenizer where its file names none.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -230,7 +230,7 @@ class WordSplitter:
         self.cut, self.specials = forced_cuts(bpe), [t.encode() for t in bpe.specials]
 
     def __call__(self, texts: pa.Array) -> Iterator[Segment]:
-        for s in segments(*string_bytes(texts), BLANKS, 2 * SEGMENT):
+        for s in segments(*string_bytes(texts), BLANKS):
             here = np.zeros(len(s.b), bool)
             here[1:] = self.cut[(s.b[:-1].astype(np.uint16) << 8) | s.b[1:]]
             here[s.first] = False  # no cut where a text or a word begins anyway

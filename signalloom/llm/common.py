@@ -6,6 +6,8 @@ kernels get texts in packs of a fixed number of characters.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -66,6 +68,8 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[..., Sequence[pa.Arra
         for b in batches:
             cols = fn(*[b.column(i) for i in at])
             yield pa.RecordBatch.from_arrays([*(c if c.type == out.field(i).type else c.cast(out.field(i).type) for i, c in enumerate(b.columns[:n_kept])), *(c.cast(out.field(n_kept + i).type) for i, c in enumerate(cols))], schema=out)
+        del fn
+        release_memory()
 
     return src.mapInArrow(run, schema)
 
@@ -80,10 +84,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             got = fn(b)
             if got is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) if not isinstance(got[f.name], pa.Array) else got[f.name].cast(f.type) for f in out], schema=out)
+        del fn
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers are kept for the tasks of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def packs(texts: Sequence[str], most: int = PACK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most `most` characters together, or of one text."""
     a = size = 0
