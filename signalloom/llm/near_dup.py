@@ -43,6 +43,8 @@ PLACES = BANDS * ROWS
 #: Least part of equal places (8 bits each) for a pair of stage 4.
 MIN_AGREE = 0.65
 TILE = 1024
+#: Bytes hashed together; eight-byte tables of powers and sums go with each.
+SEGMENT = 1 << 20
 WORD_ENDS = separators([0x20, *range(0x09, 0x0E)])
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Elements whose permutations are held together.
@@ -66,7 +68,7 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     b = np.where((b >= 65) & (b <= 90), b | 0x20, b)
     n = len(texts)
     words, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for s in segments(b, offsets, WORD_ENDS):
+    for s in segments(b, offsets, WORD_ENDS, SEGMENT):
         words.append(span_hashes(s.b, s.first, s.end))
         docs.append(s.doc)
     h, d = np.concatenate(words), np.concatenate(docs)
@@ -254,6 +256,7 @@ def _open_links(members: DataFrame, labels: DataFrame, docs: DataFrame, classes:
     m = truncate_lineage(m.select("key", "rep", "n", "comp", (F.col("comp") != F.col("lcomp")).alias("out")))
     sizes = m.groupBy("key").agg(F.sum(F.col("out").cast("long")).alias("n_out"), F.count("*").alias("n_all"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     sizes = sizes.filter("n_out > 0 AND c0 < c1").select("key", F.ceil(F.col("n_out") / TILE).cast("int").alias("lb"), F.ceil(F.col("n_all") / TILE).cast("int").alias("rb"))
+    sizes = truncate_lineage(sizes)
     m = truncate_lineage(m.join(sizes, "key"))
     if not m.take(1):
         return None
@@ -281,6 +284,7 @@ def group_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> D
     classes = truncate_lineage(known.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     rows = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("low.rep").alias("leader"), F.col("low.n").alias("leader_n"))
+    buckets = truncate_lineage(buckets)  # apart from its grouping, so that a hot bucket's join can be split
     members = truncate_lineage(rows.join(buckets, "key"))
     pairs = members.filter((F.col("rep") != F.col("leader")) & _near_size("n", "leader_n", settings.percent)).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = truncate_lineage(pairs)
@@ -299,7 +303,8 @@ def group_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> D
 def keep_one_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs (any columns) with one document of each group: the one with the smallest id, once."""
     kept = group_near_duplicates(docs, settings).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = truncate_lineage(kept)
+    chosen = docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept, "doc_id", "left_semi").select(*docs.columns)
     copies = truncate_lineage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if copies.take(1):  # rows that share an id: one of them
         twice = chosen.join(copies, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
