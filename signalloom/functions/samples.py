@@ -120,15 +120,24 @@ def linear_resampled(data: Column, step: float) -> Column:
 
 
 def si_sdr(reference: Column, estimate: Column) -> Column:
-    """Scale-invariant signal-to-distortion ratio in dB; both sides lose their mean."""
+    """Scale-invariant signal-to-distortion ratio in dB; both sides lose their mean. One pass over the pair."""
     n = F.least(F.size(reference), F.size(estimate))
-    centred = lambda a: F.transform(F.slice(a, 1, n), lambda x: x.cast("double") - F.aggregate(F.slice(a, 1, n), F.lit(0.0), lambda s, y: s + y) / n)
-    r, e = centred(reference), centred(estimate)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    alpha = dot(e, r) / (dot(r, r) + 1e-12)
-    signal = alpha * alpha * dot(r, r)
-    noise = dot(e, e) - 2 * alpha * dot(e, r) + signal
-    return 10 * F.log10((signal + 1e-12) / (F.greatest(noise, F.lit(0.0)) + 1e-12))
+    pairs = F.zip_with(F.slice(reference, 1, n), F.slice(estimate, 1, n), lambda r, e: F.struct(r.cast("double").alias("r"), e.cast("double").alias("e")))
+    names = ("n", "r", "e", "rr", "ee", "er")
+    start = F.struct(*[F.lit(0.0).alias(k) for k in names])
+
+    def add(s: Column, p: Column) -> Column:
+        r, e = p["r"], p["e"]
+        terms = {"n": F.lit(1.0), "r": r, "e": e, "rr": r * r, "ee": e * e, "er": e * r}
+        return F.struct(*[(s[k] + terms[k]).alias(k) for k in names])
+
+    def ratio(s: Column) -> Column:
+        rr, ee, er = s["rr"] - s["r"] * s["r"] / s["n"], s["ee"] - s["e"] * s["e"] / s["n"], s["er"] - s["e"] * s["r"] / s["n"]
+        alpha = er / (rr + 1e-12)
+        signal = alpha * alpha * rr
+        return 10 * F.log10((signal + 1e-12) / (F.greatest(ee - 2 * alpha * er + signal, F.lit(0.0)) + 1e-12))
+
+    return F.when(n > 0, F.aggregate(pairs, start, add, ratio))
 
 
 def file_format(path: Column) -> Column:
