@@ -16,6 +16,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 from operator import add
 
@@ -31,7 +32,7 @@ from .common import add_columns, table
 from .words import Segment, segments, separators, spread, string_bytes
 
 #: Chunks remembered in each of two generations, and the longest one that is remembered.
-MEMORY = 200_000
+MEMORY = 150_000
 LONGEST = 64
 #: The pattern of the byte-level pre-tokenizer where its file names none.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -73,14 +74,13 @@ class ForcedBoundaryBPE:
     """A BPE model read from a tokenizer file of the tokenizers library."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in {**self.vocab, **self.specials}.items()}
         # the library sets special strings apart before it normalises
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.folds = bool(spec["normalizer"])  # NFC, runs of white space to one space, lower case
@@ -93,6 +93,17 @@ class ForcedBoundaryBPE:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model  # merges a fragment that ends a word, or any if words have no end mark
 
+    @cached_property
+    def ranks(self) -> dict[tuple[str, str], int]:
+        """Merges by rank; read when a fragment is first merged here."""
+        with open(self.path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        return {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(merges)}
+
+    @cached_property
+    def tokens(self) -> dict[int, str]:
+        return {i: t for t, i in {**self.vocab, **self.specials}.items()}
+
     def _joint_pairs(self) -> frozenset[str]:
         """The byte pairs that occur inside some vocabulary token, in byte letters; any other pair is a forced boundary."""
         inside = set()

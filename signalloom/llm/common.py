@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Upper bounds of one Arrow batch sent to a Python worker.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 #: Characters that a kernel looks at together.
 PACK_CHARS = 1 << 20
