@@ -167,6 +167,7 @@ NAMES = [f.split()[0] for f in FOUND.split(", ")]
 def _links_inside(members: DataFrame, cosine: float) -> DataFrame:
     """(id, links): for members (component, id, n, vector) the sum of n over the others within `cosine`."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    sizes = truncate_lineage(sizes)  # apart from its grouping, so that the join of a hot component can be split
     m = members.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     m = m.withColumn("other", others)
@@ -187,6 +188,7 @@ def _links_inside(members: DataFrame, cosine: float) -> DataFrame:
                 out.append(pd.DataFrame({"id": same["id"].to_numpy()[b], "links": near.T @ n[a]}))
         return pd.concat(out)
 
+    m = m.repartition("component", "i", "j")  # else the tiles of a component stay where the join by component put them
     return m.groupBy("component", "i", "j").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
@@ -206,6 +208,7 @@ def group_embeddings(rows: DataFrame, id_col: str = "vec_id", vector: str = "emb
     named = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = truncate_lineage(named)
     several = named.groupBy("component").agg(F.count("*").alias("c")).filter("c > 1").select("component")
+    several = truncate_lineage(several)
     links = _links_inside(named.join(several, "component"), cosine)
     per_vector = named.join(links, "id", "left").select("vector", F.col("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
     out = src.join(per_vector, "vector", "left")
