@@ -1,18 +1,21 @@
 """Copies of images, cropped or edited, by local descriptors.
 
 Corners (Harris response, local maxima) are taken on the image and on its half; each gets the direction of its
-intensity centroid, and a row of binary tests in a pattern turned to that direction. The descriptor is cut into
-TABLES parts; images are joined where a part of one corner's descriptor is equal. In each bucket all images
-are paired with the smallest id only, so pairs grow with the corners, not with their square. Pairs with VOTES
-shared parts are verified: corners are matched by Hamming distance, and a similarity (shift, turn, scale) must
-hold for MIN_INLIERS of the matches and MIN_PART of them. Verified pairs are united into classes.
+intensity centroid, and a row of binary tests in a pattern turned to that direction. Images of equal corners and
+descriptors are one from then on. The descriptor is cut into TABLES parts, and every pair of images with VOTES
+equal parts is a candidate: images are dealt into blocks of about BLOCK, and each pair of blocks is one task,
+which holds their descriptors. It first pairs each image with the smallest one of every part's bucket; then all
+pairs with VOTES parts that the links so far leave in different components, so only these are enumerated.
+Candidates are verified: corners are matched by Hamming distance, and a similarity (shift, turn, scale) must
+hold for MIN_INLIERS of the matches and MIN_PART of them. Only links that join two components leave the task,
+fewer than its images; they are united into classes.
 
 The driver's tables hold no media, so op2 renders the column itself: each embedding becomes a grey image, a
 fixed random field per component weighted by its value, and every twentieth id gets a second, edited image:
 cropped, brightened, with noise.
 
 Edge cases: a null or unreadable image, a flat one or one smaller than a test pattern has no corners and is a
-class of its own. Equal images always share their parts, hence a class. Repeated ids are one node.
+class of its own. Equal images with a corner are one class. Repeated ids are one node.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +31,13 @@ from pyspark.sql import types as T
 
 from .common import map_batches, table, truncate_lineage
 from .components import connected_components
-from .pairs import with_payloads
 
 CORNERS = (20, 8)  # most on the image and on its half
 BITS, TABLES = 128, 4
 RADIUS, TURNS = 8, 24
 VOTES, NEAR_BITS, MIN_INLIERS, MIN_PART, REACH = 2, 24, 6, 0.5, 2.5
+#: Images a block, and votes that a task counts together.
+BLOCK, CHUNK = 16_384, 4_000_000
 SEED = 97
 QUERY_EVERY = 20
 FEATURES = T.StructType([T.StructField("n_corners", T.IntegerType()), T.StructField("parts", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
@@ -190,32 +195,117 @@ def is_copy(a: bytes, b: bytes) -> bool:
     return a == b or good >= MIN_INLIERS and good >= MIN_PART * matched
 
 
+def _parts(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the image and part, each once, by part and then image."""
+    bits = [_unpack(x)[1] for x in data]
+    keys = np.concatenate(bits).reshape(-1, TABLES, BITS // 8 // TABLES).view(">u4")[..., 0].astype(np.int64) | (np.arange(TABLES, dtype=np.int64) << 32)
+    at = np.repeat(np.arange(len(data)), [len(x) * TABLES for x in bits])
+    keys = keys.ravel()
+    order = np.lexsort((at, keys))
+    at, keys = at[order], keys[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (keys[1:] != keys[:-1])
+    return at[new], keys[new]
+
+
+def _starts(new: np.ndarray) -> np.ndarray:
+    """For each place of a run-start mask, the start of its run."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _changed(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+
+
+def _voted(at: np.ndarray, keys: np.ndarray, comp: np.ndarray, side: np.ndarray | None):
+    """All pairs (a, b) of images of different components with VOTES parts, most votes first in each chunk."""
+    size = np.bincount(comp, minlength=len(comp))[comp]
+    order = np.lexsort((comp, -size))  # the largest component enumerates nothing
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    at = rank[at]
+    sort = np.lexsort((at, keys))
+    at, keys, comp = at[sort], keys[sort], comp[order]
+    bucket = _changed(keys)
+    first, own = _starts(bucket), _starts(bucket | _changed(comp[at]))
+    n = own - first  # of other components, before its own in the bucket
+    by_image = np.argsort(at, kind="stable")
+    by_image = by_image[n[by_image] > 0]
+    image, first, n = at[by_image], first[by_image], n[by_image]
+    ends = np.cumsum(n)
+    cut = np.flatnonzero(_changed(image))
+    last = ends[np.append(cut[1:], len(image)) - 1] if len(image) else ends
+    group = np.flatnonzero(_changed(last // CHUNK))
+    for x, z in zip(cut[group], np.append(cut[group[1:]], len(image))):
+        k = n[x:z]
+        b = at[np.repeat(first[x:z] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+        pairs, votes = np.unique(np.repeat(image[x:z], k) * len(order) + b, return_counts=True)
+        pairs = pairs[votes >= VOTES][np.argsort(-votes[votes >= VOTES], kind="stable")]
+        a, b = order[pairs // len(order)], order[pairs % len(order)]
+        if side is not None:
+            across = side[a] != side[b]
+            a, b = a[across], b[across]
+        yield from zip(a.tolist(), b.tolist())
+
+
+def joining_links(ids: np.ndarray, data: list[bytes], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join components, of all pairs with VOTES parts; with sides, of those across them at least."""
+    order = np.argsort(ids, kind="stable")
+    ids, data, side = ids[order], [data[i] for i in order], None if side is None else side[order]
+    at, keys = _parts(data)
+    shared = _changed(keys)
+    shared = ~(shared & np.append(shared[1:], True))  # in a bucket of several
+    at, keys = at[shared], keys[shared]
+    parent, out = list(range(len(ids))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def meet(a: int, b: int) -> None:
+        x, y = root(a), root(b)
+        if x != y and is_copy(data[a], data[b]):
+            parent[max(x, y)] = min(x, y)
+            out.append((int(ids[a]), int(ids[b])))
+
+    leader = at[_starts(_changed(keys))] if len(at) else at
+    pairs, votes = np.unique((leader * len(ids) + at)[leader != at], return_counts=True)
+    for p in pairs[votes >= VOTES].tolist():
+        meet(*divmod(p, len(ids)))
+    comp = np.array([root(i) for i in range(len(ids))], np.int64)
+    for a, b in _voted(at, keys, comp, side):
+        meet(a, b)
+    return out
+
+
 def group_copies(media: DataFrame, id_col: str = "media_id", image: str = "image") -> DataFrame:
     """One row per image: id, n_corners, class_id (smallest id reachable), kept."""
     src = media.select(F.col(id_col).alias("id"), F.col(image))
 
     def make():
-        return lambda b: {"id": b.column(0), **features_of(b.column(1).to_pylist())}
-
-    features = truncate_lineage(map_batches(src, make, T.StructType([T.StructField("id", T.LongType()), *FEATURES.fields])))
-    known = features.filter(F.col("id").isNotNull() & (F.col("n_corners") > 0))
-    rows = known.select("id", F.explode("parts").alias("part"))
-    buckets = rows.groupBy("part").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("part", "a")
-    buckets = truncate_lineage(buckets)  # apart from its grouping, so that the join of a hot part can be split
-    pairs = rows.join(buckets, "part").filter(F.col("id") != F.col("a")).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("votes"))
-    pairs = truncate_lineage(pairs.filter(F.col("votes") >= VOTES).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    payload = known.join(wanted, "id", "left_semi").select("id", "data").dropDuplicates(["id"])
-
-    def check():
         def run(b: pa.RecordBatch) -> dict:
-            keep = pa.array(np.flatnonzero([is_copy(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3))]))
-            return {"a": b.column(0).take(keep), "b": b.column(1).take(keep)}
+            return {"id": b.column(0), **features_of(b.column(1).to_pylist())}
 
         return run
 
-    links = map_batches(with_payloads(pairs, payload), check, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    labels = connected_components(links)
+    features = map_batches(src, make, T.StructType([T.StructField("id", T.LongType()), *FEATURES.fields]))
+    features = truncate_lineage(features.select("id", "n_corners", "data", F.when(F.col("n_corners") > 0, F.unhex(F.sha2("data", 256))).alias("same")))
+    known = features.filter(F.col("id").isNotNull() & (F.col("n_corners") > 0))
+    groups = truncate_lineage(known.groupBy("same").agg(F.min("id").alias("a"), F.count("*").alias("n")))
+    several = known.join(groups.filter("n > 1"), "same").select("a", F.col("id").alias("b")).filter("a <> b")
+    blocks = max(1, -(-groups.count() // BLOCK))
+    one = known.join(groups.select("same", F.col("a").alias("id")), ["same", "id"], "left_semi").dropDuplicates(["same", "id"])
+    block = F.pmod(F.xxhash64("id", "same"), F.lit(blocks)).cast("int")
+    dealt = one.select("id", "data", block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "data")
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        side = g["block"].to_numpy() if g["i"].iat[0] != g["j"].iat[0] else None
+        return pd.DataFrame(joining_links(g["id"].to_numpy(), g["data"].to_list(), side), columns=["a", "b"], dtype=np.int64)
+
+    links = dealt.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j").applyInPandas(compare, "a long, b long")
+    labels = connected_components(links.unionByName(several))
     out = features.select("id", "n_corners").join(labels.withColumnRenamed("node", "id"), "id", "left")
     class_id = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_corners", class_id.alias("class_id"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"))

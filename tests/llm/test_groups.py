@@ -148,6 +148,45 @@ def test_media_copies(spark, data):
     assert media_copies.group_copies(media.limit(0)).count() == 0
 
 
+def test_media_copies_behind_another_leader(spark, monkeypatch):
+    """Copies whose shared parts are all led by an unrelated image of a smaller id."""
+    x = media_copies.fields(64)[3].reshape(64, 64) * 40 + 128
+    a, b = media_copies.features_of([media_copies.grey_bytes(np.clip(v, 0, 255)) for v in (x, x[6:, 3:])])["data"].to_pylist()
+    parts = [{(t, bytes(r[4 * t : 4 * t + 4])) for r in media_copies._unpack(v)[1] for t in range(4)} for v in (a, b)]
+    shared = sorted(parts[0] & parts[1])
+    assert len(shared) > 4 and media_copies.is_copy(a, b)
+    rng, fakes = np.random.default_rng(0), []
+    for t, p in shared:  # leads one part each, so no leader has two with either copy
+        bits = rng.integers(0, 256, (1, 16)).astype(np.uint8)
+        bits[0, 4 * t : 4 * t + 4] = np.frombuffer(p, np.uint8)
+        fakes.append(np.zeros((1, 3), np.float32).tobytes() + bits.tobytes())
+    data = [*fakes, a, b, b]
+    n = len(fakes)
+    assert media_copies.joining_links(np.arange(n + 2), data[:-1]) in ([(n, n + 1)], [(n + 1, n)])
+    made = lambda images: {"n_corners": [9] * len(images), "parts": [[(t << 32) | int.from_bytes(r[4 * t : 4 * t + 4].tobytes(), "big") for r in media_copies._unpack(v)[1] for t in range(4)] for v in images], "data": images}
+    monkeypatch.setattr(media_copies, "features_of", made)
+    media = spark.createDataFrame(list(enumerate(map(bytearray, data))), "media_id long, image binary")
+    got = {r.media_id: r.class_id for r in media_copies.group_copies(media).collect()}
+    assert got == {i: min(i, n) for i in range(n + 3)}
+
+
+def test_media_votes_equal_brute_force(spark, data, monkeypatch):
+    rows = media_copies.render(spark.read.parquet(f"{data}/embeddings.parquet")).collect()
+    made = media_copies.features_of([bytes(r.image) if r.image else None for r in rows])
+    parts, desc = [set(p) for p in made["parts"].to_pylist()], made["data"].to_pylist()
+    want = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(parts[i] & parts[j]) >= media_copies.VOTES and media_copies.is_copy(desc[i], desc[j])])
+    ids = [r.media_id for r in rows]
+    least = {c: min(ids[i] for i in range(len(rows)) if want[i] == c) for c in want}
+    media = spark.createDataFrame([(r.media_id, r.image) for r in rows], "media_id long, image binary")
+    for block, chunk in ((100, 500), (16_384, 4_000_000)):
+        monkeypatch.setattr(media_copies, "BLOCK", block)
+        monkeypatch.setattr(media_copies, "CHUNK", chunk)
+        links = media_copies.joining_links(np.array(ids), desc)
+        assert roots(max(ids) + 1, links) == [least[want[ids.index(i)]] if i in ids else i for i in range(max(ids) + 1)]
+        got = {r.media_id: r.class_id for r in media_copies.group_copies(media).collect()}
+        assert got == {i: least[want[k]] for k, i in enumerate(ids)}
+
+
 def test_turned_and_resized_copies():
     x = media_copies.fields(64)[3].reshape(64, 64) * 40 + 128
     for y in (np.rot90(x), x[6:, 3:], x * 0.7 + 30):
