@@ -4,6 +4,12 @@ Each pass gives every vector a key: its signs against random hyperplanes, most s
 sorted by the key, so that near ones share long prefixes, and each is compared, in double precision, with the
 WINDOW vectors before it, across the borders of partitions too. Verified pairs of all passes are united into components.
 
+How dense the vectors lie is measured: a vector and WINDOW rows before and behind it in a pass share so many signs, and
+one sign more leads to all its neighbours inside the window. How likely a vector at the threshold has these signs too
+follows from how far from the hyperplanes this one lies (where planes cut a dense place, that is near). So each pass
+adds to the probability that a pair is met, and where either vector reaches 1 - MISS the pair is done. Vectors that are open meet again in
+further passes of their own; those too dense for as many passes again, or few, are compared exactly, in tiles.
+
 A link can only lie inside a component, so the links of each vector are then counted exactly there: the
 members of a component of more than one distinct vector are dealt into tiles of bounded size, and every pair
 of tiles is one task's matrix product that yields counts, not pairs.
@@ -33,6 +39,8 @@ COSINE = 0.95
 #: Signs a key, vectors compared before each, and the probability with which a pair at the threshold may be missed.
 SIGNS, WINDOW, MISS = 48, 128, 1e-5
 TILE = 512
+#: Open vectors that are always compared exactly, those of a tile there, and most rounds of passes.
+EXACT, EXACT_TILE, ROUNDS = 16_384, 8192, 8
 SEED = 20240607
 
 
@@ -53,11 +61,11 @@ def unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def planes(dim: int, passes: int, signs: int) -> np.ndarray:
-    return np.random.default_rng((SEED, dim)).standard_normal((dim, passes * signs))
+def planes(dim: int, passes: int, signs: int, turn: int = 0) -> np.ndarray:
+    return np.random.default_rng((SEED, dim, turn) if turn else (SEED, dim)).standard_normal((dim, passes * signs))
 
 
-def _keys(vectors: DataFrame, passes: int, signs: int) -> DataFrame:
+def _keys(vectors: DataFrame, passes: int, signs: int, turn: int = 0) -> DataFrame:
     """(pass, key, id, v, dim) for every pass; v: the vector as bytes of floats where these are exact, else of doubles."""
 
     def make():
@@ -71,7 +79,7 @@ def _keys(vectors: DataFrame, passes: int, signs: int) -> DataFrame:
                 at = np.flatnonzero(sizes == dim)
                 flat = lists.take(pa.array(at)).flatten().to_numpy()
                 if dim not in made:
-                    made[dim] = planes(dim, passes, signs)
+                    made[dim] = planes(dim, passes, signs, turn)
                 bits = (unit_rows(flat, dim) @ made[dim] > 0).reshape(len(at), passes, signs)
                 key = (bits * (np.int64(1) << np.arange(signs - 1, -1, -1, dtype=np.int64))).sum(2)
                 raw = np.ascontiguousarray(flat, np.float64).reshape(len(at), dim)
@@ -114,29 +122,84 @@ def window_pairs(ps: np.ndarray, ids: np.ndarray, v: list[bytes], dim: np.ndarra
     return union_find(*np.concatenate(found, 1))
 
 
-FOUND = "a long, b long, border int, side int, at int, pass int, id long, v binary, dim long"
+def levels(ps: np.ndarray, keys: np.ndarray, window: int, signs: int) -> np.ndarray:
+    """For sorted rows the signs by which a row's neighbours are all inside the window; signs + 1 where that isn't seen."""
+    out = np.full(len(ps), -1)
+    for step in (window, -window):  # behind and before
+        i = np.arange(len(ps)) + step
+        seen = (i >= 0) & (i < len(ps))
+        i = np.clip(i, 0, len(ps) - 1)
+        shared = np.where(seen, signs - np.frexp((keys ^ keys[i]).astype(np.float64))[1], signs)
+        out = np.maximum(out, np.where(ps == ps[i], shared, -1))
+    return out + 1
+
+
+#: Logarithm of the normal distribution, at steps of 1 / 256.
+_LOG_NORMAL = np.log([0.5 * (1 + math.erf(i / 256 / math.sqrt(2))) for i in range(2048)])
+
+
+def reach(x: np.ndarray, planes_: np.ndarray, cosine: float) -> np.ndarray:
+    """For unit rows the probability that a vector at `cosine` has the same first 0, 1, 2, ... signs, from below.
+
+    Its product with a plane is cosine * m + sine * g for this row's product m and a standard normal g.
+    """
+    m = np.abs(x @ planes_) * (cosine / math.sqrt(max(1e-12, 1 - cosine * cosine)))
+    out = np.zeros((len(x), planes_.shape[1] + 1))
+    np.cumsum(_LOG_NORMAL[np.minimum(m * 256, 2047).astype(np.int64)], axis=1, out=out[:, 1:])
+    return np.exp(out)
+
+
+FOUND = "a long, b long, border int, side int, at int, pass int, id long, v binary, dim long, miss double"
 
 
 def _window_links(sorted_rows: DataFrame, cosine: float, window: int) -> DataFrame:
+    return _window_found(sorted_rows, cosine, window, SIGNS, 1)[0]
+
+
+def _window_found(sorted_rows: DataFrame, cosine: float, window: int, signs: int, passes: int, turn: int = 0) -> tuple[DataFrame, DataFrame]:
     """A spanning set of the links found: inside each sorted partition, then across the borders of partitions.
 
-    Each partition also gives its first and last `window` rows, for the borders before and behind it.
+    Each partition also gives its first and last `window` rows, for the borders before and behind it. The second
+    table, (id, miss), has for a vector's row of a pass the logarithm of the probability that the pass misses a pair
+    at the threshold; rows at the borders of partitions are left out, as if they met nothing.
     """
 
+    def reached(b: pa.RecordBatch, made: dict[int, np.ndarray]) -> np.ndarray:
+        ps, v, dim, out = b.column(0).to_numpy(), b.column(3).to_pylist(), b.column(4).to_numpy(), np.zeros((b.num_rows, signs + 1))
+        for d in np.unique(dim).tolist():
+            if d not in made:
+                made[d] = planes(d, passes, signs, turn)
+            for p in np.unique(ps[dim == d]).tolist():
+                at = np.flatnonzero((dim == d) & (ps == p))
+                out[at] = reach(doubles([v[i] for i in at], d), made[d][:, p * signs : (p + 1) * signs], cosine)
+        return out
+
+    def missed(ids: np.ndarray, reach_: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(level <= signs)
+        ids, meets = ids[at], reach_[at, level[at]]
+        nothing = [pa.nulls(len(ids), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())]
+        return pa.RecordBatch.from_arrays([*nothing, pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.int64()), pa.array(np.log1p(-np.minimum(meets, 1 - 1e-6)))], names=NAMES)
+
     def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        nothing = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64())]
+        nothing = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.float64())]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *nothing], names=NAMES)
 
     def edge(rows: tuple, border: int, side: int) -> pa.RecordBatch:
         ps, ids, v, dim = rows
         n = len(v)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([border] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(ps, pa.int32()), pa.array(ids, pa.int64()), pa.array(v, pa.binary()), pa.array(dim, pa.int64())], names=NAMES)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([border] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(ps, pa.int32()), pa.array(ids, pa.int64()), pa.array(v, pa.binary()), pa.array(dim, pa.int64()), pa.nulls(n, pa.float64())], names=NAMES)
 
     def run(batches):
         part = TaskContext.get().partitionId()
         rows, head = (np.zeros(0, np.int32), np.zeros(0, np.int64), [], np.zeros(0, np.int64)), None
-        seen = 0
+        seen = done = 0
+        near, made = [*[np.zeros(0, np.int64)] * 3, np.zeros((0, signs + 1))], {}  # pass, key, id, reach; `done` of them are given
         for b in batches:
+            near = [np.concatenate([x, b.column(c).to_numpy() if c < 3 else reached(b, made)]) for c, x in enumerate(near)]
+            k = max(done, len(near[0]) - window)
+            if k > done:
+                yield missed(near[2][done:k], near[3][done:k], levels(near[0], near[1], window, signs)[done:k])
+            done, near = min(k, window), [x[max(0, k - window) :] for x in near]
             old = len(rows[2])
             rows = (*(np.concatenate([rows[k], b.column(c).to_numpy()]) for k, c in ((0, 0), (1, 2))), rows[2] + b.column(3).to_pylist(), np.concatenate([rows[3], b.column(4).to_numpy()]))
             a, z = window_pairs(*rows, old, cosine, window)
@@ -158,12 +221,70 @@ def _window_links(sorted_rows: DataFrame, cosine: float, window: int) -> DataFra
 
     found = truncate_lineage(sorted_rows.mapInArrow(run, FOUND))
     between = found.filter("border IS NOT NULL").select("border", "side", "at", "pass", "id", "v", "dim").groupBy("border").applyInPandas(across, "a long, b long")
-    return found.filter("a IS NOT NULL").select("a", "b").unionByName(between)
+    return found.filter("a IS NOT NULL").select("a", "b").unionByName(between), found.filter("miss IS NOT NULL").select("id", "miss")
 
 
 NAMES = [f.split()[0] for f in FOUND.split(", ")]
 
 
+def joining_links(x: np.ndarray, ids: np.ndarray, comp: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float) -> list[tuple[int, int]]:
+    """Of the links between rows a and rows b, enough to join the components that they join."""
+    names, comp = np.unique(comp, return_inverse=True)
+    out = []
+    for s in range(0, len(a), TILE):
+        some = a[s : s + TILE]
+        i, j = np.nonzero(((x[some] @ x[b].T) >= cosine) & (comp[some][:, None] != comp[b]))
+        i, j = some[i], b[j]
+        _, first = np.unique(np.minimum(comp[i], comp[j]) * len(names) + np.maximum(comp[i], comp[j]), return_index=True)
+        i, j = i[first], j[first]
+        out += zip(ids[i].tolist(), ids[j].tolist())
+        to = np.arange(len(names))
+        node, root = union_find(comp[i], comp[j])
+        to[node] = root
+        comp = to[comp]
+    return out
+
+
+def _exact_links(members: DataFrame, n: int, cosine: float) -> DataFrame:
+    """Links among n members (id, vector, component) that join components, from all pairs of them, in tiles."""
+    tiles = max(-(-n // EXACT_TILE), min(6, -(-n // 1024)))
+    m = members.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    m = m.select(F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component", "vector")
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, same in g.groupby(g["vector"].map(len)):
+            x = unit_rows(np.concatenate(same["vector"].to_list()), len(same["vector"].iat[0]))
+            a, b = (np.flatnonzero(same["tile"].to_numpy() == g[c].iat[0]) for c in ("i", "j"))
+            out += joining_links(x, same["id"].to_numpy(), same["component"].to_numpy(), a, b, cosine)
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return m.repartition(tiles * (tiles + 1) // 2, "i", "j").groupBy("i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _all_links(distinct: DataFrame, passes: int, cosine: float, window: int, signs: int) -> DataFrame:
+    """(node, component) of distinct (id, vector): passes, further passes of open vectors, dense ones exactly."""
+    left, most, done, found = distinct.select("id", "vector", F.lit(0.0).alias("spent")), passes, 0, None
+    for turn in range(ROUNDS):
+        links, misses = _window_found(_sorted(_keys(left.select("id", "vector"), passes, signs, turn)), cosine, window, signs, passes, turn)
+        found = links if found is None else found.unionByName(links)
+        done += passes
+        spent = left.select("id", "spent").join(misses.groupBy("id").agg(F.when(F.count("*") <= passes, F.sum("miss")).alias("m")), "id", "left")  # none for ids of several vectors
+        open_ = truncate_lineage(spent.select("id", (F.col("spent") + F.coalesce("m", F.lit(0.0))).alias("spent")).filter(F.col("spent") > math.log(MISS)).dropDuplicates(["id"]))
+        need = F.when(F.col("spent") < 0, (F.col("spent") - math.log(MISS)) * done / -F.col("spent"))  # passes, at its pace so far
+        n, more = open_.agg(F.count("*"), F.max(F.when(need <= most, need))).first()
+        if n <= EXACT or more is None:
+            break
+        passes = max(1, math.ceil(more))
+        left = distinct.join(open_, "id").select("id", "vector", "spent")
+    labels = connected_components(found)
+    if n < 2:
+        return labels
+    members = distinct.select("id", "vector").join(open_.select("id"), "id", "left_semi").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    more = truncate_lineage(_exact_links(members.withColumn("component", F.coalesce("component", "id")), n, cosine))
+    return connected_components(found.unionByName(more)) if more.take(1) else labels
+
+
 def _links_inside(members: DataFrame, cosine: float) -> DataFrame:
     """(id, links): for members (component, id, n, vector) the sum of n over the others within `cosine`."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
@@ -193,7 +314,7 @@ def _links_inside(members: DataFrame, cosine: float) -> DataFrame:
 
 
 def group_embeddings(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, passes: int | None = None, signs: int = SIGNS, window: int = WINDOW) -> DataFrame:
-    """One row per row: id, n_links, component_id, kept. passes: by default what the number of vectors asks for."""
+    """One row per row: id, n_links, component_id, kept. passes: of the first round; by default what the number of vectors asks for."""
     bound_batches(rows.sparkSession)
     v = F.col(vector)
     sound = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -203,8 +324,7 @@ def group_embeddings(rows: DataFrame, id_col: str = "vec_id", vector: str = "emb
     distinct = src.filter(F.col("vector").isNotNull()).groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     distinct = truncate_lineage(distinct.select("id", "vector", "n"))
     passes = passes or passes_for(distinct.count(), cosine, window)
-    found = _window_links(_sorted(_keys(distinct.select("id", "vector"), passes, signs)), cosine, window)
-    labels = connected_components(found)
+    labels = _all_links(distinct, passes, cosine, window, signs)
     named = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = truncate_lineage(named)
     several = named.groupBy("component").agg(F.count("*").alias("c")).filter("c > 1").select("component")

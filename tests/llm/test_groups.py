@@ -132,6 +132,32 @@ def test_windows_reach_over_partitions(spark):
         assert got == {(i + 1, i) for i in range(0, 60, 2)}
 
 
+@pytest.mark.parametrize("exact", [50, 16_384])
+def test_links_in_a_dense_cone(spark, monkeypatch, exact):
+    """Pairs at the threshold among many vectors that lie close, but are no links."""
+    monkeypatch.setattr(embedding_dup, "EXACT", exact)
+    rng, unit = np.random.default_rng(3), lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    cone = unit(np.sqrt(0.88) * unit(rng.normal(size=64)) + np.sqrt(0.12) * unit(rng.normal(size=(1500, 64))))
+    near = cone[:200]
+    side = rng.normal(size=near.shape)
+    side = unit(side - (side * near).sum(1, keepdims=True) * near)
+    rows = list(enumerate(np.concatenate([cone, 0.955 * near + np.sqrt(1 - 0.955**2) * side, rng.normal(size=(300, 64))]).tolist()))
+    deg, comp = brute_vectors(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embedding_dup.group_embeddings(df, window=8).toPandas().sort_values("vec_id")
+    assert got["n_links"].tolist() == deg and got["component_id"].tolist() == comp and sum(deg) >= 400
+
+
+def test_levels_beside_brute_force():
+    rng = np.random.default_rng(4)
+    ps, keys = np.repeat([0, 1], 60), np.concatenate([np.sort(rng.integers(0, 256, 60)) for _ in range(2)])
+    got = embedding_dup.levels(ps, keys, 5, 8)
+    for i in range(120):
+        inside = [all(abs(i - j) < 5 for j in range(120) if ps[j] == ps[i] and (keys[i] ^ keys[j]) >> (8 - k) == 0) for k in range(9)]
+        if 5 <= i < 115:
+            assert got[i] == (inside.index(True) if True in inside else 9)
+
+
 def test_passes_grow_with_the_table():
     n = [embedding_dup.passes_for(k) for k in (1, 1000, 10**5, 10**9)]
     assert n == sorted(n) and n[0] >= 5 and n[-1] > 2 * n[2]
