@@ -141,15 +141,27 @@ def _class(chars: set[str]) -> str:
 
 DISGUISED = re.compile(_class(set(CHARACTERS)))
 # Spelled digits and signs.
-DIGITS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+_numbers = (
+    "zero one two three four five six seven eight nine",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+)
+DIGITS = {w: str(i) for row in _numbers for i, w in enumerate(row.split())} | {"zwo": "2", "fuenf": "5"}
 AT_WORDS, DOT_WORDS = r"(?:at|arroba|arobase)", r"(?:dot|punto|point|punkt)"
-TOP_LEVEL = r"(?:com|org|net|edu|gov|mil|int|info|biz|name|io|co|ai|app|dev|me|tv|xyz|online|site|test|example|invalid|local|de|fr|es|uk|eu|us|ca|au|in|jp|cn|br|mx|ru|ch|at|be|it|nl|pl|pt|se|no|dk|fi|ie)"
+# Generic names, and those of all countries.
+_top_level = (
+    "com org net edu gov mil int info biz name app dev xyz online site test example invalid local "
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo bq br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg eh er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky "
+    "kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+)
+TOP_LEVEL = f"(?:{'|'.join(_top_level.split())})"
 
 REFERENCE = re.compile(r"&#0*64;|&#[xX]0*40;|&commat;|%40|&#0*46;|&#[xX]0*2[eE];|&period;")
-_word = "|".join(DIGITS)
+_word = "|".join(sorted(DIGITS, key=len, reverse=True))  # `uno` before `un`
 _element = rf"(?:{_word}|[0-9]++)"
-SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -])?{_element}(?:[ ,()-]{{1,2}}(?:{DOT_WORDS}[ -])?{_element}){{3,}}(?![A-Za-z0-9])", re.I)
-SPELLED_PART = re.compile(rf"plus[ -]|[ ,()-]{{1,2}}(?:{DOT_WORDS}[ -])?|{_word}|[0-9]+", re.I)
+SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|más)[ -])?{_element}(?:[ ,()-]{{1,2}}(?:{DOT_WORDS}[ -])?{_element}){{3,}}(?![A-Za-z0-9])", re.I)
+SPELLED_PART = re.compile(rf"(?:plus|más)[ -]|[ ,()-]{{1,2}}(?:{DOT_WORDS}[ -])?|{_word}|[0-9]+", re.I)
 BRACKETED = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:(?P<at>{AT_WORDS}|@)|{DOT_WORDS}|\.)[ \t]*[\])}}>][ \t]*", re.I)
 DOT_BETWEEN_NUMBERS = re.compile(rf"(?<=[0-9])[ \t]+{DOT_WORDS}[ \t]+(?=[0-9])", re.I)
 #: A spelled at with what may be a domain behind it, its dots spelled or not.
@@ -201,7 +213,7 @@ def _spelled_digits_of(m: Mapped) -> list[tuple[int, int, str]]:
         for i, (a, z, p) in enumerate(parts):
             if p in DIGITS:
                 out.append((a, z, DIGITS[p]))
-            elif p.startswith("plus"):
+            elif p.startswith(("plus", "más")):
                 out.append((a, z, "+"))
             elif not p.isdigit():
                 if p.strip(" ,()-"):

@@ -123,6 +123,15 @@ def test_disguises_map_back(kind, text):
     assert text not in pii.redacted(source) and f"[{kind.upper()}]" in pii.redacted(source)
 
 
+@pytest.mark.parametrize("kind,text", [
+    ("card", "cuatro uno uno uno uno uno uno uno uno uno uno uno uno uno uno uno"), ("card", "quatre un un un un un un un un un un un un un un un"), ("card", "vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins"),
+    ("phone", "más tres cuatro nueve uno dos tres cuatro cinco seis siete"), ("phone", "plus trois trois un deux trois quatre cinq six sept huit zéro"), ("phone", "Plus vier neun drei null fünf sechs SIEBEN acht neun zwo"),
+    ("email", "jane at host dot nz"), ("email", "jane arroba host punto gr"), ("email", "jane [at] host [dot] co [dot] za"), ("email", "jane at host punkt ua"),
+])
+def test_disguises_of_other_languages_and_countries(kind, text):
+    test_disguises_map_back(kind, text)
+
+
 def test_clean_texts_have_no_spans(documents):
     for t in ("look at the thing. And", "one two of nine", "meet at noon dot the i", *(re.sub(r"[0-9@+]", "", r.text) for r in documents.select("text").collect())):
         assert pii.find(t) == ([], [])
