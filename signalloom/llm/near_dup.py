@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, mix64, table, truncate_lineage
+from .common import add_columns, map_batches, mix64, table, truncate_lineage
 from .components import connected_components
 from .pairs import with_payloads
 from .words import segments, separators, span_hashes, string_bytes
@@ -278,6 +278,11 @@ def _open_links(members: DataFrame, labels: DataFrame, docs: DataFrame, classes:
 
 def group_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per row of docs (doc_id long, text): doc_id, n_shingles, component_id, kept."""
+    return _grouped(docs, settings).drop("fp_a", "fp_b")
+
+
+def _grouped(docs: DataFrame, settings: Settings) -> DataFrame:
+    """group_near_duplicates with the fingerprint of each row's set."""
     docs = docs.select("doc_id", "text")
     features = truncate_lineage(_features(docs, settings))
     known = features.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -297,17 +302,37 @@ def group_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> D
     grouped = grouped.select("fp_a", "fp_b", "n_shingles", F.coalesce("component", "rep").alias("__component"))
     out = features.drop("bands", "sketch").join(grouped, ["fp_a", "fp_b", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("__component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "fp_a", "fp_b", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+PRINTS = T.StructType([T.StructField("__n", T.LongType()), T.StructField("__fp_a", T.LongType()), T.StructField("__fp_b", T.LongType())])
+
+
+def _with_prints(docs: DataFrame, settings: Settings) -> DataFrame:
+    """docs with the size and fingerprint of each row's set."""
+
+    def make():
+        def run(texts: pa.Array) -> list[pa.Array]:
+            got = features_of(texts, settings.shingle)
+            return [pa.array(got[c]) for c in ("n_shingles", "fp_a", "fp_b")]
+
+        return run
+
+    return add_columns(docs, make, ["text"], PRINTS)
 
 
 def keep_one_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs (any columns) with one document of each group: the one with the smallest id, once."""
-    kept = group_near_duplicates(docs, settings).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    kept = truncate_lineage(kept)
+    """docs (any columns) with one document of each group: the one with the smallest id, once.
+
+    Rows that share an id are judged by their sets: each that is kept stays once.
+    """
+    rows = truncate_lineage(_grouped(docs, settings).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", F.col("n_shingles").alias("__n"), F.col("fp_a").alias("__fp_a"), F.col("fp_b").alias("__fp_b")).distinct())
+    kept = truncate_lineage(rows.select("doc_id").distinct())
     chosen = docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept, "doc_id", "left_semi").select(*docs.columns)
     copies = truncate_lineage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
-    if copies.take(1):  # rows that share an id: one of them
-        twice = chosen.join(copies, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    if copies.take(1):  # rows that share an id
+        key = ["doc_id", *PRINTS.names]
+        twice = _with_prints(chosen.join(copies, "doc_id", "left_semi").select(*docs.columns), settings).join(rows, key, "left_semi").dropDuplicates(key).select(*docs.columns)
         chosen = chosen.join(copies, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
     return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))
 

@@ -87,6 +87,13 @@ def test_near_duplicates_null_ids(spark):
     assert got == {(None, None, True), (4, 2, False), (2, 2, True)}
 
 
+def test_different_texts_of_one_id_are_kept(spark):
+    rows = [(3, "a b c d"), (5, "a b c d"), (5, "e f g h"), (5, "e f g h"), (5, "i j k l"), (7, "i j k l"), (9, "m n"), (9, "o p"), (None, "a b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in near_dup.keep_one_each(docs).collect())
+    assert got == [(0, "a b c d"), (3, "a b c d"), (5, "e f g h"), (5, "i j k l"), (9, "m n"), (9, "o p")]
+
+
 def test_super_minhash_estimates_and_permutes():
     rng = np.random.default_rng(0)
     sets = [rng.integers(0, 1 << 62, 400).astype(np.uint64) for _ in range(2)]
