@@ -8,8 +8,13 @@ holds it already. Base spans always stay.
 
 n_email, n_ip, n_card and n_phone count the base spans; `spans` lists base and added ones.
 
+A spelled address needs a spelled dot of the language of its at, a first domain label that is no article or
+pronoun, and a last one of letters that is no other small word: `look at the dot on it` is prose. Behind a spelled
+at alone the last label is a common or a country's one, in the case of the first: `at home.Then` is prose too.
+
 Edge cases: a null text counts as empty: no spans, the digest of the empty string. All scans are linear in the
-text. Offsets are code points, ends exclusive.
+text, whatever it repeats. Offsets are code points, ends exclusive. Repeated rows give equal results; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -148,27 +153,27 @@ _numbers = (
     "null eins zwei drei vier fünf sechs sieben acht neun",
 )
 DIGITS = {w: str(i) for row in _numbers for i, w in enumerate(row.split())} | {"zwo": "2", "fuenf": "5"}
-AT_WORDS, DOT_WORDS = r"(?:at|arroba|arobase)", r"(?:dot|punto|point|punkt)"
-# Generic names, and those of all countries.
-_top_level = (
-    "com org net edu gov mil int info biz name app dev xyz online site test example invalid local "
-    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo bq br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg eh er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky "
-    "kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
-)
-TOP_LEVEL = f"(?:{'|'.join(_top_level.split())})"
+# Spelled at signs with the dots of their languages.
+AT_DOTS = {"at": ("dot", "punkt", "punto"), "arroba": ("punto", "dot"), "arobase": ("point", "dot")}
+AT_WORDS, DOT_WORDS = r"(?:arroba|arobase|at)", r"(?:dot|punto|point|punkt)"
+# Last labels behind an undisguised dot, beside all of two letters.
+GENERIC = frozenset("com org net edu gov mil int info biz name app dev shop xyz online site test example invalid local".split())
+# Words that begin no domain, and words that end none unless a country has them as its name.
+ARTICLES = frozenset("the a an one this that these those each every any some no his her its my your our their which what all el la los las un una le les une des der die das ein eine".split())
+SMALL_WORDS = frozenset("the an and or of on was were with for from that this these those not but if so then than when where who which what his her their its our your my are has had have will would can could may i he she we they you".split())
 
 REFERENCE = re.compile(r"&#0*64;|&#[xX]0*40;|&commat;|%40|&#0*46;|&#[xX]0*2[eE];|&period;")
 _word = "|".join(sorted(DIGITS, key=len, reverse=True))  # `uno` before `un`
 _element = rf"(?:{_word}|[0-9]++)"
 SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|más)[ -])?{_element}(?:[ ,()-]{{1,2}}(?:{DOT_WORDS}[ -])?{_element}){{3,}}(?![A-Za-z0-9])", re.I)
 SPELLED_PART = re.compile(rf"(?:plus|más)[ -]|[ ,()-]{{1,2}}(?:{DOT_WORDS}[ -])?|{_word}|[0-9]+", re.I)
-BRACKETED = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:(?P<at>{AT_WORDS}|@)|{DOT_WORDS}|\.)[ \t]*[\])}}>][ \t]*", re.I)
-DOT_BETWEEN_NUMBERS = re.compile(rf"(?<=[0-9])[ \t]+{DOT_WORDS}[ \t]+(?=[0-9])", re.I)
-#: A spelled at with what may be a domain behind it, its dots spelled or not.
-SPELLED_AT = re.compile(rf"(?<=[A-Za-z0-9])(?P<at>[ \t]+{AT_WORDS}[ \t]+|_{AT_WORDS}_|-{AT_WORDS}-|[ \t]*@[ \t]*)(?P<domain>[A-Za-z0-9-]+?(?:(?:[ \t]+{DOT_WORDS}[ \t]+|_{DOT_WORDS}_|-{DOT_WORDS}-|\.)[A-Za-z0-9-]+?)+)(?![A-Za-z0-9-])", re.I)
-SPELLED_DOT = re.compile(rf"[ \t]+{DOT_WORDS}[ \t]+|_{DOT_WORDS}_|-{DOT_WORDS}-", re.I)
-DOT_IN_LOCAL = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+{DOT_WORDS}[ \t]+[A-Za-z0-9%+-]+$", re.I)
-ENDS_TOP_LEVEL = re.compile(rf"\.{TOP_LEVEL}$", re.I)
+BRACKETED = re.compile(rf"[\[({{<][ \t]*+(?:(?P<at>{AT_WORDS}|@)|{DOT_WORDS}|\.)[ \t]*+[\])}}>][ \t]*+", re.I)
+DOT_BETWEEN_NUMBERS = re.compile(rf"(?<=[0-9])[ \t]++{DOT_WORDS}[ \t]++(?=[0-9])", re.I)
+#: A spelled or spaced at; behind it labels with spelled and other dots between them; the dots inside those.
+SPELLED_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:[ \t]++(?:{AT_WORDS}[ \t]++|@[ \t]*+)|_{AT_WORDS}_|-{AT_WORDS}-|@[ \t]*+)", re.I)
+LABELS = re.compile(rf"[A-Za-z0-9-]++(?:(?:[ \t]++{DOT_WORDS}[ \t]++|_{DOT_WORDS}_|\.)[A-Za-z0-9-]++)*+", re.I)
+LABEL_DOT = re.compile(rf"[ \t]++{DOT_WORDS}[ \t]++|_{DOT_WORDS}_|-{DOT_WORDS}-(?=[A-Za-z0-9])|\.", re.I)
+LOCAL_PART, BLANK = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789%+-"), " \t"
 
 
 class Mapped:
@@ -183,13 +188,20 @@ class Mapped:
         """With each [a, z) replaced; edits ascend and don't overlap."""
         if not edits:
             return self
-        text, start, end, at = [], [], [], 0
+        text, at = [], 0
         for a, z, new in edits:
             text += [self.text[at:a], new]
-            start += [self.start[at:a], np.full(len(new), self.start[a], np.int32)]
-            end += [self.end[at:a], np.full(len(new), self.end[z - 1], np.int32)]
             at = z
-        return Mapped("".join([*text, self.text[at:]]), np.concatenate([*start, self.start[at:]]), np.concatenate([*end, self.end[at:]]))
+        text.append(self.text[at:])
+        first, last = (np.array([e[i] for e in edits]) for i in (0, 1))
+        n = np.array([len(e[2]) for e in edits])
+        gone = np.zeros(len(self.text) + 1, np.int8)
+        gone[first] += 1
+        gone[last] -= 1
+        kept = np.cumsum(gone[:-1], dtype=np.int8) == 0
+        put = np.repeat(first - (np.cumsum(last - first) - (last - first)), n)  # among the characters that stay
+        start, end = (np.insert(x[kept], put, np.repeat(v, n)) for x, v in ((self.start, self.start[first]), (self.end, self.end[last - 1])))
+        return Mapped("".join(text), start, end)
 
     def source(self, span: Span) -> Span:
         return int(self.start[span[0]]), int(self.end[span[1] - 1])
@@ -224,9 +236,12 @@ def _spelled_digits_of(m: Mapped) -> list[tuple[int, int, str]]:
 
 
 def _brackets_of(m: Mapped) -> list[tuple[int, int, str]]:
-    t, out = m.text, []
+    t, out, free = m.text, [], 0
     for x in BRACKETED.finditer(t):
         a, z = x.span()
+        while a > free and t[a - 1] in BLANK:
+            a -= 1
+        free = z
         if a and z < len(t) and t[a - 1].isalnum() and t[z].isalnum():
             out.append((a, z, "@" if x["at"] else "."))
     return out
@@ -236,28 +251,58 @@ def _number_dots_of(m: Mapped) -> list[tuple[int, int, str]]:
     return [(x.start(), x.end(), ".") for x in DOT_BETWEEN_NUMBERS.finditer(m.text)]
 
 
+def _dots_before(t: str, a: int, low: int) -> list[tuple[int, int, str]]:
+    """Spelled dots of the local part that ends at a, back to `low`: word, blanks, dot, blanks, word, and so on."""
+    out = []
+    while True:
+        i = a
+        while i > low and t[i - 1] in LOCAL_PART:
+            i -= 1
+        z = i
+        while z > low and t[z - 1] in BLANK:
+            z -= 1
+        b = z
+        while b > low and z - b < 6 and t[b - 1].isalpha():  # a longer word is no dot
+            b -= 1
+        a = b
+        while a > low and t[a - 1] in BLANK:
+            a -= 1
+        if i == z or a == b or t[b:z].lower() not in ("dot", "punto", "point", "punkt") or a <= low or t[a - 1] not in LOCAL_PART:
+            return out[::-1]
+        out.append((a, i, "."))
+
+
 def _spelled_at_of(m: Mapped) -> list[tuple[int, int, str]]:
-    """A spelled or spaced at with a domain behind it that ends in a known top-level name; spelled dots before it."""
+    """A spelled or spaced at with a domain behind it (see the module's text), and spelled dots before it."""
     t, out, free = m.text, [], 0
+    until, spans = 0, []  # where the labels last looked at end, and the dots among them
     for x in SPELLED_AT.finditer(t):
-        at, domain = x["at"], x["domain"]
-        dots = list(SPELLED_DOT.finditer(domain))
-        if x.start() < free or not ENDS_TOP_LEVEL.search(SPELLED_DOT.sub(".", domain)):
+        a, z = x.span()
+        if a < free:
+            continue
+        if z >= until:
+            if not (found := LABELS.match(t, z)):
+                continue
+            until, spans = found.end(), [d.span() for d in LABEL_DOT.finditer(t, z, found.end())]
+            starts = [d[0] for d in spans]
+        dots = spans[bisect_right(starts, z) :]  # a label comes first
+        if not dots:
+            continue
+        said = x.group().strip(" \t_-").lower()
+        spelled = [d for d in dots if t[d[0]] != "."]
+        if not spelled and (said == "@" and x.group() == "@" or t[a] in "_-"):  # nothing disguised, or a name with `-at-` in it
+            continue
+        if any(t[b:e].strip(" \t_-").lower() not in AT_DOTS.get(said, AT_DOTS["at"]) for b, e in spelled):
             continue
-        if not dots and (at == "@" or at[0] in "_-"):  # nothing disguised, or a name with `-at-` in it
+        first, last = t[z : dots[0][0]].lower(), t[dots[-1][1] : until].lower()
+        if not (last.isascii() and last.isalpha() and 2 <= len(last) <= 24 or last.startswith("xn--")) or last in SMALL_WORDS or first in ARTICLES:
             continue
-        a = x.start("at")
-        before = []
-        low = max(free, a - 200)
-        head = t[low:a]
-        while d := DOT_IN_LOCAL.search(head):
-            word = SPELLED_DOT.match(head, d.start())
-            before.append((low + d.start(), low + word.end(), "."))
-            head = head[: d.start()]
-        out += before[::-1]
-        out.append((a, x.end("at"), "@"))
-        out += [(x.start("domain") + d.start(), x.start("domain") + d.end(), ".") for d in dots]
-        free = x.end()
+        if not spelled and said != "@" and (len(last) > 2 and last not in GENERIC or t[dots[-1][1]].isupper() and t[z].islower()):
+            continue  # `at home.Then`, a sentence's end without its blank
+        out += _dots_before(t, a, free)
+        out.append((a, z, "@"))
+        out += [(b, e, ".") for b, e in spelled]
+        free = until
     return out
 
 

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -126,17 +127,49 @@ def test_disguises_map_back(kind, text):
 @pytest.mark.parametrize("kind,text", [
     ("card", "cuatro uno uno uno uno uno uno uno uno uno uno uno uno uno uno uno"), ("card", "quatre un un un un un un un un un un un un un un un"), ("card", "vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins"),
     ("phone", "más tres cuatro nueve uno dos tres cuatro cinco seis siete"), ("phone", "plus trois trois un deux trois quatre cinq six sept huit zéro"), ("phone", "Plus vier neun drei null fünf sechs SIEBEN acht neun zwo"),
-    ("email", "jane at host dot nz"), ("email", "jane arroba host punto gr"), ("email", "jane [at] host [dot] co [dot] za"), ("email", "jane at host punkt ua"),
+    ("email", "jane at host dot nz"), ("email", "bob at example dot shop"), ("email", "a dot b dot c at d dot museum"), ("email", "jane arroba host punto gr"), ("email", "jane [at] host [dot] co [dot] za"), ("email", "jane at host punkt ua"),
 ])
 def test_disguises_of_other_languages_and_countries(kind, text):
     test_disguises_map_back(kind, text)
 
 
 def test_clean_texts_have_no_spans(documents):
-    for t in ("look at the thing. And", "one two of nine", "meet at noon dot the i", *(re.sub(r"[0-9@+]", "", r.text) for r in documents.select("text").collect())):
+    for t in ("look at the thing. And", "one two of nine", "meet at noon dot the i", "stared at the dot on it", "looked at one point in time", "stay at home.Then", "was at home.It was", "name-at-home.com", *(re.sub(r"[0-9@+]", "", r.text) for r in documents.select("text").collect())):
         assert pii.find(t) == ([], [])
 
 
+def test_spelled_dots_far_before_the_at():
+    t = "dot ".join(f"n{i} " for i in range(300)) + "at host dot org"
+    assert pii.find(t) == ([], [("email", 0, len(t))])
+
+
+def test_added_spans_are_those_of_a_plain_mapper():
+    """Pieces whose plain form is known; plain rules over the whole plain text, mapped back character by character."""
+    pieces = [("a", "a"), ("\u0430", "a"), ("\uff42", "b"), ("\u200b", ""), ("&#64;", "@"), ("&commat;", "@"), ("\uff20", "@"), ("\u2024", "."), ("&period;", "."), (".", "."), ("\u0661", "1"), ("2", "2"), ("\uff0b", "+"), ("\u2010", "-"), ("!", "!"), ("4111111111111111", "4111111111111111"), ("c", "c")]
+    some = 0
+    for _ in range(8000):
+        text, plain, at = "", "", []
+        for source, said in rnd.choices(pieces, k=rnd.randrange(1, 30)):
+            at += [(len(text) + (i if len(said) == len(source) else 0), len(text) + (i + 1 if len(said) == len(source) else len(source))) for i in range(len(said))]
+            text, plain = text + source, plain + said
+        base = plain_pii(text)
+        mapped = [(k, at[a][0], at[z - 1][1]) for k, a, z in plain_pii(plain)]
+        want = [s for s in mapped if not any(k == s[0] and a <= s[1] and s[2] <= z for k, a, z in base)]
+        assert pii.find(text) == (base, want), text
+        some += len(want)
+    assert some > 500
+
+
+@pytest.mark.parametrize("part", [" ", "a-at-b", "a at ", "[ ", "a [at] b ", "one ", "+1 (", "&#0", "dot ", "x.", "@"])
+def test_pii_is_linear(part):
+    def seconds(n):
+        began = time.process_time()
+        pii.find(part * (n // len(part)))
+        return time.process_time() - began
+
+    assert seconds(1_000_000) < 6  # a quadratic scan takes minutes
+
+
 def test_pii_query_edges(spark):
     got = pii.detect_pii(frame(spark, [None, "", "a@b.co 4111 1111 1111 1111", "1" * 200_000, "@" * 50_000], spans=1)).toPandas().sort_values("doc_id")
     assert got["n_email"].tolist() == [0, 0, 1, 0, 0] and got["n_card"].tolist() == [0, 0, 1, 0, 0]
