@@ -43,7 +43,7 @@ PLACES = BANDS * ROWS
 #: Least part of equal places (8 bits each) for a pair of stage 4.
 MIN_AGREE = 0.65
 TILE = 1024
-#: Bytes hashed together; eight-byte tables of powers and sums go with each.
+#: Bytes hashed together.
 SEGMENT = 1 << 20
 WORD_ENDS = separators([0x20, *range(0x09, 0x0E)])
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -6,6 +6,7 @@ text (only a single word without any separator is kept whole).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,25 +17,9 @@ from .common import mix64
 
 #: Bytes looked at together.
 SEGMENT = 4 << 20
-_rng = np.random.default_rng(20240501)
-#: Random value of each byte, and the odd base whose powers weigh positions.
-BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-BASE = int(_rng.integers(1 << 40, 1 << 62)) * 2 + 1
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i < n."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        def rising(base: int) -> np.ndarray:
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            return np.multiply.accumulate(x)
-
-        _powers, _inverse = rising(BASE), rising(pow(BASE, -1, 1 << 64))
-    return _powers[:n], _inverse[:n]
+SEED = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a span that are hashed in step with other spans.
+LONG = 256
 
 
 def string_bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,15 +39,6 @@ def separators(values: list[int]) -> np.ndarray:
     return t
 
 
-def span_hashes(b: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each b[first:end]; equal for equal bytes."""
-    p, q = powers(len(b) + 1)
-    run = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(BYTE[b] * p[:-1], out=run[1:])
-    h = (run[end] - run[first]) * q[first]
-    return mix64(h + (end - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def distinct_spans(b: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """The distinct byte strings b[first:end] of ascending spans that don't overlap, and each span's number among them."""
     edge = np.zeros(len(b) + 1, np.int8)
@@ -75,6 +51,29 @@ def distinct_spans(b: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[l
     return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
+def span_hashes(b: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each b[first:end]: eight bytes after the other, each mixed with all before it.
+
+    Mixing is a bijection of eight bytes and not linear, so no two different spans of up to eight bytes have equal
+    hashes, and longer ones only by chance, whatever pattern they repeat. Spans over LONG bytes go through blake2b.
+    """
+    size = end - first
+    h = mix64(size.astype(np.uint64) + SEED)
+    eight = np.ndarray(len(b) + 1, "<u8", np.concatenate([b, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    at, left = np.flatnonzero(size <= LONG), size[size <= LONG]
+    start = first[at]
+    while len(at):
+        short = left < 8
+        block = eight[start]
+        block[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        h[at] = mix64((h[at] ^ block) + SEED)
+        more = left > 8
+        at, start, left = at[more], start[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(b[first[i] : end[i]].tobytes(), digest_size=8).digest())
+    return h
+
+
 @dataclass
 class Segment:
     b: np.ndarray  # its bytes

@@ -69,7 +69,8 @@ def varied(r, n):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     r = random.Random(0)
     texts = [None, "", " \t ", "One", "one", "two words", "Two  WORDS", "É é", "é é", "a b c d e f", "a b c d e f g"] + varied(r, 120) + varied(r, 40) + [" ".join(f"x{r.randrange(3000)}" for _ in range(40)) for _ in range(60)]
-    texts += texts[20:30] + ["z " * 20_000]
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts += texts[20:30] + ["z " * 20_000, thue, thue.translate(str.maketrans("ab", "ba"))]
     n, comp = brute_groups(texts)
     monkeypatch.setattr(near_dup, "TILE", 16)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' AS kept", "1 AS rep")

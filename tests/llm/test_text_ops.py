@@ -72,6 +72,20 @@ def test_segments_of_any_size():
         assert got == want
 
 
+def test_span_hashes_differ():
+    b = np.frombuffer(b"abc abd ab a abcdefgh abcdefghi abcdefgh " + b"x" * 300 + b" " + b"x" * 301 + b" abc", np.uint8)
+    ends = np.append(np.flatnonzero(b == 32), len(b))
+    first = np.concatenate([[0], ends[:-1] + 1])
+    h = words.span_hashes(b, first, ends)
+    by_word = {b[i:j].tobytes(): int(x) for i, j, x in zip(first, ends, h)}
+    assert len(by_word) == len(set(by_word.values())) == 8 and h[0] == h[-1] and h[4] == h[6]
+    thue = [bin(i).count("1") % 2 for i in range(1024)]
+    for n in (8, 64, 256, 512, 1024):  # words that polynomials modulo 2**64 can't tell apart
+        pair = ["".join("ab"[x ^ y] for x in thue[:n]) for y in (0, 1)]
+        h = words.span_hashes(np.frombuffer("".join(pair).encode(), np.uint8), np.array([0, n]), np.array([n, 2 * n]))
+        assert h[0] != h[1]
+
+
 def test_memory_is_bounded():
     m = bpe.Memory(len, most=10)
     for i in range(100):
