@@ -1,6 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
-Each slot of one bit-sliced Bloom filter is a word with a bit per language. Looking up a character trigram
+Each slot of one bit-sliced Bloom filter has a bit per language, in one word or, for more than 64 languages, in
+several. Looking up a character trigram
 ANDs the words at its hash positions, which gives all languages whose trigram set holds it at once. Per
 language the set bits are counted over the whole text and corrected for the filter's false positives; the
 largest corrected count decides.
@@ -91,28 +92,26 @@ def trigrams_of(pieces: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray,
 @dataclass(frozen=True)
 class LanguageFilter:
     languages: tuple[str, ...]
-    words: np.ndarray  # a power of two of slots
+    words: np.ndarray  # words a slot x a power of two of slots
     false_rate: np.ndarray  # per language, from the share of set bits
 
     @staticmethod
     def build(languages: list[str], grams: np.ndarray, language: np.ndarray) -> LanguageFilter:
         """Of pairs (trigram hash, index of its language)."""
-        if len(languages) > 64:
-            raise ValueError("one filter word holds 64 languages at most")
         bits = max(12, math.ceil(math.log2(max(1, len(grams)) * 8)))
-        kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-        words = np.zeros(1 << bits, kind)
+        kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(64, len(languages)) <= n)
+        words = np.zeros((max(1, -(-len(languages) // 64)), 1 << bits), kind)
         for s in slots(grams, bits):
-            np.bitwise_or.at(words, s, kind(1) << language.astype(kind))
-        full = np.array([np.count_nonzero(words & (kind(1) << kind(i))) for i in range(len(languages))], float) / len(words)
+            np.bitwise_or.at(words, (language // 64, s), kind(1) << (language % 64).astype(kind))
+        full = np.array([np.count_nonzero(words[i // 64] & (kind(1) << kind(i % 64))) for i in range(len(languages))], float) / (1 << bits)
         return LanguageFilter(tuple(languages), words, full**HASHES)
 
     def languages_of(self, h: np.ndarray) -> np.ndarray:
-        bits = int(len(self.words)).bit_length() - 1
-        first, *rest = slots(h, bits)
-        got = self.words[first]
+        """Bits of all languages that hold each trigram: words a slot x trigrams."""
+        first, *rest = slots(h, int(self.words.shape[1]).bit_length() - 1)
+        got = self.words[:, first]
         for s in rest:
-            got &= self.words[s]
+            got &= self.words[:, s]
         return got
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -125,7 +124,7 @@ class LanguageFilter:
             got = self.languages_of(h)
             got *= ok
             for j in range(k):
-                hits[:, j] += np.bincount(rows, np.add.reduceat((got >> got.dtype.type(j)) & got.dtype.type(1), starts, dtype=np.int64), n)
+                hits[:, j] += np.bincount(rows, np.add.reduceat((got[j // 64] >> got.dtype.type(j % 64)) & got.dtype.type(1), starts, dtype=np.int64), n)
         has = total > 0
         if not k:
             return [UND] * n, np.zeros(n)

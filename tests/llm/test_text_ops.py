@@ -1,10 +1,12 @@
 """Per-document operators beside the libraries and plain versions, on odd and very long texts."""
 
+import collections
 import hashlib
 import os
 import random
 import re
 import time
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -219,7 +221,52 @@ def test_bitmask_filter_has_no_false_negatives():
     grams = np.random.default_rng(0).integers(0, 1 << 62, 3000).astype(np.uint64)
     lang = np.arange(3000) % 5
     f = language_id.LanguageFilter.build(list("abcde"), grams, lang)
-    assert ((f.languages_of(grams) >> lang.astype(np.uint8)) & 1).all() and (f.false_rate < 0.05).all()
+    assert ((f.languages_of(grams)[0] >> lang.astype(np.uint8)) & 1).all() and (f.false_rate < 0.05).all()
+
+
+def test_many_languages():
+    names = [f"l{i:03}" for i in range(150)]
+    texts = ["".join(chr(0x4E00 + 40 * i + k % 37) for k in range(60)) for i in range(150)]
+    grams = [np.unique(language_id.trigrams(f"  {t}  ")[0]) for t in texts]
+    f = language_id.LanguageFilter.build(names, np.concatenate(grams), np.repeat(np.arange(150), [len(g) for g in grams]))
+    got, score = f.predict(texts + ["", None])
+    assert f.words.shape[0] == 3 and got == names + ["und", "und"] and (score[:150] > 0.9).all()
+
+
+def plain_trigrams(text):
+    """Trigrams round each letter, of lower-case letters with a blank for anything else."""
+    low = [c.lower() if len(c.lower()) == 1 else c for c in f"  {text}  "]
+    low = [c if unicodedata.category(c)[0] == "L" else " " for c in low]
+    return ["".join(low[i - 1 : i + 2]) for i in range(1, len(low) - 1) if low[i] != " "]
+
+
+def test_language_equals_plain_counts(spark, documents):
+    """The filter beside sets of trigrams: the same trigrams, the same language wherever one is clearly ahead, ties by name."""
+    rows = [r for r in documents.select("text", "lang").collect() if r.text] + [("the the the", "en"), ("the the the", "xx")]
+    sets = collections.defaultdict(set)
+    for text, lang in rows:
+        if lang:
+            sets[lang].update(plain_trigrams(text))
+    names = sorted(sets)
+    code = {g: i for i, g in enumerate(sorted(set.union(*sets.values())))}
+    for text, _ in rows[:50] + [("Éa1'b ß Σ İx", None)]:
+        h, ok = language_id.trigrams(f"  {text}  ")
+        assert len(set(plain_trigrams(text))) == len(set(h[ok].tolist())) and ok.sum() == len(plain_trigrams(text))
+    hashed = {g: int(language_id.trigrams(g)[0][0]) for g in code}
+    pairs = [(hashed[g], i) for i, n in enumerate(names) for g in sorted(sets[n])]
+    f = language_id.LanguageFilter.build(names, np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs]))
+    texts = [r[0] for r in rows] + ["the the", "1 2", None]
+    got, score = f.predict(texts)
+    for t, g, p in zip(texts, got, score):
+        grams = plain_trigrams(t or "")
+        share = [sum(x in sets[n] for x in grams) / max(1, len(grams)) for n in names]
+        best = max(share)
+        if not grams:
+            assert (g, p) == ("und", 0)
+        else:
+            assert abs(p - best) < 0.02 and share[names.index(g)] >= best - 0.02
+    one, two = (language_id.LanguageFilter.build(n, np.repeat(f_, 2), np.tile([0, 1], len(f_))) for n, f_ in ((["b", "c"], np.array([hashed["the"]], np.uint64)), (["a", "b"], np.array([hashed["the"]], np.uint64))))
+    assert one.predict(["the"])[0] == ["b"] and two.predict(["the"])[0] == ["a"]  # ties
 
 
 def brute_marginals(unary, trans):
