@@ -261,7 +261,8 @@ def pack_documents(docs: DataFrame, path: str, doc: str = "doc_id", text: str =
     """One row per piece with its sequence_id and offset."""
     cuts = cut_documents(docs, path, doc, text, window, cell, end_id)
     slices = max(1, -(-docs.count() // SLICE))
-    cuts = truncate_lineage(cuts.withColumn("__slice", F.pmod(F.xxhash64(doc, "start", "ids_crc32"), F.lit(slices))))
+    # the row's own number deals equal rows to different slices; the checkpoint keeps it as it was
+    cuts = truncate_lineage(cuts.withColumn("__slice", F.pmod(F.xxhash64(doc, "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(slices))))
     per_slice = cuts.groupBy("__slice", "length").agg(F.count("*").alias("__n"))
     counts = {r["length"]: r["n"] for r in per_slice.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most 2 * window / cell lengths
     plan = docs.sparkSession.sparkContext.broadcast(Plan.make(counts, window, cell))
