@@ -26,9 +26,10 @@ from pyspark.sql import types as T
 
 from .common import add_columns, fold_of, map_batches, mix64, packs, share_of_hash, table
 
-#: Expected number of labelled training documents, and the most lines of one (longer ones aren't chosen).
+#: Expected number of labelled training documents, and the most lines that one gives to the fit: a longer one gives a
+#: stretch of so many, of which its number of lines says where it begins. Both bound the fit's memory on the driver.
 TRAIN_DOCS = 4000
-TRAIN_LINES = 400
+TRAIN_LINES = 120
 KEEP_AT = 0.3
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
@@ -217,8 +218,8 @@ def fit_logistic(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> LineCRF:
     """Learn from docs (doc_id, text) and labels (doc_id, quality); doc_id only joins and chooses the sample.
 
-    About train_docs labelled documents by a hash of doc_id, those with at most TRAIN_LINES lines; line
-    features are computed on the executors.
+    About train_docs labelled documents by a hash of doc_id, at most TRAIN_LINES lines of each; line features are
+    computed on the executors, over whole texts, and reach the driver as bytes of floats: at most 72 a line.
     """
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
@@ -231,27 +232,28 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Lin
     def make():
         def run(b: pa.RecordBatch) -> dict:
             ys, ts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            use = [i for i, t in enumerate(ts) if t.count("\n") < TRAIN_LINES]
-            out: dict[str, list] = {"y": [ys[i] for i in use], "size": [], "x": []}
-            ts = [ts[i] for i in use]
+            out: dict[str, list] = {"y": ys, "size": [], "x": []}
             for a, z in packs(ts):
                 x, size, lines = line_features(ts[a:z])
-                cuts = np.cumsum(lines)[:-1]
-                out["size"] += [s.tolist() for s in np.split(size, cuts)]
-                out["x"] += [s.ravel().astype(np.float32) for s in np.split(x, cuts)]
+                ends = np.cumsum(lines)
+                for end, m in zip(ends.tolist(), lines.tolist()):
+                    first = end - m + (m % (m - TRAIN_LINES + 1) if m > TRAIN_LINES else 0)
+                    stretch = slice(first, min(end, first + TRAIN_LINES))
+                    out["size"].append(size[stretch].astype("<i8").tobytes())
+                    out["x"].append(x[stretch].astype("<f4").tobytes())
             return out
 
         return run
 
-    schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("size", T.ArrayType(T.LongType())), T.StructField("x", T.ArrayType(T.FloatType()))])
-    rows = map_batches(sample, make, schema).collect()
+    schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("size", T.BinaryType()), T.StructField("x", T.BinaryType())])
+    rows = sorted((r["y"], bytes(r["size"]), bytes(r["x"])) for r in map_batches(sample, make, schema).collect())
     if not rows:
         return flat
-    rows.sort(key=lambda r: (r["y"], r["size"], r["x"]))
-    lines = np.array([len(r["size"]) for r in rows])
-    size = np.concatenate([r["size"] for r in rows])
-    x = np.concatenate([r["x"] for r in rows]).reshape(-1, len(FEATURES)).astype(float)
-    doc_y = np.array([r["y"] for r in rows], float)
+    size = np.frombuffer(b"".join([r[1] for r in rows]), "<i8")
+    lines = np.array([len(r[1]) // 8 for r in rows])
+    x = np.frombuffer(b"".join([r[2] for r in rows]), "<f4").reshape(-1, len(FEATURES)).astype(float)
+    doc_y = np.array([r[0] for r in rows], float)
+    del rows
     y = np.repeat(doc_y, lines)
     w, tr = fit_lines(x, y, lines)
     alone, _ = forward_backward(np.clip(with_neighbours(x, lines) @ w, -30, 30), np.zeros((2, 2)), lines)
