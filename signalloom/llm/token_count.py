@@ -1,15 +1,23 @@
 """Token counts by a compiled finite-state transducer.
 
-The pre-tokenizer's pattern is compiled into a deterministic transducer over character classes whose
-transitions say where a pretoken begins (at the current or, after a look ahead, at the previous character).
-Text is cut into chunks of equal length; each chunk's map from entry state to exit state is computed for all
-states at once, the maps are composed by a parallel prefix scan, and a second pass from the known entry states
-emits the boundaries. A pretoken's transition back to the start emits its number of tokens, compiled on first
-use by byte-pair merges and remembered (bounded).
+Two deterministic transducers work one behind the other. The first is the pre-tokenizer's pattern over character
+classes; its transitions say where a pretoken begins (at the current or, after a look ahead, at the previous
+character). Text is cut into chunks of equal length; each chunk's map from entry state to exit state is computed
+for all states at once, the maps are composed by a parallel prefix scan, and a second pass from the known entry
+states emits the boundaries.
+
+The second reads the bytes of a pretoken, from its start state, and its transitions carry the change of the number
+of tokens: BPE merges compiled into states. The last token of a prefix's encoding is the one token that ends there
+and may follow the encoding before it, which two neighbouring tokens decide alone: they may if no merge across
+their border has its turn before the merges that make the two. So a state is the longest end of the bytes read
+that a token can still grow from, with the last token and the relative count at every place inside it: finitely
+many. States are made when first reached and kept in a bounded table; no library merges anything. Counts of whole
+pretokens are remembered (bounded) and added up by document.
 
 Edge cases: a null text counts as empty: no bytes, no tokens. Special token strings inside a text count as one
 token, as the library does by default. Very long texts are cut between two letters' words, where a boundary is
-certain.
+certain. Repeated rows give equal results; an empty table gives an empty one; columns of the names of new ones are
+replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +25,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -135,17 +144,124 @@ def pieces(text: str, most: int = MOST) -> list[str]:
     return [*out, text[a:]]
 
 
+NEVER = 1 << 62
+
+
+class MergeTransducer:
+    """Byte-pair merges as a transducer over bytes whose transitions carry the change of the token count.
+
+    States are numbers. `keys` says what each stands for: the bytes that a token can still grow from, and (last token,
+    tokens less those by now) at each place inside. A transition is looked up at state * 256 + byte and holds the next
+    state times 256 and the change plus 128, so tables hold numbers only.
+    """
+
+    def __init__(self, ranks: dict[tuple[bytes, bytes], int], most: int = 100_000):
+        self.ranks, self.most = ranks, most
+        self.halves = {x + y: (x, y) for x, y in ranks}
+        if len(self.halves) < len(ranks):
+            raise ValueError("two merges make the same token; which one did is no matter of neighbours")
+        self.tokens = {*self.halves, *(bytes([i]) for i in range(256))}
+        self.open = {t[:i] for t in self.halves for i in range(1, len(t))}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.spines: tuple[dict, dict] = ({}, {})
+        self.may: dict[bytes, bool] = {}
+        self.ending: dict[bytes, tuple[tuple, int]] = {}
+        self.keys: list[tuple] = [(b"", b"", 0)]
+        self.states = {self.keys[0]: 0}
+        self.table: dict[int, int] = {}
+
+    def _ending(self, s: bytes) -> tuple[tuple, int]:
+        """The tokens at the end of s with their places, longest first, and where what a token can grow from begins."""
+        got = self.ending.get(s)
+        if got is None:
+            b = 0
+            while b < len(s) and s[b:] not in self.open:
+                b += 1
+            got = self.ending[s] = tuple([(a, t) for a in range(len(s)) if (t := s[a:]) in self.tokens]), b
+        return got
+
+    def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        """The parts of a token at one of its borders, smallest first, and the rank of the merge that takes each in."""
+        got = self.spines[side].get(token)
+        if got is None:
+            got, t = [(token, NEVER)], token
+            while t in self.halves:
+                pair = self.halves[t]
+                t = pair[side]
+                got.append((t, self.ranks[pair]))
+            got.reverse()
+            self.spines[side][token] = got
+        return got
+
+    def follows(self, x: bytes, y: bytes) -> bool:
+        """Whether token y may stand behind token x: the bytes of both give just these two. Anything may stand first."""
+        if not x:
+            return True
+        left, right, i, j, ranks = self._spine(x, 1), self._spine(y, 0), 0, 0, self.ranks.get
+        while True:
+            (p, taken), (q, taken_) = left[i], right[j]
+            rank = ranks((p, q), NEVER)
+            if rank < taken and rank <= taken_ and rank != NEVER:  # of equal merges the one further left is first
+                return False
+            if taken == taken_ == NEVER:
+                return True
+            if taken <= taken_:
+                i += 1
+            else:
+                j += 1
+
+    def _step(self, state: int, byte: int) -> int:
+        """The transition of a state under a byte, compiled."""
+        key = self.keys[state]
+        ends = key[1:]  # of each place a token and a count
+        s = key[0] + bytes((byte,))
+        tokens, b = self._ending(s)
+        for a, token in tokens:
+            before = ends[2 * a]
+            pair = b"%d %s%s" % (len(before), before, token)
+            ok = self.may.get(pair)
+            if ok is None:
+                ok = self.may[pair] = self.follows(before, token)
+            if ok:
+                break
+        change = ends[2 * a + 1] + 1
+        kept = list(ends[2 * b :])
+        for i in range(1, len(kept), 2):
+            kept[i] -= change
+        new = (s[b:], *kept, token, 0)
+        to = self.states.get(new)
+        if to is None:
+            to = self.states[new] = len(self.keys)
+            self.keys.append(new)
+        got = self.table[state << 8 | byte] = to << 8 | change + 128
+        return got
+
+    def count(self, text: bytes) -> int:
+        """Tokens of one pretoken."""
+        if len(self.keys) >= self.most or max(len(self.may), len(self.ending), len(self.table) // 2) >= 8 * self.most:
+            self._forget()
+        at, n, get = 0, 0, self.table.get
+        for c in text:
+            got = get(at | c)
+            if got is None:
+                got = self._step(at >> 8, c)
+            at = got & -256
+            n += got & 255
+        return n - 128 * len(text)
+
+
 class TokenCounter:
     def __init__(self, path: str):
         self.bpe = ForcedBoundaryBPE(path)
+        plain = lambda t: bytes([self.bpe.byte_of[c] for c in t])
+        self.merges = MergeTransducer({(plain(x), plain(y)): r for (x, y), r in self.bpe.ranks.items()})
         self.known = Memory(self._compile)
 
     def _compile(self, pretoken: str) -> int:
-        """Tokens that the transducer emits at the end of this pretoken."""
-        if pretoken in self.bpe.specials:
-            return 1
-        s = "".join([self.bpe.letters[x] for x in pretoken.encode("utf-8", "surrogatepass")])
-        return sum(len(self.bpe.encode_fragment(f, True)) for f in self.bpe.fragments(s))
+        """Tokens that the transducers emit for this pretoken."""
+        return 1 if pretoken in self.bpe.specials else self.merges.count(pretoken.encode("utf-8", "surrogatepass"))
 
     def _pack(self, texts: list[str]) -> np.ndarray:
         whole = "\n".join(texts) + "\n"
@@ -176,15 +292,21 @@ class TokenCounter:
         return np.bincount(rows, np.concatenate(got), len(texts)).astype(np.int64) if got else np.zeros(0, np.int64)
 
 
+@lru_cache(1)
+def counter(path: str) -> TokenCounter:
+    """The worker's counter, kept for its later tasks."""
+    return TokenCounter(path)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text") -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (more than `limit` tokens) for a byte-level model."""
 
     def make():
-        counter = TokenCounter(path)
+        count = counter(path).count
 
         def run(texts: pa.Array) -> list[pa.Array]:
             ts = [t or "" for t in texts.to_pylist()]
-            n = counter.count(ts)
+            n = count(ts)
             return [pa.array([len(t.encode()) for t in ts], pa.int64()), pa.array(n), pa.array(n > limit)]
 
         return run

@@ -109,6 +109,37 @@ def test_token_counts_equal_the_library(spark, documents, monkeypatch):
     assert token_count.TokenCounter(BYTE).count([t or "" for t in texts[:300]]).tolist() == want[:300]
 
 
+def test_token_counts_of_every_code_point():
+    known = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(known[a : a + 400]) + "x'" + "".join(known[a : a + 400]) for a in range(0, len(known), 400)]
+    want = [len(e.ids) for e in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
+    assert token_count.TokenCounter(BYTE).count(texts).tolist() == want
+
+
+@pytest.mark.parametrize("most", [40, 100_000])
+def test_merge_transducer_equals_the_library(most):
+    """All of the vocabulary (a part where states are forgotten all the time), tokens in a row, repeated and random bytes."""
+    b = bpe.ForcedBoundaryBPE(BYTE)
+    plain = lambda t: bytes(b.byte_of[c] for c in t)
+    merges = token_count.MergeTransducer({(plain(x), plain(y)): r for (x, y), r in b.ranks.items()}, most)
+    tokens = sorted(b.vocab)[:: 1 if most > 1000 else 50]
+    words_ = tokens + ["".join(rnd.choices(tokens, k=rnd.randrange(1, 5))) for _ in range(2000)]
+    words_ += [rnd.choice("aAe=-") * n for n in range(1, 90)] + ["".join(rnd.choices("abnthesring", k=rnd.randrange(1, 40))) for _ in range(3000)] + ["".join(rnd.choices(b.letters, k=9)) for _ in range(2000)]
+    for w in words_:
+        assert merges.count(plain(w)) == len(b.model.tokenize(w)), w
+    assert len(merges.keys) <= most + 400 and merges.count(b"") == 0
+
+
+def test_token_count_edges(spark):
+    docs = frame(spark, ["a b", "a b", None, "", "x" * 300_000], n_tokens="clash", extra=1)
+    got = token_count.count_tokens(docs, BYTE).toPandas().sort_values("doc_id")
+    assert got["n_tokens"].iloc[:4].tolist() == [2, 2, 0, 0] and set(got.columns) == {"doc_id", "text", "extra", "n_bytes", "n_tokens", "over_limit"}
+    assert got["over_limit"].tolist() == [False] * 4 + [True]
+    for op in (lambda d: token_count.count_tokens(d, BYTE), lambda d: bpe.encode_decode(d, WORD), pii.detect_pii):
+        assert op(docs.limit(0)).count() == 0
+    assert quality_crf.score_quality(docs.limit(0), quality_crf.LineCRF(np.zeros(48), np.zeros((2, 2)), (1.0, 0.0))).count() == 0
+
+
 def plain_pii(t):
     rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
