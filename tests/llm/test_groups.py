@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -131,13 +132,42 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
 
 def test_windows_reach_over_partitions(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, 0, rng.normal(size=4).tolist()) for i in range(60)]
-    rows = [(i, rows[i // 2 * 2][2]) for i in range(60)]  # pairs of equal neighbours
-    df = spark.createDataFrame([(0, i, i, np.array(v, "<f8").tobytes(), 4) for i, v in rows], "pass int, key long, id long, v binary, dim long")
-    for parts in (1, 2, 7, 29):
+    words = rng.integers(0, 1 << 62, (30, 2)) & ~0xFFFF | (64 << 8) | 4
+    rows = [(i, i, i, *words[i // 2].tolist()) for i in range(60)]  # pairs of equal neighbours
+    df = spark.createDataFrame(rows, "key long, id long, comp long, s0 long, s1 long")
+    for parts in (1, 2, 7, 20):
         cut = df.repartitionByRange(parts, "key").sortWithinPartitions("key")
-        got = {(r.a, r.b) for r in embedding_dup._window_links(cut, 0.999999, 3).collect()}
-        assert got == {(i + 1, i) for i in range(0, 60, 2)}
+        found = embedding_dup._scan(cut, embedding_dup.Limits(2, 0.999999), 3, 3, True).collect()
+        assert {(r.a, r.b) for r in found if r.kind == embedding_dup.PAIR} == {(i, i + 1) for i in range(0, 60, 2)}
+        assert not [r for r in found if r.kind == embedding_dup.CROWDED]
+
+
+def test_near_pairs_equal_brute_force():
+    rng, limits = np.random.default_rng(7), embedding_dup.Limits(3, 0.95)
+    x = rng.normal(size=(40, 24))
+    x = np.concatenate([x, x + rng.normal(0, 0.2, x.shape), x + rng.normal(0, 0.3, x.shape)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    key, sketch = embedding_dup.Hashes(2, 3, 0, {})(x)
+    key, sketch, ids = key.ravel(), np.repeat(sketch, 2, 0), np.repeat(np.arange(120), 2)
+    order = np.lexsort((ids, key))
+    key, sketch, ids = key[order], sketch[order], ids[order]
+    comp = ids % 7
+    j, i, bits = embedding_dup.near_pairs([key, ids, comp, *sketch.T], 30, limits, 20)
+    q = embedding_dup.agreement(1.0 - 1e-9)  # all at a step below 1
+    want = set()
+    for b in range(30, 240):
+        for a in range(max(0, b - 20), b):
+            d = sum(bin((int(u) ^ int(v)) >> (16 * (w == 2))).count("1") for w, (u, v) in enumerate(zip(sketch[a], sketch[b])))
+            if key[a] >> 48 == key[b] >> 48 and comp[a] != comp[b] and d <= limits.most[2].take((sketch[[a, b], 2] >> np.uint64(8)) & np.uint64(255)).max() and int(sketch[a, 0] ^ sketch[b, 0]).bit_count() <= limits.most[0][63]:
+                want.add((b, a))
+    got = set(zip(j.tolist(), i.tolist()))
+    assert got <= want and len(got) >= 0.98 * len(want) > 50 and 0.85 < q < 0.92
+
+
+def test_crowds_give_their_best_pair():
+    j, i, bits = np.array([5, 5, 5, 6]), np.array([1, 2, 3, 5]), np.array([9, 2, 4, 1])
+    a, b, held = embedding_dup.chosen(j, i, bits, np.arange(10, 20), 2)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(12, 15), (15, 16)] and held.tolist() == [11, 13, 15]
 
 
 @pytest.mark.parametrize("exact", [50, 16_384])
@@ -152,7 +182,7 @@ def test_links_in_a_dense_cone(spark, monkeypatch, exact):
     rows = list(enumerate(np.concatenate([cone, 0.955 * near + np.sqrt(1 - 0.955**2) * side, rng.normal(size=(300, 64))]).tolist()))
     deg, comp = brute_vectors(rows)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = embedding_dup.group_embeddings(df, window=8).toPandas().sort_values("vec_id")
+    got = embedding_dup.group_embeddings(df, window=32).toPandas().sort_values("vec_id")
     assert got["n_links"].tolist() == deg and got["component_id"].tolist() == comp and sum(deg) >= 400
 
 
@@ -167,8 +197,32 @@ def test_levels_beside_brute_force():
 
 
 def test_passes_grow_with_the_table():
-    n = [embedding_dup.passes_for(k) for k in (1, 1000, 10**5, 10**9)]
-    assert n == sorted(n) and n[0] >= 5 and n[-1] > 2 * n[2]
+    n = [embedding_dup.passes_for(k, 0.9) for k in (1, 1000, 10**5, 10**9)]
+    assert n == sorted(n) and n[0] == 1 and n[-1] > 2 * n[2] and embedding_dup.passes_for(10**5, 0.6) == embedding_dup.FEW
+    assert embedding_dup.words_for(0.9) == 2 < embedding_dup.words_for(0.75) and abs(embedding_dup.agreement(1.0) - 0.899) < 1e-3
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8, 0.9])
+def test_recall_on_skewed_vectors(spark, tmp_path, mean):
+    """20,500 vectors with a common mean, 500 pairs just over the threshold."""
+    rng, unit = np.random.default_rng(5), lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(np.sqrt(mean) * unit(rng.normal(size=64)) + np.sqrt(1 - mean) * unit(rng.normal(size=(20_000, 64))))
+    side = rng.normal(size=(500, 64))
+    side = unit(side - (side * x[:500]).sum(1, keepdims=True) * x[:500])
+    x = np.concatenate([x, 0.952 * x[:500] + np.sqrt(1 - 0.952**2) * side]).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}), str(tmp_path / "e.parquet"))
+    got = embedding_dup.group_embeddings(spark.read.parquet(str(tmp_path / "e.parquet"))).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    u, want = unit(x.astype(float)), []
+    for a in range(0, len(u), 2000):
+        want.append(((u[a : a + 2000] @ u.T) >= 0.95).sum(1) - 1)
+    want = np.concatenate(want)
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() >= 900
+
+
+def test_one_id_of_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (4, [0.01, 1.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (9, [-1.0, 0.0])]
+    got = embedding_dup.group_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 1, 1), (4, 2, 1), (9, 0, 9)]
 
 
 def test_media_copies(spark, data):
