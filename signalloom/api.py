@@ -30,7 +30,7 @@ class File:
     def open(cls, spark: SparkSession, path: str, config: Conditioning | None = None, glob: str | None = None) -> File:
         """All audio files under a path; their common rate and channels come from the headers."""
         chunks = audio.scan_audio(spark, path, FILE_BLOCK, glob)
-        kinds = chunks.select("sample_rate", "channels").distinct().take(2)
+        kinds = audio.scan_headers(spark, path, glob).select("sample_rate", "channels").distinct().take(2)
         if len(kinds) != 1:
             raise ConfigError("the files have no or more than one rate and channel count; open them apart")
         return cls(chunks, kinds[0]["sample_rate"], kinds[0]["channels"], config)
@@ -67,14 +67,18 @@ class File:
 
 
 def reblocked(chunks: DataFrame, channels: int, frames: int) -> DataFrame:
-    """Chunk rows cut anew into blocks of whole frames, the last of a stream maybe short."""
-    by = Window.partitionBy("stream_id").orderBy("seq")
-    base = F.sum(F.size("data")).over(by) - F.size("data")
-    samples = chunks.withColumn("__base", base).select("stream_id", "sample_rate", "__base", F.posexplode("data").alias("__i", "x"))
-    samples = samples.withColumn("pos", (F.col("__base") + F.col("__i")).cast("long"))
-    rate = samples.groupBy("stream_id").agg(F.first("sample_rate").alias("sample_rate"))
-    out = windows.rebatched(samples.select("stream_id", "pos", "x"), frames, channels)
-    return out.join(rate, "stream_id").select("stream_id", F.col("seq").cast("long").alias("seq"), "sample_rate", F.lit(channels).alias("channels"), F.col("data").cast("array<float>").alias("data"))
+    """Chunk rows cut anew into blocks of whole frames, the last of a stream maybe short; arrays are cut and joined."""
+    by, size = Window.partitionBy("stream_id").orderBy("seq"), frames * channels
+    n = F.size("data")
+    base = (F.sum(n).over(by) - n).cast("long")
+    parts = chunks.withColumn("__base", base).filter(n > 0)
+    first, last = F.floor(F.col("__base") / size), F.floor((F.col("__base") + n - 1) / size)
+    parts = parts.withColumn("block", F.explode(F.sequence(first, last)))
+    a = F.greatest(F.lit(0), F.col("block") * size - F.col("__base")).cast("int")
+    z = F.least(n.cast("long"), (F.col("block") + 1) * size - F.col("__base")).cast("int")
+    parts = parts.select("stream_id", "block", "sample_rate", F.struct("__base", F.slice("data", a + 1, z - a).alias("x")).alias("part"))
+    out = parts.groupBy("stream_id", "block").agg(F.first("sample_rate").alias("sample_rate"), F.array_sort(F.collect_list("part")).alias("parts"))
+    return out.select("stream_id", F.col("block").cast("long").alias("seq"), "sample_rate", F.lit(channels).alias("channels"), F.flatten("parts.x").cast("array<float>").alias("data"))
 
 
 class Microphone:
@@ -104,11 +108,9 @@ class _Through:
 
 def record(chunks: DataFrame, seconds: float, folder: str, kind: str = "wav") -> DataFrame:
     """The first seconds of each stream as a file: whole chunks, at least one frame."""
-    rates = chunks.select("sample_rate").distinct().take(2)
-    if len(rates) != 1:
-        raise ConfigError("record streams of one rate at a time")
     sized = chunks.withColumn("frames", F.floor(F.size("data") / F.col("channels")).cast("long"))
-    return sinks.save_streams(windows.taken(sized, max(1, int(seconds * rates[0]["sample_rate"]))).drop("frames"), folder, kind)
+    target = F.greatest(F.lit(1), F.floor(F.col("sample_rate") * seconds).cast("long"))
+    return sinks.save_streams(windows.taken(sized, target).drop("frames"), folder, kind)
 
 
 devices, select_device = dev.with_default, dev.select_device

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .functions import samples as S
 from .operators import align, devices, folds, models, quality
 from .operators import windows as W
-from .sources import sinks
 
 SIZE, RATE, LEVEL, HOLDOFF = 8, 16.0, 0.15, 0.6
 GAIN = 4.0
@@ -224,8 +223,8 @@ def seg_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fw_seg_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("stream_id"), "ts", "event_id", (F.col("value") / SCALE).alias("ref"))
-    s = W.positions(s, "stream_id", "ts", "event_id").withColumn("est", F.col("ref") * 0.9)
-    return quality.fw_seg_snr(s.select("stream_id", "pos", "ref", "est"))
+    s = W.positions(s, "stream_id", "ts", "event_id").withColumn("est", F.col("ref") * F.when(F.col("pos") % 2 == 0, 0.9).otherwise(1.1))
+    return quality.fw_seg_snr(s.select("stream_id", "pos", "ref", "est")).withColumn("fw_seg_snr", F.round("fw_seg_snr", 4))
 
 
 def dc_block(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,6 +264,15 @@ def echo_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.echo_metrics(c.join(y, ["stream_id", "pos"])).withColumn("erle_db", F.round("erle_db", 4))
 
 
+def echo_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canceller beside a silent reference: what was captured comes back as it was."""
+    s = _samples(spark, sf_dir)
+    c = align.aligned(s, s.filter(F.col("pos") % 4 == 1).withColumn("x", F.lit(0.0)))
+    y = align.echo_cancelled(c, 32, 16)
+    m = align.echo_metrics(c.join(y, ["stream_id", "pos"])).withColumn("erle_db", F.round("erle_db", 4))
+    return m.join(y.groupBy("stream_id").agg(F.round(F.sum(F.col("y") * (F.col("pos") % 7 + 1)), 5).alias("weighted")), "stream_id")
+
+
 def model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model hook with its stand-in model."""
     w = models.score_stream_windows(_samples(spark, sf_dir), "energy", models.EnergyModel, 16, SIZE)
@@ -283,14 +291,10 @@ def format_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def save_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What saving each block would repair and clamp, by the encoder itself."""
-
-    def run(batches):
-        for g in batches:
-            rows = [(k, *sinks.repaired(x)[1:]) for k, x in zip(g["vec_id"], g["data"])]
-            yield __import__("pandas").DataFrame(rows, columns=["vec_id", "clipped_samples", "non_finite_samples"])
-
-    return _spoiled(spark, sf_dir).mapInPandas(run, "vec_id long, clipped_samples long, non_finite_samples long")
+    """What saving each block would repair and clamp."""
+    d = _spoiled(spark, sf_dir)
+    count = lambda test: F.size(F.filter("data", test)).cast("long")
+    return d.select("vec_id", count(lambda x: F.abs(S.repaired(x)) > 1).alias("clipped_samples"), count(lambda x: ~S.is_finite(x)).alias("non_finite_samples"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -298,7 +302,7 @@ QUERIES = {f.__name__: f for f in (
     overrun_drop, ring_evict, record_take, playback_underrun, reference_queue, reference_align, reference_capped, rms_subblock, downmix,
     select_channel, channel_map, planar_roundtrip, deinterleave, pcm16_encode, pcm16_round, pcm16_decode, frame_peaks, frame_mean_squares,
     sanitize_report, clip_report, linear_resample, si_sdr, seg_snr, fw_seg_snr, dc_block, highpass, limiter, agc, linear_resample_stream,
-    polyphase_resample, echo_cancel, model_windows, device_match, format_resolve, save_report,
+    polyphase_resample, echo_cancel, echo_silent, model_windows, device_match, format_resolve, save_report,
 )}
 
 _PUSH = "p AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord, event_id * 7 % 11 AS pushed, event_id * 5 % 9 AS wanted FROM events)"
@@ -337,7 +341,31 @@ ORACLES: dict[str, str] = {
     "sanitize_report": f"WITH {_SPOILED} SELECT vec_id, count(*) FILTER (WHERE NOT isfinite(x)) AS non_finite, round(sum(CASE WHEN isfinite(x) THEN x ELSE 0 END), 6) + 0 AS total FROM d GROUP BY 1",
     "clip_report": f"WITH {_SPOILED} SELECT vec_id, count(*) FILTER (WHERE isfinite(x) AND abs(x) > 1) AS clipped_samples, count(*) FILTER (WHERE NOT isfinite(x)) AS non_finite_samples, round(sum(CASE WHEN isnan(x) THEN 0 ELSE greatest(-1, least(1, x)) END), 6) + 0 AS total FROM d GROUP BY 1",
     "save_report": f"WITH {_SPOILED} SELECT vec_id, count(*) FILTER (WHERE isfinite(x) AND abs(x) > 1) AS clipped_samples, count(*) FILTER (WHERE NOT isfinite(x)) AS non_finite_samples FROM d GROUP BY 1",
-    "linear_resample": f"WITH {BLOCKS}, k AS (SELECT CAST(unnest(range(0, 26)) AS INTEGER) AS k) SELECT l.vec_id, k AS pos, round(l.x + (r.x - l.x) * (k * 2.5 - floor(k * 2.5)), 6) + 0 AS y FROM k JOIN b l ON l.pos = floor(k * 2.5) JOIN b r ON r.vec_id = l.vec_id AND r.pos = l.pos + 1 WHERE k * 2.5 < 63",
+    "linear_resample": "WITH k AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(unnest(range(0, 26)) AS INTEGER) AS k FROM embeddings) SELECT vec_id, k AS pos, round(e[k * 5 // 2 + 1] + (e[k * 5 // 2 + 2] - e[k * 5 // 2 + 1]) * (k % 2) * 0.5, 6) + 0 AS y FROM k",
+    "linear_resample_stream": f"""WITH RECURSIVE {EVENTS}, c AS MATERIALIZED (SELECT stream_id, pos // 10 AS seq, list(CAST(x AS FLOAT) ORDER BY pos) AS d, count(*) AS n FROM s GROUP BY 1, 2),
+r AS (SELECT stream_id, CAST(-1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS left_ FROM c GROUP BY 1
+  UNION ALL SELECT c.stream_id, c.seq, c.n, greatest(0, CAST(ceil((c.n - 1 - r.left_) / CAST(1.6 AS DOUBLE)) AS BIGINT)), r.left_, greatest(CAST(0 AS DOUBLE), r.left_ + greatest(0, CAST(ceil((c.n - 1 - r.left_) / CAST(1.6 AS DOUBLE)) AS BIGINT)) * CAST(1.6 AS DOUBLE) - c.n) FROM r JOIN c ON c.stream_id = r.stream_id AND c.seq = r.seq + 1),
+q AS (SELECT c.stream_id, c.d, c.n, r.p + unnest(range(0, r.k)) * CAST(1.6 AS DOUBLE) AS q FROM r JOIN c USING (stream_id, seq)),
+i AS (SELECT stream_id, d, n, q, CAST(floor(q) AS BIGINT) AS i FROM q)
+SELECT CAST(stream_id AS VARCHAR) AS stream_id, count(*) AS n, round(sum(CAST(CAST(CAST(d[i + 1] AS DOUBLE) + (CAST(d[least(i + 1, n - 1) + 1] AS DOUBLE) - CAST(d[i + 1] AS DOUBLE)) * (q - i) AS FLOAT) AS DOUBLE)), 3) + 0 AS total FROM i GROUP BY 1""",
+    "polyphase_resample": f"WITH {EVENTS} SELECT CAST(stream_id AS VARCHAR) AS stream_id, (count(*) + 2) // 3 AS n FROM s GROUP BY 1",
+    "echo_silent": f"WITH {EVENTS} SELECT stream_id, 0.0::DOUBLE AS erle_db, count(*) FILTER (WHERE pos % 4 <> 1) AS silence, round(sum(x * (pos % 7 + 1)), 5) + 0 AS weighted FROM s GROUP BY 1",
+    "model_windows": f"""WITH RECURSIVE {EVENTS}, w AS MATERIALIZED (SELECT stream_id, pos // {SIZE} AS win, sum(CAST(CAST(x AS FLOAT) AS DOUBLE) * CAST(CAST(x AS FLOAT) AS DOUBLE)) AS e, CAST(arg_max(x, pos) AS FLOAT) AS tail FROM s GROUP BY 1, 2 HAVING count(*) = {SIZE}),
+l AS MATERIALIZED (SELECT stream_id, win, sqrt((e + coalesce(CAST(lag(tail) OVER (PARTITION BY stream_id ORDER BY win) AS DOUBLE) * CAST(lag(tail) OVER (PARTITION BY stream_id ORDER BY win) AS DOUBLE), 0)) / {SIZE + 1}) AS loud FROM w),
+r AS (SELECT stream_id, CAST(-1 AS BIGINT) AS win, CAST(0 AS FLOAT) AS state FROM l GROUP BY 1 UNION ALL SELECT l.stream_id, l.win, CAST(0.5 * CAST(r.state AS DOUBLE) + 0.5 * l.loud AS FLOAT) FROM r JOIN l ON l.stream_id = r.stream_id AND l.win = r.win + 1)
+SELECT stream_id, win, win * {SIZE} / 16.0 AS start, (win + 1) * {SIZE} / 16.0 AS "end", round(CAST(state / (state + CAST(0.1 AS FLOAT)) AS DOUBLE), 5) + 0 AS probability, state / (state + CAST(0.1 AS FLOAT)) >= 0.5 AS is_speech FROM r WHERE win >= 0""",
+    "fw_seg_snr": """WITH s AS MATERIALIZED (SELECT user_id % 4 AS stream_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS pos, value / 397.0 AS r FROM events),
+n AS (SELECT stream_id, CASE WHEN count(*) >= 512 THEN (count(*) - 512) // 256 + 1 ELSE 0 END AS n FROM s GROUP BY 1),
+f AS MATERIALIZED (SELECT s.stream_id, f, pos - f * 256 AS i, r, r * CASE WHEN pos % 2 = 0 THEN 0.9 ELSE 1.1 END AS e FROM s JOIN n USING (stream_id), (SELECT unnest([0, 1]) AS back), LATERAL (SELECT pos // 256 - back AS f) WHERE f >= 0 AND f < n.n),
+a AS (SELECT stream_id, f, sum(r * r) AS energy FROM f GROUP BY 1, 2),
+v AS (SELECT stream_id, f FROM (SELECT *, max(energy) OVER (PARTITION BY stream_id) AS top FROM a) WHERE energy > top * 1e-4),
+t AS MATERIALIZED (SELECT k, i, (0.5 - 0.5 * cos(2 * pi() * i / 512)) * cos(2 * pi() * (k * i % 512) / 512) AS c, (0.5 - 0.5 * cos(2 * pi() * i / 512)) * sin(2 * pi() * (k * i % 512) / 512) AS d FROM (SELECT unnest(range(0, 257)) AS k), (SELECT unnest(range(0, 512)) AS i)),
+z AS (SELECT stream_id, f, k, sqrt(pow(sum(r * c), 2) + pow(sum(r * d), 2)) AS x, sqrt(pow(sum(e * c), 2) + pow(sum(e * d), 2)) AS y FROM f JOIN v USING (stream_id, f) JOIN t USING (i) GROUP BY 1, 2, 3),
+g AS (SELECT unnest(range(0, 24)) AS band),
+b AS (SELECT stream_id, f, (SELECT max(band) FROM g WHERE band * 257 // 24 <= k) AS band, x, y FROM z),
+h AS (SELECT stream_id, f, band, sum(x * x) AS p, sum(pow(x - y, 2)) AS q FROM b GROUP BY 1, 2, 3),
+m AS (SELECT stream_id, f, sum(pow(p, 0.2) * greatest(-10, least(35, 10 * log10((p + 1e-10) / (q + 1e-10))))) / sum(pow(p, 0.2)) AS snr FROM h GROUP BY 1, 2)
+SELECT n.stream_id, round(coalesce(avg(snr), 0), 4) + 0 AS fw_seg_snr FROM n LEFT JOIN m USING (stream_id) GROUP BY 1""",
     "si_sdr": f"WITH {BLOCKS}, j AS (SELECT a.vec_id, a.x AS r, a.x + 0.5 * o.x AS e FROM b a JOIN b o ON o.vec_id = a.vec_id - 1 AND o.pos = a.pos), m AS (SELECT vec_id, covar_pop(e, r) * 64 AS er, var_pop(r) * 64 AS rr, var_pop(e) * 64 AS ee FROM j GROUP BY 1), g AS (SELECT vec_id, pow(er / (rr + 1e-12), 2) * rr AS s, ee - 2 * er / (rr + 1e-12) * er + pow(er / (rr + 1e-12), 2) * rr AS n FROM m) SELECT vec_id, round(10 * log10((s + 1e-12) / (greatest(n, 0) + 1e-12)), 4) + 0 AS si_sdr FROM g",
     "seg_snr": f"WITH {EVENTS}, f AS (SELECT stream_id, pos // 16 AS f, sum(x * x) AS p, sum(pow(x - x * CASE WHEN pos % 2 = 0 THEN 0.9 ELSE 1.2 END, 2)) AS e FROM s GROUP BY 1, 2 HAVING count(*) = 16), t AS (SELECT *, max(p) OVER (PARTITION BY stream_id) AS top FROM f) SELECT stream_id, round(coalesce(avg(greatest(-10, least(35, 10 * log10((p + 1e-10) / (e + 1e-10))))) FILTER (WHERE p > top * 1e-4), 0), 4) + 0 AS seg_snr FROM t GROUP BY 1",
     "dc_block": f"WITH RECURSIVE {EVENTS}, r AS (SELECT stream_id, pos, x, x AS y FROM s WHERE pos = 0 UNION ALL SELECT s.stream_id, s.pos, s.x, s.x - r.x + 0.995::DOUBLE * r.y FROM r JOIN s ON s.stream_id = r.stream_id AND s.pos = r.pos + 1) SELECT stream_id, pos, round(y, 6) + 0 AS y FROM r",

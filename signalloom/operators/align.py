@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def reference_levels(blocks: DataFrame) -> DataFrame:
@@ -22,20 +24,45 @@ def reference_levels(blocks: DataFrame) -> DataFrame:
     return df.withColumn("silence", F.greatest(F.lit(0), F.col("wanted") - before - F.col("pushed"))).drop("__s")
 
 
-def capped_levels(blocks: DataFrame, capacity: int) -> DataFrame:
-    """The same with a bounded queue that drops the newest surplus: two-sided, so a fold; with dropped."""
+def clamp_scan(shift: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Running values of x -> max(low, min(high, x + shift)) from 0 on; such steps compose to steps of the same kind,
+    so all prefixes follow by doubling."""
+    shift, low, high, d = shift.copy(), low.copy(), np.maximum(low, high), 1
+    while d < len(shift):
+        s, lo, hi = shift[d:], low[d:], high[d:]
+        shift[d:], low[d:], high[d:] = shift[:-d] + s, np.clip(low[:-d] + s, lo, hi), np.clip(high[:-d] + s, lo, hi)
+        d *= 2
+    return np.clip(shift, low, high)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g, level, rows = g.sort_values("ord"), 0, []
-        for pushed, wanted in zip(g["pushed"], g["wanted"]):
-            kept = min(int(pushed), capacity - level)
-            have = level + kept
-            level = max(0, have - int(wanted))
-            rows.append((level, max(0, int(wanted) - have), int(pushed) - kept))
-        return pd.concat([g.reset_index(drop=True), pd.DataFrame(rows, columns=["queued", "silence", "dropped"], dtype="int64")], axis=1)
-
-    schema = blocks.schema.simpleString()[7:-1]
-    return blocks.groupBy("stream_id").applyInPandas(run, ", ".join(f.replace(":", " ", 1) for f in schema.split(",")) + ", queued long, silence long, dropped long")
+
+def capped_levels(blocks: DataFrame, capacity: int) -> DataFrame:
+    """The same with a bounded queue that drops the newest surplus, with dropped; streams in batches, in order."""
+    names = blocks.columns
+    ids, pushed, wanted = (names.index(c) for c in ("stream_id", "pushed", "wanted"))
+
+    def run(batches):
+        last, level = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p, w = b.column(pushed).to_numpy().astype(np.int64), b.column(wanted).to_numpy().astype(np.int64)
+            streams = pa.concat_arrays([pa.array(last, b.schema.field(ids).type), b.column(ids)])
+            code = pd.factorize(streams.to_pandas(), use_na_sentinel=False)[0]
+            fresh = np.concatenate([[True], code[1:] != code[:-1]])[len(last) :]
+            shift, low, high = p - w, np.zeros(len(p), np.int64), np.maximum(0, capacity - w)
+            known = fresh.copy()  # rows whose level before is known: one value whatever came before
+            known[0] = True
+            first = np.where(fresh, 0, level)[known]
+            low[known] = high[known] = np.clip(first + shift[known], 0, high[known])
+            after = clamp_scan(shift, low, high)
+            before = np.where(fresh, 0, np.concatenate([[level], after[:-1]]))
+            kept = np.minimum(p, capacity - before)
+            new = (after, np.maximum(0, w - before - kept), p - kept)
+            last, level = b.column(ids)[-1:].to_pylist(), int(after[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in new)], names=[*names, "queued", "silence", "dropped"])
+
+    schema = T.StructType([*blocks.schema.fields, *(T.StructField(c, T.LongType()) for c in ("queued", "silence", "dropped"))])
+    return blocks.repartition("stream_id").sortWithinPartitions("stream_id", "ord").mapInArrow(run, schema)
 
 
 def aligned(near: DataFrame, far: DataFrame) -> DataFrame:

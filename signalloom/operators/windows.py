@@ -93,11 +93,11 @@ def kept_newest(arrivals: DataFrame, capacity: int) -> DataFrame:
     return arrivals.withColumn("__r", rank).filter(F.col("__r") <= capacity).drop("__r")
 
 
-def taken(chunks: DataFrame, target: int) -> DataFrame:
+def taken(chunks: DataFrame, target: int | Column) -> DataFrame:
     """Chunks until `target` frames have come: at least that many, less than one chunk over."""
     by = Window.partitionBy("stream_id").orderBy("seq")
     before = F.sum("frames").over(by) - F.col("frames")
-    return chunks.withColumn("__before", before).filter(F.col("__before") < max(1, target)).drop("__before")
+    return chunks.withColumn("__before", before).filter(F.col("__before") < F.greatest(F.lit(1), F.lit(target))).drop("__before")
 
 
 def playback(pushes: DataFrame) -> DataFrame:
@@ -115,10 +115,6 @@ def playback(pushes: DataFrame) -> DataFrame:
     return df.withColumn("played", F.col("wanted") - F.col("underrun")).drop("__s")
 
 
-def seconds(position: Column, rate: float) -> Column:
-    return position / rate
-
-
 def rendered(samples: DataFrame, block: int, wanted: int | None = None) -> DataFrame:
     """What a player hears: samples (stream_id, pos, x) in fixed output blocks, silence where none is left.
 

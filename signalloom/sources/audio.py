@@ -226,6 +226,50 @@ def decode(data: bytes) -> tuple[np.ndarray, int, int]:
     return x[: len(x) // channels * channels].astype(np.float32), rate, channels
 
 
+#: Bytes of a file that are looked at for its rate and channels before all of it is.
+HEAD = 1 << 16
+
+
+def header_of(data: bytes) -> tuple[int, int] | None:
+    """Rate and channels from a file's first bytes; None if they lie further behind or it is no audio file."""
+    try:
+        if data[:4] == b"RIFF" and data[8:12] == b"WAVE":
+            form = next(body for name, body in _chunks(data, 12, False) if name == b"fmt ")
+            channels, rate = struct.unpack_from("<HI", form, 2)
+        elif data[:4] == b"FORM" and data[8:12] in (b"AIFF", b"AIFC"):
+            common = next(body for name, body in _chunks(data, 12, True) if name == b"COMM")
+            channels, rate = struct.unpack_from(">h", common)[0], round(_extended(common[8:18]))
+        elif data[:4] == b"fLaC":
+            v = int.from_bytes(data[18:22])
+            rate, channels = v >> 12, (v >> 9 & 7) + 1
+        else:
+            return None
+    except (StopIteration, struct.error):
+        return None
+    return rate, channels
+
+
+def scan_headers(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(stream_id, sample_rate, channels) of all audio files under a path; samples are only decoded where a header isn't
+    among a file's first bytes."""
+    reader = spark.read.format("binaryFile")
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    heads = files.select("path", F.substring("content", 1, HEAD).alias("head"), F.when(F.length("content") > HEAD, F.col("content")).alias("content"))
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for i, head in enumerate(b.column(1)):
+                kind = header_of(head.as_py())
+                if kind is None:
+                    whole = b.column(2)[i].as_py()
+                    kind = decode(head.as_py() if whole is None else whole)[1:]
+                found.append(kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.int32())], names=["stream_id", "sample_rate", "channels"])
+
+    return heads.mapInArrow(run, "stream_id string, sample_rate int, channels int")
+
+
 def chunked(x: np.ndarray, channels: int, frames: int) -> list[np.ndarray]:
     return [x[i : i + frames * channels] for i in range(0, len(x), frames * channels)]
 

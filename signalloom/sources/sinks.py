@@ -1,16 +1,18 @@
 """Saving streams as 16-bit WAV, AIFF or FLAC: repair, clamp, encode, write, report.
 
-Each stream is one object; its bytes are written by the task that folded it, through Hadoop's file system
-where the path names one, and the driver only sees the report rows.
+Each stream is one object of bounded length (a stream's samples are one task's work); its bytes are written by that task,
+to the store that the folder's URI names (file, s3, gs, hdfs, as far as pyarrow knows it here) or, without a scheme, to a
+folder that all executors share. The driver only sees the report rows.
 """
 
 from __future__ import annotations
 
-import os
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +134,7 @@ def encode(x: np.ndarray, rate: int, channels: int, kind: str) -> bytes:
 
 
 def save_streams(chunks: DataFrame, folder: str, kind: str = "wav") -> DataFrame:
-    """One file per stream in a folder that all executors see; rows (stream_id, path, clipped_samples, non_finite_samples).
+    """One file per stream in a folder or store that all executors see; rows (stream_id, path, clipped_samples, non_finite_samples).
 
     The name is the number of the stream's hash, so a retried task writes the same file again.
     """
@@ -141,13 +143,15 @@ def save_streams(chunks: DataFrame, folder: str, kind: str = "wav") -> DataFrame
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("seq")
         x, clipped, bad = repaired(np.concatenate([np.asarray(d, np.float32) for d in g["data"]]))
-        path = os.path.join(folder, f"{g['file'].iat[0]}.{kind}")
+        store, root = pa_fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa_fs.LocalFileSystem(), folder)
+        name = f"{g['file'].iat[0]}.{kind}"
         data = encode(x, int(g["sample_rate"].iat[0]), int(g["channels"].iat[0]), kind)
-        os.makedirs(folder, exist_ok=True)
-        part = f"{path}.{os.getpid()}.part"
-        with open(part, "wb") as f:
+        store.create_dir(root, recursive=True)
+        part = f"{root}/{name}.{uuid.uuid4().hex}.part"
+        with store.open_output_stream(part) as f:
             f.write(data)
-        os.replace(part, path)
+        store.move(part, f"{root}/{name}")
+        path = f"{folder.rstrip('/')}/{name}"
         return pd.DataFrame({"stream_id": [g["stream_id"].iat[0]], "path": [path], "clipped_samples": [clipped], "non_finite_samples": [bad]})
 
     named = chunks.withColumn("file", F.sha1(F.col("stream_id").cast("string")))

@@ -76,19 +76,20 @@ def speaking_now(scores: DataFrame, threshold: float, holdoff_ms: int) -> DataFr
     """
 
     def step(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        on, events = bool(state.exists and state.get[0]), []
-        if state.hasTimedOut:
-            on, events = False, ["silence"]
-        else:
-            loud = any((g["score"] >= threshold).any() for g in groups)
-            if loud and not on:
-                on, events = True, ["speech"]
-            if loud:
-                state.setTimeoutDuration(holdoff_ms)
-        state.update((on,))
+        now, events = state.getCurrentProcessingTimeMs(), []
+        until = state.get[0] if state.exists else 0  # when silence begins; 0 while silent
+        loud = not state.hasTimedOut and any([(g["score"] >= threshold).any() for g in groups])
+        if loud:
+            events += ["speech"] * (not until)
+            until = now + holdoff_ms
+        elif until and now >= until:
+            events, until = ["silence"], 0
+        state.update((until,))
+        if until:  # the engine forgets the timeout at every call
+            state.setTimeoutDuration(max(1, until - now))
         yield pd.DataFrame({"stream_id": [key[0]] * len(events), "event": events})
 
-    return scores.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, event string", "on boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return scores.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, event string", "until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 PAIRED = "stream_id string, ord long, side string, channels int, data array<float>, last boolean"

@@ -66,3 +66,23 @@ def test_live_echo_and_clock(spark, tmp_path):
         time.sleep(0.2)
     q.stop()
     assert [(r["stream_id"], r["event"]) for r in events] == [("a", "speech"), ("a", "silence")]
+
+
+def test_silence_falls_in_spite_of_quiet_chunks(spark, tmp_path):
+    ddl, events, folder = "stream_id string, score double", [], str(tmp_path / "scores")
+    add = lambda *rows: spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(folder)
+    add(("a", 0.5), ("b", 0.0))
+    q = live.speaking_now(spark.readStream.schema(ddl).parquet(folder), 0.1, 3000).writeStream.foreachBatch(lambda df, i: events.extend(r["event"] for r in df.filter("stream_id = 'a'").collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="100 milliseconds").start()
+    try:
+        for want in (["speech"], ["speech", "silence"], ["speech", "silence", "speech"], ["speech", "silence", "speech", "silence"]):
+            for i in range(150):
+                if len(events) >= len(want):
+                    break
+                if want[-1] == "silence" and i < 3:
+                    add(("a", 0.0))  # quiet chunks before the holdoff is over
+                time.sleep(0.2)
+            assert events == want
+            if want[-1] == "silence" and len(want) == 2:
+                add(("a", 0.9))
+    finally:
+        q.stop()
