@@ -87,15 +87,24 @@ class Microphone:
     def __init__(self, spark: SparkSession, folder: str, source_rate: int, source_channels: int, config: Conditioning | None = None):
         self.config = config or Conditioning(sample_rate=source_rate, channels=source_channels)
         self.config.layout(source_channels)
+        if self.config.echo is not None:
+            raise ConfigError("a folder of one side has no reference; use streaming.live.echo_cancelled for two")
+        if self.config.detector is not None and self.config.detector.kind != "energy":
+            raise DetectorError("live blocks are scored by the energy rule; score recordings by a model with File.analyze")
         self.source = (spark, folder, source_rate, source_channels)
 
     def read(self) -> DataFrame:
-        """A streaming DataFrame of conditioned chunks; a stream's last row flushes and closes it."""
+        """A streaming DataFrame of conditioned blocks of frames_per_buffer frames; a stream's last row flushes and closes it.
+
+        dtype int16 adds their 16-bit `codes`; a detector gives score and is_speaking (of all delivered channels, or of its one).
+        """
         spark, folder, rate, channels = self.source
-        config = self.config
+        config, d = self.config, self.config.detector
         steps = [s for s in run.plan(config, rate, channels) if s.name not in ("sanitize", "downmix", "map")]
         rows = run.laid_out(live.capture(spark, folder), config, channels)
-        return live.folded(rows, lambda _, c: run.kernel_of(steps, config.sample_rate, c) if steps else folds.Chain([_Through()]))
+        make = lambda _, c: run.kernel_of(steps, config.sample_rate, c) if steps else folds.Chain([_Through()])
+        out = live.folded(rows, make, config.frames_per_buffer, config.sample_rate, d.level if d else None, d.holdoff if d else 0.0, d.source if d else None)
+        return out.withColumn("codes", F.transform("data", S.pcm16)) if config.dtype == "int16" else out
 
 
 class _Through:

@@ -120,6 +120,8 @@ class Step:
 def plan(config: Conditioning, source_rate: int, source_channels: int) -> list[Step]:
     """The normalising steps (sanitize, layout, resample), then the transforming ones; empty: pass through."""
     kind, wanted = config.layout(source_channels)
+    if config.echo is not None:
+        raise ConfigError("echo cancelling needs a reference stream: align it and use operators.align.echo_cancelled, or streaming.live.echo_cancelled")
     steps = []
     if kind != "identity":
         steps.append(Step("downmix" if kind == "mean" else "map", {"map": wanted}))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LIVE = "stream_id string, seq long, sample_rate int, channels int, data array<float>, last boolean"
-OUT = "stream_id string, seq long, sample_rate int, channels int, data array<float>, closed boolean, rejected long"
+OUT = "stream_id string, seq long, sample_rate int, channels int, data array<float>, closed boolean, rejected long, score double, is_speaking boolean"
 
 
 def capture(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -24,29 +24,48 @@ def capture(spark: SparkSession, path: str, files_per_trigger: int = 64) -> Data
     return spark.readStream.schema(LIVE).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def folded(chunks: DataFrame, make: Callable[[int, int], object]) -> DataFrame:
-    """Output chunks of make(rate, channels) for each stream; works on a stream of LIVE rows."""
+def folded(chunks: DataFrame, make: Callable[[int, int], object], frames: int | None = None, rate: int | None = None, level: float | None = None, holdoff: float = 0.0, channel: int | None = None) -> DataFrame:
+    """Output chunks of make(rate, channels) for each stream; works on a stream of LIVE rows.
+
+    frames: cut anew into blocks of so many frames, the last of a stream maybe short. level: each block gets its
+    energy (of one channel, or of all) as score, and is_speaking from it and the holdoff by the time of the samples at `rate`.
+    """
 
     def step(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         g = pd.concat(list(groups)).sort_values("seq")
-        kernel, seq, closed = (pickle.loads(state.get[0]), *state.get[1:]) if state.exists else (None, 0, False)
+        (kernel, left, done, loud), seq, closed = (pickle.loads(state.get[0]), *state.get[1:]) if state.exists else ((None, None, 0, None), 0, False)
         rows, rejected = [], 0
         for r in g.itertuples():
             if closed:
                 rejected += 1
                 continue
-            kernel = kernel or make(int(r.sample_rate), int(r.channels))
-            x = np.asarray(r.data, float).reshape(-1, int(r.channels)) if r.data is not None else np.zeros((0, int(r.channels)))
+            channels = int(r.channels)
+            kernel = kernel or make(int(r.sample_rate), channels)
+            x = np.asarray(r.data, float).reshape(-1, channels) if r.data is not None else np.zeros((0, channels))
             parts = [kernel.process(x)] + ([kernel.flush()] if r.last else [])
             closed = bool(r.last)
-            data = np.concatenate([np.asarray(p).reshape(-1, int(r.channels)) for p in parts])
-            if len(data) or closed:
-                rows.append((key[0], seq, r.sample_rate, r.channels, data.astype(np.float32).ravel(), closed, 0))
+            data = np.concatenate([np.asarray(p).reshape(-1, channels) for p in parts])
+            if frames:
+                data = data if left is None else np.concatenate([left, data])
+                whole = len(data) if closed else len(data) // frames * frames
+                blocks, left = [data[i : min(whole, i + frames)] for i in range(0, whole, frames)], data[whole:]
+                blocks = blocks or ([data[:0]] if closed else [])
+            else:
+                blocks = [data] if len(data) or closed else []
+            for i, block in enumerate(blocks):
+                score = speaking = None
+                if level is not None:
+                    done += len(block)
+                    heard = block if channel is None else block[:, channel]
+                    end, score = done / (rate or int(r.sample_rate)), float(np.sqrt(np.mean(heard * heard))) if len(block) else 0.0
+                    loud = end if score >= level else loud
+                    speaking = loud is not None and (score >= level or end - loud < holdoff)
+                rows.append((key[0], seq, rate or r.sample_rate, channels, block.astype(np.float32).ravel(), closed and i == len(blocks) - 1, 0, score, speaking))
                 seq += 1
         if rejected:
-            rows.append((key[0], seq, None, None, None, True, rejected))
-        state.update((pickle.dumps(None if closed else kernel), seq, closed))
-        yield pd.DataFrame(rows, columns=["stream_id", "seq", "sample_rate", "channels", "data", "closed", "rejected"])
+            rows.append((key[0], seq, None, None, None, True, rejected, None, None))
+        state.update((pickle.dumps((None, None, 0, None) if closed else (kernel, left, done, loud)), seq, closed))
+        yield pd.DataFrame(rows, columns=["stream_id", "seq", "sample_rate", "channels", "data", "closed", "rejected", "score", "is_speaking"])
 
     return chunks.groupBy("stream_id").applyInPandasWithState(step, OUT, "kernel binary, seq long, closed boolean", "append", GroupStateTimeout.NoTimeout)
 
