@@ -92,33 +92,50 @@ class GainControl:
 
     def __init__(self, target_db: float, rate: float):
         self.target, self.floor = decibels(target_db), decibels(self.FLOOR_DB)
-        self.most, self.least = decibels(self.MOST_DB), decibels(-self.MOST_DB)
-        self.slow, self.attack, self.warm = (smoothing(s, rate) for s in (self.LEVEL_S, self.ATTACK_S, self.WARM_S))
-        self.rise, self.hang = decibels(self.RISE_DB / rate), int(self.HANG_S * rate)
-        self.power, self.seen, self.gain, self.warm_left, self.hang_left = 0.0, 0, 1.0, int(self.WARM_LENGTH_S * rate), 0
+        self.range = decibels(-self.MOST_DB), decibels(self.MOST_DB)
+        slow, self.attack, self.warm = (smoothing(s, rate) for s in (self.LEVEL_S, self.ATTACK_S, self.WARM_S))
+        self.rise, self.hang, self.warm_frames = decibels(self.RISE_DB / rate), int(self.HANG_S * rate), int(self.WARM_LENGTH_S * rate)
+        self.opening = math.floor(1 / slow)  # so many frames are averaged evenly
+        self.average = LinearFilter(np.array([[1 - slow]]), np.array([slow]), np.array([1 - slow]), slow)
+        self.seen = self.moved = 0
+        self.total, self.quiet, self.gain = 0.0, self.hang + 1, 1.0
+
+    def levels(self, squares: np.ndarray) -> np.ndarray:
+        """Root of the running average of mean squares: of all frames at first, then with exponential weights."""
+        k = min(len(squares), max(0, self.opening - self.seen))
+        even = (self.total + np.cumsum(squares[:k])) / (self.seen + 1 + np.arange(k))
+        if k:
+            self.total += float(squares[:k].sum())
+            self.average.state = even[-1:].copy()
+        self.seen += len(squares)
+        return np.sqrt(np.concatenate([even, self.average.process(squares[k:])]))
+
+    def moving(self, level: np.ndarray) -> np.ndarray:
+        """The frames that move the gain: loud ones and those up to `hang` behind one."""
+        at = np.arange(len(level))
+        last = np.maximum.accumulate(np.where(level > self.floor, at, -1 - self.quiet))
+        since = at - last
+        if len(level):
+            self.quiet = min(int(since[-1]), self.hang + 1)
+        return np.flatnonzero(since <= self.hang)
 
     def gains(self, squares: np.ndarray) -> np.ndarray:
         """The gain of each frame, from the mean squares of the frames before it."""
-        out = np.empty(len(squares))
-        for i, sq in enumerate(squares.tolist()):
-            out[i] = self.gain
-            self.power += max(self.slow, 1 / (self.seen + 1)) * (sq - self.power)
-            self.seen += 1
-            level = math.sqrt(self.power)
-            if level > self.floor:
-                self.hang_left = self.hang
-            elif self.hang_left:
-                self.hang_left -= 1
-            else:
-                continue
-            wanted = min(max(self.target / level, self.least), self.most) if level else self.most
-            if wanted <= self.gain:
-                self.gain += (wanted - self.gain) * self.attack
-            elif self.warm_left:
-                self.gain += (wanted - self.gain) * self.warm
-            else:
-                self.gain = min(self.gain * self.rise, wanted)
-            self.warm_left = max(0, self.warm_left - 1)
+        level = self.levels(squares)
+        at = self.moving(level)
+        with np.errstate(divide="ignore"):
+            goals = np.clip(self.target / level[at], *self.range).tolist()
+        warm = max(0, min(len(at), self.warm_frames - self.moved))
+        self.moved += len(at)
+        g, after = self.gain, []
+        for goal in goals[:warm]:
+            g += (goal - g) * (self.attack if goal <= g else self.warm)
+            after.append(g)
+        for goal in goals[warm:]:
+            g = min(g * self.rise, goal) if goal > g else g + (goal - g) * self.attack
+            after.append(g)
+        out = np.concatenate([[self.gain], after])[np.searchsorted(at, np.arange(len(level)), "left")] if len(level) else np.zeros(0)
+        self.gain = g
         return out
 
     def process(self, frames: np.ndarray) -> np.ndarray:
@@ -141,10 +158,13 @@ class Limiter:
 
     def process(self, frames: np.ndarray) -> np.ndarray:
         x = frames if frames.ndim == 2 else frames[:, None]
-        peaks, gains, g = np.nanmax(np.abs(np.where(np.isnan(x), 0, x)), axis=1, initial=0), np.empty(len(x)), self.gain
-        for i, peak in enumerate(peaks.tolist()):
-            wanted = self.ceiling / peak if peak > self.ceiling else 1.0
-            g += (wanted - g) * (self.attack if wanted < g else self.release)
+        peaks = np.nanmax(np.abs(np.where(np.isnan(x), 0, x)), axis=1, initial=0)
+        with np.errstate(invalid="ignore"):
+            goals = np.where(peaks > self.ceiling, self.ceiling / np.maximum(peaks, self.ceiling), 1.0)
+        gains, g = np.ones(len(x)), self.gain
+        first = 0 if g != 1.0 else int(np.argmax(goals < 1)) if (goals < 1).any() else len(x)  # the gain rests at 1 before
+        for i, goal in enumerate(goals[first:].tolist(), first):
+            g += (goal - g) * (self.attack if goal < g else self.release)
             gains[i] = g
         self.gain = g
         with np.errstate(invalid="ignore"):
