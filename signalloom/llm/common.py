@@ -127,17 +127,26 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; only where that is unset, as in tests, a new local one."""
+    """The folder that all executors share, from spark.checkpoint.dir; unset, a new one under a local master, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         where = spark.sparkContext.getCheckpointDir()
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="checkpoints-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the file system that its path names."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def truncate_lineage(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back."""
     shared_folder(df.sparkSession)
