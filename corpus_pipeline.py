@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from signalloom.llm import language_id, near_dup, packing, pii, quality_crf
-from signalloom.llm.common import fold_of, shared_folder, table
+from signalloom.llm.common import fold_of, remove_folder, shared_folder, table
 
 #: A text whose trigrams belong to its language by less than this share is in none that is known.
 LEAST_LANGUAGE = 0.35
@@ -75,9 +75,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written as Parquet to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; each but the last is written as Parquet to the shared folder and read again.
+
+    A stage's folder is removed once its successor is written; the last one stays for the rows that are returned.
+    """
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
