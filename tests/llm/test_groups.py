@@ -346,11 +346,55 @@ def test_url_rules_and_edges(spark):
     assert {r.verdict for r in url_filter.judge_urls(df.filter("page_id in (1, 2, 3)")).collect()} == {"allow"}
 
 
-def test_boosted_trees_learn(spark):
-    rows = [(i, f"http://h{i % 7}.com/{'fr' if i % 2 else 'de'}/{'x' * (40 if i % 2 else 3)}") for i in range(300)] + [(1000 + i, f"http://h.net/{'y' * (41 if i % 2 else 4)}") for i in range(20)]
-    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).toPandas()
+def plain_judgement(url, rules):
+    """Host, path, rule and its verdict, character by character."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url[url.index("://") + 3 :]
+    end = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host, path = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:]
+    path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+    fit = [(r, v) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+    return host, path, *max(fit, key=lambda x: len(x[0]), default=(None, None))
+
+
+def test_url_rules_equal_plain_python(spark):
+    r = random.Random(3)
+    parts = ["http", "://", "example", ".", "org", "com", "net", "/", "en", "de", "fr", "es", "1", "?", "#", "ORG", "x", "m.", "É", ":80", "@"]
+    urls = ["".join(r.choices(parts, k=r.randrange(1, 9))) for _ in range(1000)]
+    urls += [f"h://{r.choice(['', 'a.', 'X.'])}{r.choice(['example.org', 'Example.ORG', 'org', 'b.com', 'xorg', 'com'])}/{r.choice(['es', 'en', 'fr', 'de', ''])}/{r.choice(['1', '12', '2', ''])}{r.choice(['', '?/de/', '#x'])}" for _ in range(1000)]
+    got = {x.page_id: x for x in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    fitted = 0
+    for i, u in enumerate(urls):
+        host, path, rule, verdict = plain_judgement(u, url_filter.RULES)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and got[i].verdict in ((verdict,) if verdict else ("allow", "block")), u
+        fitted += rule is not None
+    assert len(got) == 2000 and fitted > 400
+
+
+def test_boosted_trees_learn(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 7}.com/{'fr' if i % 2 else 'de'}/{'x' * (40 if i % 2 else 3)}") for i in range(600)] + [(1000 + i, f"http://h.net/{'y' * (41 if i % 2 else 4)}") for i in range(20)]
+    seen = []
+    train = url_filter.train
+    monkeypatch.setattr(url_filter, "train", lambda *a: seen.append(train(*a)) or seen[-1])
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_filter.judge_urls(df.union(df.filter("page_id = 1001"))).toPandas()
     rest = got[got["page_id"] >= 1000]
-    assert (rest["verdict"] == np.where(rest["page_id"] % 2 == 1, "allow", "block")).all()
+    assert len(rest) == 21 and (rest["verdict"] == np.where(rest["page_id"] % 2 == 1, "allow", "block")).all()
+    n, right, loss = seen[0].held_out
+    assert n > 30 and right == 1 and loss < 0.3 and 0 < len(seen[0].trees) <= url_filter.TREES
+
+
+def test_statistics_of_the_other_folds(spark):
+    """A training row's statistic beside a count over the rows of the other folds; every suffix has one."""
+    r = random.Random(4)
+    rows = [(f"s{min(r.randrange(90), r.randrange(90))}", r.randrange(5), r.randrange(2)) for _ in range(600)]
+    sample = spark.createDataFrame(rows, "__s_host string, __fold int, __y int")
+    whole, others = url_filter._statistics(sample, "host", 0.4)
+    mean = lambda ys: (sum(ys) + 10 * 0.4) / (len(ys) + 10)
+    assert {x.s: round(x.v, 9) for x in whole.collect()} == {s: round(mean([y for t, _, y in rows if t == s]), 9) for s in {x[0] for x in rows}}
+    got = {(x.s, x.fold): round(x.v, 9) for x in others.collect()}
+    assert got == {(s, f): round(mean([y for t, g, y in rows if t == s and g != f]), 9) for s, f in {x[:2] for x in rows}}
 
 
 def test_pipeline_stages(spark, data, tmp_path):
