@@ -1,14 +1,14 @@
-"""Copies of images, cropped or edited, by local descriptors.
-
-Corners (Harris response, local maxima) are taken on the image and on its half; each gets the direction of its
-intensity centroid, and a row of binary tests in a pattern turned to that direction. Images of equal corners and
-descriptors are one from then on. The descriptor is cut into TABLES parts, and every pair of images with VOTES
-equal parts is a candidate: images are dealt into blocks of about BLOCK, and each pair of blocks is one task,
-which holds their descriptors. It first pairs each image with the smallest one of every part's bucket; then all
-pairs with VOTES parts that the links so far leave in different components, so only these are enumerated.
-Candidates are verified: corners are matched by Hamming distance, and a similarity (shift, turn, scale) must
-hold for MIN_INLIERS of the matches and MIN_PART of them. Only links that join two components leave the task,
-fewer than its images; they are united into classes.
+"""Copies of images, cropped, resized, turned or edited, by local descriptors.
+
+Corners (Harris response, local maxima, as many as the area asks for) are taken on the image and on smaller ones of it, in
+steps of scale; each gets the direction of its intensity centroid, and a row of binary tests in a pattern turned to
+that direction. Images of equal corners and descriptors are one from then on. The descriptor is cut into TABLES
+parts, and every pair of images with enough equal parts (`needed`) is a candidate: images are dealt into blocks of about
+BLOCK, and each pair of blocks is one task, which holds their descriptors. It first pairs each image with the smallest
+one of every part's bucket; then all pairs with enough parts that the links so far leave in different components, so
+only these are enumerated. Candidates are verified: corners are matched by Hamming distance, and a similarity (shift,
+turn, scale) must hold for MIN_INLIERS of the matches and MIN_PART of them. Only links that join two components leave
+the task, fewer than its images; they are united into classes.
 
 The driver's tables hold no media, so op2 renders the column itself: each embedding becomes a grey image, a
 fixed random field per component weighted by its value, and every twentieth id gets a second, edited image:
@@ -32,10 +32,13 @@ from pyspark.sql import types as T
 from .common import map_batches, table, truncate_lineage
 from .components import connected_components
 
-CORNERS = (20, 8)  # most on the image and on its half
-BITS, TABLES = 128, 4
-RADIUS, TURNS = 8, 24
-VOTES, NEAR_BITS, MIN_INLIERS, MIN_PART, REACH = 2, 24, 6, 0.5, 2.5
+#: Steps of scale, each by STEP, down to images that just hold a pattern; pixels a corner, at least LEAST corners.
+STEP, PIXELS, LEAST = 2 ** (-1 / 3), 150, 20
+BITS, TABLES = 192, 8
+RADIUS, TURNS = 8, 72
+#: Equal parts of a candidate: VOTES, and one more for CHANCE pairs of corners, which smooth images share by chance.
+VOTES, CHANCE = 3, 8192
+NEAR_BITS, MIN_INLIERS, MIN_PART, REACH = 36, 6, 0.5, 2.5
 #: Images a block, and votes that a task counts together.
 BLOCK, CHUNK = 16_384, 4_000_000
 SEED = 97
@@ -91,8 +94,8 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
     return sum(rows[:, :, i : i + x.shape[2]] for i in range(2 * r + 1)) / (2 * r + 1) ** 2
 
 
-def _corners(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Image number, y and x of at most `most` corners of each image of a stack."""
+def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Image number, y and x of the strongest corners of each image of a stack, one for PIXELS pixels that can hold one."""
     gy, gx = np.gradient(x, axis=1), np.gradient(x, axis=2)
     a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
     r = a * b - c * c - 0.05 * (a + b) ** 2
@@ -107,33 +110,47 @@ def _corners(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     order = np.lexsort((xx, y, -r[i, y, xx], i))
     i, y, xx = i[order], y[order], xx[order]
     first = np.searchsorted(i, np.arange(len(x)))
+    most = max(LEAST, (x.shape[1] - 2 * RADIUS) * (x.shape[2] - 2 * RADIUS) // PIXELS)
     keep = np.arange(len(i)) - first[i] < most
     return i[keep], y[keep], xx[keep]
 
 
+def _shrinking(n: int, m: int) -> np.ndarray:
+    """m x n: each new pixel the mean of the old ones under a triangle of its width."""
+    at = (np.arange(m) + 0.5) * n / m - 0.5
+    w = np.maximum(0, 1 - np.abs(np.arange(n)[None] - at[:, None]) / max(1.0, n / m))
+    return (w / w.sum(1, keepdims=True)).astype(np.float32)
+
+
 def describe(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For images of one size: image number, position and scale (x, y, scale), descriptor bytes of each corner."""
     number, place, bits = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.float32)], [np.zeros((0, BITS // 8), np.uint8)]
-    x = stack
-    for scale, most in zip((1, 2), CORNERS):
-        if scale == 2:
-            h, w = x.shape[1] // 2 * 2, x.shape[2] // 2 * 2
-            x = x[:, :h, :w].reshape(len(x), h // 2, 2, w // 2, 2).mean((2, 4))
-        if min(x.shape[1:]) <= 2 * RADIUS + 2:
+    h, w, level = *stack.shape[1:], 0
+    while True:
+        m, n = round(h * STEP**level), round(w * STEP**level)
+        if min(m, n) <= 2 * RADIUS + 2:
             break
+        x = stack if not level else np.einsum("ij,njk,lk->nil", _shrinking(h, m), stack, _shrinking(w, n), optimize=True)
         s = _box(x, 1)
-        i, cy, cx = _corners(s, most)
+        i, cy, cx = _corners(s)
         around = s[i[:, None], cy[:, None] + _disc[:, 1], cx[:, None] + _disc[:, 0]]
         angle = np.arctan2((around * _disc[:, 1]).sum(1), (around * _disc[:, 0]).sum(1))
         turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
         p = PATTERN[turn]
         v = s[i[:, None, None], cy[:, None, None] + p[..., 1], cx[:, None, None] + p[..., 0]]
         number.append(i)
-        place.append(np.stack([cx * scale, cy * scale, np.full(len(i), scale)], 1).astype(np.float32))
+        place.append(np.stack([(cx + 0.5) * w / n, (cy + 0.5) * h / m, np.full(len(i), w / n)], 1).astype(np.float32))
         bits.append(np.packbits(v[..., 0] < v[..., 1], axis=1))
+        level += 1
     return np.concatenate(number), np.concatenate(place), np.concatenate(bits)
 
 
+def part_keys(bits: np.ndarray) -> np.ndarray:
+    """The parts of descriptors (rows of bytes) as numbers, the table above the part's bits."""
+    parts = bits.reshape(-1, TABLES, BITS // 8 // TABLES).astype(np.int64)
+    return sum(parts[..., i] << (8 * (parts.shape[2] - 1 - i)) for i in range(parts.shape[2])) | (np.arange(TABLES, dtype=np.int64) << 32)
+
+
 def features_of(images: list[bytes | None]) -> dict:
     read = [read_grey(d) for d in images]
     shapes: dict[tuple, list[int]] = {}
@@ -146,7 +163,7 @@ def features_of(images: list[bytes | None]) -> dict:
         for a in range(0, len(at), step):
             some = at[a : a + step]
             number, place, bits = describe(np.stack([read[i] for i in some]))
-            keys = bits.reshape(-1, TABLES, BITS // 8 // TABLES).view(">u4")[..., 0].astype(np.int64) | (np.arange(TABLES, dtype=np.int64) << 32)
+            keys = part_keys(bits)
             for k, i in enumerate(some):
                 mine = number == k
                 n[i] = mine.sum()
@@ -198,7 +215,7 @@ def is_copy(a: bytes, b: bytes) -> bool:
 def _parts(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the image and part, each once, by part and then image."""
     bits = [_unpack(x)[1] for x in data]
-    keys = np.concatenate(bits).reshape(-1, TABLES, BITS // 8 // TABLES).view(">u4")[..., 0].astype(np.int64) | (np.arange(TABLES, dtype=np.int64) << 32)
+    keys = part_keys(np.concatenate(bits))
     at = np.repeat(np.arange(len(data)), [len(x) * TABLES for x in bits])
     keys = keys.ravel()
     order = np.lexsort((at, keys))
@@ -208,6 +225,11 @@ def _parts(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return at[new], keys[new]
 
 
+def needed(corners_a, corners_b):
+    """Equal parts that make two images with so many corners a candidate."""
+    return VOTES + corners_a * corners_b // CHANCE
+
+
 def _starts(new: np.ndarray) -> np.ndarray:
     """For each place of a run-start mask, the start of its run."""
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
@@ -217,8 +239,8 @@ def _changed(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
 
 
-def _voted(at: np.ndarray, keys: np.ndarray, comp: np.ndarray, side: np.ndarray | None):
-    """All pairs (a, b) of images of different components with VOTES parts, most votes first in each chunk."""
+def _voted(at: np.ndarray, keys: np.ndarray, comp: np.ndarray, side: np.ndarray | None, corners: np.ndarray):
+    """All pairs (a, b) of images of different components with the votes they need, most votes first in each chunk."""
     size = np.bincount(comp, minlength=len(comp))[comp]
     order = np.lexsort((comp, -size))  # the largest component enumerates nothing
     rank = np.empty(len(order), np.int64)
@@ -240,8 +262,10 @@ def _voted(at: np.ndarray, keys: np.ndarray, comp: np.ndarray, side: np.ndarray
         k = n[x:z]
         b = at[np.repeat(first[x:z] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
         pairs, votes = np.unique(np.repeat(image[x:z], k) * len(order) + b, return_counts=True)
-        pairs = pairs[votes >= VOTES][np.argsort(-votes[votes >= VOTES], kind="stable")]
-        a, b = order[pairs // len(order)], order[pairs % len(order)]
+        by_votes = np.argsort(-votes, kind="stable")
+        a, b, votes = order[pairs[by_votes] // len(order)], order[pairs[by_votes] % len(order)], votes[by_votes]
+        enough = votes >= needed(corners[a], corners[b])
+        a, b = a[enough], b[enough]
         if side is not None:
             across = side[a] != side[b]
             a, b = a[across], b[across]
@@ -249,10 +273,11 @@ def _voted(at: np.ndarray, keys: np.ndarray, comp: np.ndarray, side: np.ndarray
 
 
 def joining_links(ids: np.ndarray, data: list[bytes], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join components, of all pairs with VOTES parts; with sides, of those across them at least."""
+    """Links that join components, of all pairs with the votes they need; with sides, of those across them at least."""
     order = np.argsort(ids, kind="stable")
     ids, data, side = ids[order], [data[i] for i in order], None if side is None else side[order]
     at, keys = _parts(data)
+    corners = np.array([len(x) // (12 + BITS // 8) for x in data], np.int64)
     shared = _changed(keys)
     shared = ~(shared & np.append(shared[1:], True))  # in a bucket of several
     at, keys = at[shared], keys[shared]
@@ -271,10 +296,10 @@ def joining_links(ids: np.ndarray, data: list[bytes], side: np.ndarray | None =
 
     leader = at[_starts(_changed(keys))] if len(at) else at
     pairs, votes = np.unique((leader * len(ids) + at)[leader != at], return_counts=True)
-    for p in pairs[votes >= VOTES].tolist():
+    for p in pairs[votes >= needed(corners[pairs // len(ids)], corners[pairs % len(ids)])].tolist():
         meet(*divmod(p, len(ids)))
     comp = np.array([root(i) for i in range(len(ids))], np.int64)
-    for a, b in _voted(at, keys, comp, side):
+    for a, b in _voted(at, keys, comp, side, corners):
         meet(a, b)
     return out
 
