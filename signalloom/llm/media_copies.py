@@ -34,10 +34,10 @@ from .components import connected_components
 
 #: Steps of scale, each by STEP, down to images that just hold a pattern; pixels a corner, at least LEAST corners.
 STEP, PIXELS, LEAST = 2 ** (-1 / 3), 150, 20
-BITS, TABLES = 192, 8
+BITS, TABLES = 192, 6
 RADIUS, TURNS = 8, 72
 #: Equal parts of a candidate: VOTES, and one more for CHANCE pairs of corners, which smooth images share by chance.
-VOTES, CHANCE = 3, 8192
+VOTES, CHANCE = 3, 32_768
 NEAR_BITS, MIN_INLIERS, MIN_PART, REACH = 36, 6, 0.5, 2.5
 #: Images a block, and votes that a task counts together.
 BLOCK, CHUNK = 16_384, 4_000_000
