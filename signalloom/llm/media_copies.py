@@ -3,9 +3,10 @@
 Corners (Harris response, local maxima, as many as the area asks for) are taken on the image and on smaller ones of it, in
 steps of scale; each gets the direction of its intensity centroid, and a row of binary tests in a pattern turned to
 that direction. Images of equal corners and descriptors are one from then on. The descriptor is cut into TABLES
-parts, and every pair of images with enough equal parts (`needed`) is a candidate: images are dealt into blocks of about
+parts; an equal part is a vote for the turn and the step of scale between its two corners. Every pair of images with enough
+votes (`needed`) that agree within a window of turns and steps is a candidate: images are dealt into blocks of about
 BLOCK, and each pair of blocks is one task, which holds their descriptors. It first pairs each image with the smallest
-one of every part's bucket; then all pairs with enough parts that the links so far leave in different components, so
+one of every part's bucket; then all pairs with enough votes that the links so far leave in different components, so
 only these are enumerated. Candidates are verified: corners are matched by Hamming distance, and a similarity (shift,
 turn, scale) must hold for MIN_INLIERS of the matches and MIN_PART of them. Only links that join two components leave
 the task, fewer than its images; they are united into classes.
@@ -34,16 +35,20 @@ from .components import connected_components
 
 #: Steps of scale, each by STEP, down to images that just hold a pattern; pixels a corner, at least LEAST corners.
 STEP, PIXELS, LEAST = 2 ** (-1 / 3), 150, 20
-BITS, TABLES = 192, 6
+BITS, TABLES = 192, 8
 RADIUS, TURNS = 8, 72
-#: Equal parts of a candidate: VOTES, and one more for CHANCE pairs of corners, which smooth images share by chance.
-VOTES, CHANCE = 3, 32_768
+#: Bytes of a corner: x, y, scale and turn as floats, then the descriptor.
+CORNER = 16 + BITS // 8
+#: Equal parts of a candidate that agree: VOTES, and one more for CHANCE pairs of corners, which smooth images share by chance.
+VOTES, CHANCE = 4, 16_384
+#: Turns that agree: a window of WINDOW, one begins at every half of it. Steps of scale agree with one neighbour.
+WINDOW, STEPS = 6, 64
 NEAR_BITS, MIN_INLIERS, MIN_PART, REACH = 36, 6, 0.5, 2.5
-#: Images a block, and votes that a task counts together.
-BLOCK, CHUNK = 16_384, 4_000_000
+#: Images a block, votes that a task counts together, and cells of their first count.
+BLOCK, CHUNK, CELLS = 16_384, 4_000_000, 1 << 23
 SEED = 97
 QUERY_EVERY = 20
-FEATURES = T.StructType([T.StructField("n_corners", T.IntegerType()), T.StructField("parts", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
+FEATURES = T.StructType([T.StructField("n_corners", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
 _rng = np.random.default_rng(SEED)
 _disc = np.array([(x, y) for x in range(-6, 7) for y in range(-6, 7) if x * x + y * y <= 36])
@@ -123,8 +128,8 @@ def _shrinking(n: int, m: int) -> np.ndarray:
 
 
 def describe(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For images of one size: image number, position and scale (x, y, scale), descriptor bytes of each corner."""
-    number, place, bits = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.float32)], [np.zeros((0, BITS // 8), np.uint8)]
+    """For images of one size: image number, place (x, y, scale, turn), descriptor bytes of each corner."""
+    number, place, bits = [np.zeros(0, np.int64)], [np.zeros((0, 4), np.float32)], [np.zeros((0, BITS // 8), np.uint8)]
     h, w, level = *stack.shape[1:], 0
     while True:
         m, n = round(h * STEP**level), round(w * STEP**level)
@@ -139,7 +144,7 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = PATTERN[turn]
         v = s[i[:, None, None], cy[:, None, None] + p[..., 1], cx[:, None, None] + p[..., 0]]
         number.append(i)
-        place.append(np.stack([(cx + 0.5) * w / n, (cy + 0.5) * h / m, np.full(len(i), w / n)], 1).astype(np.float32))
+        place.append(np.stack([(cx + 0.5) * w / n, (cy + 0.5) * h / m, np.full(len(i), w / n), turn], 1).astype(np.float32))
         bits.append(np.packbits(v[..., 0] < v[..., 1], axis=1))
         level += 1
     return np.concatenate(number), np.concatenate(place), np.concatenate(bits)
@@ -147,8 +152,14 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def part_keys(bits: np.ndarray) -> np.ndarray:
     """The parts of descriptors (rows of bytes) as numbers, the table above the part's bits."""
-    parts = bits.reshape(-1, TABLES, BITS // 8 // TABLES).astype(np.int64)
-    return sum(parts[..., i] << (8 * (parts.shape[2] - 1 - i)) for i in range(parts.shape[2])) | (np.arange(TABLES, dtype=np.int64) << 32)
+    parts = bits.reshape(-1, TABLES, BITS // 8 // TABLES).astype(np.int32)
+    return sum(parts[..., i] << (8 * (parts.shape[2] - 1 - i)) for i in range(parts.shape[2])) | (np.arange(TABLES, dtype=np.int32) << (8 * parts.shape[2]))
+
+
+def poses(place: np.ndarray) -> np.ndarray:
+    """Step of scale and turn of each corner as one number."""
+    step = np.rint(np.log(place[:, 2]) / -np.log(STEP)).astype(np.int16)
+    return step * np.int16(TURNS) + place[:, 3].astype(np.int16)
 
 
 def features_of(images: list[bytes | None]) -> dict:
@@ -157,19 +168,17 @@ def features_of(images: list[bytes | None]) -> dict:
     for i, x in enumerate(read):
         if x is not None:
             shapes.setdefault(x.shape, []).append(i)
-    n, parts, data = np.zeros(len(images), np.int32), [[] for _ in images], [b""] * len(images)
+    n, data = np.zeros(len(images), np.int32), [b""] * len(images)
     for shape, at in shapes.items():
         step = max(1, (1 << 20) // (shape[0] * shape[1]))  # about a million pixels together
         for a in range(0, len(at), step):
             some = at[a : a + step]
             number, place, bits = describe(np.stack([read[i] for i in some]))
-            keys = part_keys(bits)
             for k, i in enumerate(some):
                 mine = number == k
                 n[i] = mine.sum()
-                parts[i] = np.unique(keys[mine])
                 data[i] = place[mine].tobytes() + bits[mine].tobytes()
-    return {"n_corners": n, "parts": pa.array(parts, pa.list_(pa.int64())), "data": pa.array(data, pa.binary())}
+    return {"n_corners": n, "data": pa.array(data, pa.binary())}
 
 
 # ---- geometric consensus -----------------------------------------------------------------------------------
@@ -178,8 +187,8 @@ _ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // (12 + BITS // 8)
-    return np.frombuffer(data, np.float32, 3 * n).reshape(n, 3), np.frombuffer(data, np.uint8, offset=12 * n).reshape(n, -1)
+    n = len(data) // CORNER
+    return np.frombuffer(data, np.float32, 4 * n).reshape(n, 4), np.frombuffer(data, np.uint8, offset=16 * n).reshape(n, -1)
 
 
 def inliers(a: bytes, b: bytes) -> tuple[int, int]:
@@ -212,21 +221,20 @@ def is_copy(a: bytes, b: bytes) -> bool:
     return a == b or good >= MIN_INLIERS and good >= MIN_PART * matched
 
 
-def _parts(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the image and part, each once, by part and then image."""
-    bits = [_unpack(x)[1] for x in data]
-    keys = part_keys(np.concatenate(bits))
-    at = np.repeat(np.arange(len(data)), [len(x) * TABLES for x in bits])
-    keys = keys.ravel()
-    order = np.lexsort((at, keys))
-    at, keys = at[order], keys[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (keys[1:] != keys[:-1])
-    return at[new], keys[new]
+def _parts(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the image, part and pose, each once, by part and then image."""
+    read = [_unpack(x) for x in data]
+    keys = part_keys(np.concatenate([bits for _, bits in read])).ravel()
+    pose = np.repeat(np.concatenate([poses(place) for place, _ in read]), TABLES)
+    at = np.repeat(np.arange(len(data), dtype=np.int32), [len(bits) * TABLES for _, bits in read])
+    order = np.lexsort((pose, at, keys))
+    at, keys, pose = at[order], keys[order], pose[order]
+    new = _changed(at) | _changed(keys) | _changed(pose)
+    return at[new], keys[new], pose[new]
 
 
 def needed(corners_a, corners_b):
-    """Equal parts that make two images with so many corners a candidate."""
+    """Equal parts, agreeing on a turn and a step of scale, that make two images with so many corners a candidate."""
     return VOTES + corners_a * corners_b // CHANCE
 
 
@@ -239,31 +247,58 @@ def _changed(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
 
 
-def _voted(at: np.ndarray, keys: np.ndarray, comp: np.ndarray, side: np.ndarray | None, corners: np.ndarray):
+def agreeing(pairs: np.ndarray, keys: np.ndarray, pose_a: np.ndarray, pose_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once and the most of its distinct equal parts that agree on a turn and a step of scale, most first.
+
+    One row is one equal part of a pair. Only pairs with VOTES of them at least are given.
+    """
+    cell = pairs & (CELLS - 1)
+    some = np.bincount(cell, minlength=CELLS)[cell] >= VOTES  # no fewer than the pair's own
+    pairs, keys, pose_a, pose_b = pairs[some], keys[some], pose_a[some].astype(np.int64), pose_b[some].astype(np.int64)
+    half, spans = WINDOW // 2, TURNS * 2 // WINDOW
+    turn = (pose_a % TURNS - pose_b % TURNS) % TURNS // half
+    step = pose_a // TURNS - pose_b // TURNS + STEPS
+    bins = np.concatenate([(turn - t) % spans * (2 * STEPS) + step - z for t in (0, 1) for z in (0, 1)])
+    pairs, keys = np.tile(pairs, 4), np.tile(keys, 4)
+    order = np.lexsort((keys, bins, pairs))
+    pairs, keys, bins = pairs[order], keys[order], bins[order]
+    bin_ = _changed(pairs) | _changed(bins)
+    once = bin_ | _changed(keys)
+    pairs, bin_ = pairs[once], bin_[once]
+    starts = np.flatnonzero(bin_)
+    votes, pairs = np.diff(np.append(starts, len(pairs))), pairs[starts]
+    pair = np.flatnonzero(_changed(pairs))
+    votes, pairs = np.maximum.reduceat(votes, pair) if len(pair) else votes, pairs[pair]
+    order = np.argsort(-votes, kind="stable")
+    order = order[votes[order] >= VOTES]
+    return pairs[order], votes[order]
+
+
+def _voted(at: np.ndarray, keys: np.ndarray, pose: np.ndarray, comp: np.ndarray, side: np.ndarray | None, corners: np.ndarray):
     """All pairs (a, b) of images of different components with the votes they need, most votes first in each chunk."""
     size = np.bincount(comp, minlength=len(comp))[comp]
     order = np.lexsort((comp, -size))  # the largest component enumerates nothing
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     at = rank[at]
     sort = np.lexsort((at, keys))
-    at, keys, comp = at[sort], keys[sort], comp[order]
+    at, keys, pose, comp = at[sort], keys[sort], pose[sort], comp[order]
     bucket = _changed(keys)
     first, own = _starts(bucket), _starts(bucket | _changed(comp[at]))
     n = own - first  # of other components, before its own in the bucket
-    by_image = np.argsort(at, kind="stable")
-    by_image = by_image[n[by_image] > 0]
-    image, first, n = at[by_image], first[by_image], n[by_image]
+    mine = np.argsort(at, kind="stable")
+    mine = mine[n[mine] > 0]
+    image, first, n = at[mine].astype(np.int64), first[mine], n[mine]
     ends = np.cumsum(n)
     cut = np.flatnonzero(_changed(image))
     last = ends[np.append(cut[1:], len(image)) - 1] if len(image) else ends
     group = np.flatnonzero(_changed(last // CHUNK))
     for x, z in zip(cut[group], np.append(cut[group[1:]], len(image))):
         k = n[x:z]
-        b = at[np.repeat(first[x:z] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
-        pairs, votes = np.unique(np.repeat(image[x:z], k) * len(order) + b, return_counts=True)
-        by_votes = np.argsort(-votes, kind="stable")
-        a, b, votes = order[pairs[by_votes] // len(order)], order[pairs[by_votes] % len(order)], votes[by_votes]
+        to = np.repeat(first[x:z] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        by = np.repeat(mine[x:z], k)
+        pairs, votes = agreeing(np.repeat(image[x:z], k) * len(order) + at[to], keys[by], pose[by], pose[to])
+        a, b = order[pairs // len(order)], order[pairs % len(order)]
         enough = votes >= needed(corners[a], corners[b])
         a, b = a[enough], b[enough]
         if side is not None:
@@ -272,15 +307,29 @@ def _voted(at: np.ndarray, keys: np.ndarray, comp: np.ndarray, side: np.ndarray
         yield from zip(a.tolist(), b.tolist())
 
 
+def _led(at: np.ndarray, keys: np.ndarray, pose: np.ndarray, corners: np.ndarray):
+    """Pairs of a bucket's smallest image and another one with the votes they need; each pose of the smallest votes."""
+    bucket = _starts(_changed(keys))
+    leads = at == at[bucket]
+    count = np.bincount(bucket[leads], minlength=len(at))[bucket]  # poses of the leader, at its bucket's start
+    k = np.where(leads, 0, count)
+    by = np.repeat(np.arange(len(at)), k)
+    to = bucket[by] + np.arange(len(by)) - np.repeat(np.cumsum(k) - k, k)
+    n = len(corners)
+    pairs, votes = agreeing(at[to].astype(np.int64) * n + at[by], keys[by], pose[to], pose[by])
+    enough = votes >= needed(corners[pairs // n], corners[pairs % n])
+    yield from (divmod(p, n) for p in pairs[enough].tolist())
+
+
 def joining_links(ids: np.ndarray, data: list[bytes], side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join components, of all pairs with the votes they need; with sides, of those across them at least."""
     order = np.argsort(ids, kind="stable")
     ids, data, side = ids[order], [data[i] for i in order], None if side is None else side[order]
-    at, keys = _parts(data)
-    corners = np.array([len(x) // (12 + BITS // 8) for x in data], np.int64)
+    at, keys, pose = _parts(data)
+    corners = np.array([len(x) // CORNER for x in data], np.int64)
     shared = _changed(keys)
     shared = ~(shared & np.append(shared[1:], True))  # in a bucket of several
-    at, keys = at[shared], keys[shared]
+    at, keys, pose = at[shared], keys[shared], pose[shared]
     parent, out = list(range(len(ids))), []
 
     def root(x: int) -> int:
@@ -294,12 +343,10 @@ def joining_links(ids: np.ndarray, data: list[bytes], side: np.ndarray | None =
             parent[max(x, y)] = min(x, y)
             out.append((int(ids[a]), int(ids[b])))
 
-    leader = at[_starts(_changed(keys))] if len(at) else at
-    pairs, votes = np.unique((leader * len(ids) + at)[leader != at], return_counts=True)
-    for p in pairs[votes >= needed(corners[pairs // len(ids)], corners[pairs % len(ids)])].tolist():
-        meet(*divmod(p, len(ids)))
+    for a, b in _led(at, keys, pose, corners):
+        meet(a, b)
     comp = np.array([root(i) for i in range(len(ids))], np.int64)
-    for a, b in _voted(at, keys, comp, side, corners):
+    for a, b in _voted(at, keys, pose, comp, side, corners):
         meet(a, b)
     return out
 
