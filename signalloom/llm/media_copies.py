@@ -45,7 +45,7 @@ VOTES, CHANCE = 4, 16_384
 WINDOW, STEPS = 6, 64
 NEAR_BITS, MIN_INLIERS, MIN_PART, REACH = 36, 6, 0.5, 2.5
 #: Images a block, votes that a task counts together, and cells of their first count.
-BLOCK, CHUNK, CELLS = 16_384, 4_000_000, 1 << 23
+BLOCK, CHUNK, CELLS = 10_240, 1_000_000, 1 << 21
 SEED = 97
 QUERY_EVERY = 20
 FEATURES = T.StructType([T.StructField("n_corners", T.IntegerType()), T.StructField("data", T.BinaryType())])
@@ -221,16 +221,30 @@ def is_copy(a: bytes, b: bytes) -> bool:
     return a == b or good >= MIN_INLIERS and good >= MIN_PART * matched
 
 
+def _sorted(keys: np.ndarray, at: np.ndarray, pose: np.ndarray, images: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Image number, part and pose, each once, by part, image and pose: sorted as one number of at most 63 bits."""
+    wide = 16 + images.bit_length()
+    x = keys.astype(np.int64) << wide
+    x |= at.astype(np.int64) << 16
+    x |= pose
+    x.sort()
+    x = x[_changed(x)]
+    return (x >> 16 & (1 << wide - 16) - 1).astype(np.int32), (x >> wide).astype(np.int32), (x & 0xFFFF).astype(np.int16)
+
+
 def _parts(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the image, part and pose, each once, by part and then image."""
+    """Image number, part and pose of every part that several images or poses have, by part and then image."""
     read = [_unpack(x) for x in data]
-    keys = part_keys(np.concatenate([bits for _, bits in read])).ravel()
-    pose = np.repeat(np.concatenate([poses(place) for place, _ in read]), TABLES)
-    at = np.repeat(np.arange(len(data), dtype=np.int32), [len(bits) * TABLES for _, bits in read])
-    order = np.lexsort((pose, at, keys))
-    at, keys, pose = at[order], keys[order], pose[order]
-    new = _changed(at) | _changed(keys) | _changed(pose)
-    return at[new], keys[new], pose[new]
+    keys = part_keys(np.concatenate([bits for _, bits in read]))
+    pose = np.concatenate([poses(place) for place, _ in read])
+    at = np.repeat(np.arange(len(data), dtype=np.int32), [len(bits) for _, bits in read])
+    out = []
+    for t in range(TABLES):  # the table is a part's highest bits
+        a, k, p = _sorted(keys[:, t], at, pose, len(data))
+        new = _changed(k)
+        shared = ~(new & np.append(new[1:], True))
+        out.append((a[shared], k[shared], p[shared]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def needed(corners_a, corners_b):
@@ -280,24 +294,29 @@ def _voted(at: np.ndarray, keys: np.ndarray, pose: np.ndarray, comp: np.ndarray,
     order = np.lexsort((comp, -size))  # the largest component enumerates nothing
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
-    at = rank[at]
-    sort = np.lexsort((at, keys))
-    at, keys, pose, comp = at[sort], keys[sort], pose[sort], comp[order]
-    bucket = _changed(keys)
-    first, own = _starts(bucket), _starts(bucket | _changed(comp[at]))
-    n = own - first  # of other components, before its own in the bucket
-    mine = np.argsort(at, kind="stable")
-    mine = mine[n[mine] > 0]
-    image, first, n = at[mine].astype(np.int64), first[mine], n[mine]
-    ends = np.cumsum(n)
+    comp = comp[order]
+    width = 8 * (BITS // 8 // TABLES)
+    tables, done, out = np.searchsorted(keys, np.arange(TABLES + 1) << width), 0, []
+    for x, z in zip(tables[:-1], tables[1:]):
+        a, k, p = _sorted(keys[x:z], rank[at[x:z]], pose[x:z], len(order))
+        bucket = _changed(k)
+        first = _starts(bucket)
+        n = _starts(bucket | _changed(comp[a])) - first  # of other components, before its own in the bucket
+        out.append((a, k, p, (first + done).astype(np.int32), n.astype(np.int32)))
+        done += len(a)
+    at, keys, pose, first, n = (np.concatenate(x) for x in zip(*out))
+    mine = np.flatnonzero(n)
+    mine = mine[np.argsort(at[mine], kind="stable")].astype(np.int32)
+    image, first, n = at[mine], first[mine], n[mine]
+    ends = np.cumsum(n, dtype=np.int64)
     cut = np.flatnonzero(_changed(image))
     last = ends[np.append(cut[1:], len(image)) - 1] if len(image) else ends
     group = np.flatnonzero(_changed(last // CHUNK))
     for x, z in zip(cut[group], np.append(cut[group[1:]], len(image))):
-        k = n[x:z]
+        k = n[x:z].astype(np.int64)
         to = np.repeat(first[x:z] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
         by = np.repeat(mine[x:z], k)
-        pairs, votes = agreeing(np.repeat(image[x:z], k) * len(order) + at[to], keys[by], pose[by], pose[to])
+        pairs, votes = agreeing(np.repeat(image[x:z].astype(np.int64), k) * len(order) + at[to], keys[by], pose[by], pose[to])
         a, b = order[pairs // len(order)], order[pairs % len(order)]
         enough = votes >= needed(corners[a], corners[b])
         a, b = a[enough], b[enough]
@@ -309,16 +328,22 @@ def _voted(at: np.ndarray, keys: np.ndarray, pose: np.ndarray, comp: np.ndarray,
 
 def _led(at: np.ndarray, keys: np.ndarray, pose: np.ndarray, corners: np.ndarray):
     """Pairs of a bucket's smallest image and another one with the votes they need; each pose of the smallest votes."""
-    bucket = _starts(_changed(keys))
+    new = np.flatnonzero(_changed(keys)).astype(np.int32)
+    bucket = np.repeat(new, np.diff(np.append(new, len(keys))))
     leads = at == at[bucket]
-    count = np.bincount(bucket[leads], minlength=len(at))[bucket]  # poses of the leader, at its bucket's start
-    k = np.where(leads, 0, count)
-    by = np.repeat(np.arange(len(at)), k)
-    to = bucket[by] + np.arange(len(by)) - np.repeat(np.cumsum(k) - k, k)
-    n = len(corners)
-    pairs, votes = agreeing(at[to].astype(np.int64) * n + at[by], keys[by], pose[to], pose[by])
-    enough = votes >= needed(corners[pairs // n], corners[pairs % n])
-    yield from (divmod(p, n) for p in pairs[enough].tolist())
+    poses_led = np.add.reduceat(leads, new, dtype=np.int32) if len(new) else new
+    count = np.repeat(poses_led, np.diff(np.append(new, len(keys))))  # poses of the leader, at its bucket's start
+    count[leads] = 0
+    total, n = np.bincount(at, count, len(corners)).cumsum() if len(at) else np.zeros(len(corners)), len(corners)
+    cuts = np.flatnonzero(_changed(total // CHUNK))
+    for low, high in zip(cuts, np.append(cuts[1:], n)):
+        by = np.flatnonzero((at >= low) & (at < high) & (count > 0))
+        k = count[by].astype(np.int64)
+        to = np.repeat(bucket[by] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        by = np.repeat(by, k)
+        pairs, votes = agreeing(at[to].astype(np.int64) * n + at[by], keys[by], pose[to], pose[by])
+        enough = votes >= needed(corners[pairs // n], corners[pairs % n])
+        yield from (divmod(p, n) for p in pairs[enough].tolist())
 
 
 def joining_links(ids: np.ndarray, data: list[bytes], side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -327,9 +352,6 @@ def joining_links(ids: np.ndarray, data: list[bytes], side: np.ndarray | None =
     ids, data, side = ids[order], [data[i] for i in order], None if side is None else side[order]
     at, keys, pose = _parts(data)
     corners = np.array([len(x) // CORNER for x in data], np.int64)
-    shared = _changed(keys)
-    shared = ~(shared & np.append(shared[1:], True))  # in a bucket of several
-    at, keys, pose = at[shared], keys[shared], pose[shared]
     parent, out = list(range(len(ids))), []
 
     def root(x: int) -> int:
