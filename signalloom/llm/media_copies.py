@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, table, truncate_lineage
+from .common import map_batches, release_memory, table, truncate_lineage
 from .components import connected_components
 
 #: Steps of scale, each by STEP, down to images that just hold a pattern; pixels a corner, at least LEAST corners.
@@ -232,7 +232,14 @@ def _sorted(keys: np.ndarray, at: np.ndarray, pose: np.ndarray, images: int) ->
     return (x >> 16 & (1 << wide - 16) - 1).astype(np.int32), (x >> wide).astype(np.int32), (x & 0xFFFF).astype(np.int16)
 
 
-def _parts(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(rows: list[tuple]) -> list[np.ndarray]:
+    """The columns of rows of arrays, end to end; rows and each column's pieces are given up on the way."""
+    columns = [list(c) for c in zip(*rows)]
+    rows.clear()
+    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
+
+
+def _parts(data: list[bytes]) -> list[np.ndarray]:
     """Image number, part and pose of every part that several images or poses have, by part and then image."""
     read = [_unpack(x) for x in data]
     keys = part_keys(np.concatenate([bits for _, bits in read]))
@@ -244,7 +251,7 @@ def _parts(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         new = _changed(k)
         shared = ~(new & np.append(new[1:], True))
         out.append((a[shared], k[shared], p[shared]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    return _joined(out)
 
 
 def needed(corners_a, corners_b):
@@ -288,8 +295,10 @@ def agreeing(pairs: np.ndarray, keys: np.ndarray, pose_a: np.ndarray, pose_b: np
     return pairs[order], votes[order]
 
 
-def _voted(at: np.ndarray, keys: np.ndarray, pose: np.ndarray, comp: np.ndarray, side: np.ndarray | None, corners: np.ndarray):
-    """All pairs (a, b) of images of different components with the votes they need, most votes first in each chunk."""
+def _voted(parts: list[np.ndarray], comp: np.ndarray, side: np.ndarray | None, corners: np.ndarray):
+    """All pairs (a, b) of images of different components with the votes they need, most votes first in each chunk. parts is emptied."""
+    at, keys, pose = parts
+    parts.clear()
     size = np.bincount(comp, minlength=len(comp))[comp]
     order = np.lexsort((comp, -size))  # the largest component enumerates nothing
     rank = np.empty(len(order), np.int32)
@@ -304,13 +313,13 @@ def _voted(at: np.ndarray, keys: np.ndarray, pose: np.ndarray, comp: np.ndarray,
         n = _starts(bucket | _changed(comp[a])) - first  # of other components, before its own in the bucket
         out.append((a, k, p, (first + done).astype(np.int32), n.astype(np.int32)))
         done += len(a)
-    at, keys, pose, first, n = (np.concatenate(x) for x in zip(*out))
+    del a, k, p, bucket
+    at, keys, pose, first, n = _joined(out)
     mine = np.flatnonzero(n)
     mine = mine[np.argsort(at[mine], kind="stable")].astype(np.int32)
     image, first, n = at[mine], first[mine], n[mine]
-    ends = np.cumsum(n, dtype=np.int64)
     cut = np.flatnonzero(_changed(image))
-    last = ends[np.append(cut[1:], len(image)) - 1] if len(image) else ends
+    last = np.add.reduceat(n, cut, dtype=np.int64).cumsum() if len(cut) else cut
     group = np.flatnonzero(_changed(last // CHUNK))
     for x, z in zip(cut[group], np.append(cut[group[1:]], len(image))):
         k = n[x:z].astype(np.int64)
@@ -350,7 +359,7 @@ def joining_links(ids: np.ndarray, data: list[bytes], side: np.ndarray | None =
     """Links that join components, of all pairs with the votes they need; with sides, of those across them at least."""
     order = np.argsort(ids, kind="stable")
     ids, data, side = ids[order], [data[i] for i in order], None if side is None else side[order]
-    at, keys, pose = _parts(data)
+    parts = _parts(data)
     corners = np.array([len(x) // CORNER for x in data], np.int64)
     parent, out = list(range(len(ids))), []
 
@@ -365,10 +374,10 @@ def joining_links(ids: np.ndarray, data: list[bytes], side: np.ndarray | None =
             parent[max(x, y)] = min(x, y)
             out.append((int(ids[a]), int(ids[b])))
 
-    for a, b in _led(at, keys, pose, corners):
+    for a, b in _led(*parts, corners):
         meet(a, b)
     comp = np.array([root(i) for i in range(len(ids))], np.int64)
-    for a, b in _voted(at, keys, pose, comp, side, corners):
+    for a, b in _voted(parts, comp, side, corners):
         meet(a, b)
     return out
 
@@ -396,7 +405,9 @@ def group_copies(media: DataFrame, id_col: str = "media_id", image: str = "image
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         side = g["block"].to_numpy() if g["i"].iat[0] != g["j"].iat[0] else None
-        return pd.DataFrame(joining_links(g["id"].to_numpy(), g["data"].to_list(), side), columns=["a", "b"], dtype=np.int64)
+        found = joining_links(g["id"].to_numpy(), g["data"].to_list(), side)
+        release_memory()
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     links = dealt.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j").applyInPandas(compare, "a long, b long")
     labels = connected_components(links.unionByName(several))
