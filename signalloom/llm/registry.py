@@ -12,6 +12,7 @@ from .pii import op6_pii
 from .quality_crf import op1_quality
 from .token_count import op10_token_count
 from .url_filter import op9_url_filter
+from .warc import op11_warc
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
     "op10_token_count": op10_token_count,
+    "op11_warc": op11_warc,
 }
 
 #: Components as the least id of each closure; small graphs only, as the checks have. The other operators rest on
@@ -50,4 +52,10 @@ pairs AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
 nodes AS (SELECT DISTINCT doc_id AS id FROM documents),
 {_CLOSURE}
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN comp ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM m""",
 }
