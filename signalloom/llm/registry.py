@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .embedding_dup import op3_embedding_dup
 from .language_id import op7_language_id
+from .lloyd import op12_lloyd
 from .media_copies import op2_media_copies
 from .near_dup import op4_near_dup
 from .packing import op5_packing
@@ -26,12 +27,34 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_token_count": op10_token_count,
     "op11_warc": op11_warc,
+    "op12_lloyd": op12_lloyd,
 }
 
 #: Components as the least id of each closure; small graphs only, as the checks have. The other operators rest on
 #: fitted models, merge tables or cascades of rewriting that SQL can't express.
 _CLOSURE = "c(id, m) AS (SELECT id, id FROM nodes UNION SELECT c.id, p.b FROM c JOIN pairs p ON p.a = c.m), comp AS (SELECT id, min(m) AS component_id FROM c GROUP BY id)"
 
+
+
+def _lloyd_sql(rounds: int = 3, k: int = 16, dim: int = 64) -> str:
+    """Rounds of assignment and exact means, one table each; `c` rows are (cluster, components)."""
+    with_ = [
+        f"v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)::HUGEINT) AS e FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS cluster, e FROM v QUALIFY cluster < {k})",
+    ]
+    for i in range(rounds + 1):
+        with_.append(f"d{i} AS (SELECT r, cluster, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i} c)")
+        with_.append(f"a{i} AS (SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM d{i} GROUP BY r)")
+        if i < rounds:
+            with_.append(f"u{i} AS (SELECT cluster, unnest(e) AS x, unnest(range(1, {dim + 1})) AS j FROM v JOIN a{i} USING (r))")
+            with_.append(f"s{i} AS (SELECT cluster, j, ((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*))::HUGEINT AS x FROM u{i} GROUP BY cluster, j)")
+            with_.append(f"m{i} AS (SELECT cluster, list(x ORDER BY j) AS e FROM s{i} GROUP BY cluster)")
+            with_.append(f"c{i + 1} AS (SELECT c.cluster, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m USING (cluster))")
+    tables = ", ".join(f"{w.split(' AS ', 1)[0]} AS MATERIALIZED {w.split(' AS ', 1)[1]}" for w in with_)
+    return f"""WITH {tables} SELECT vec_id, a.cluster::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
 ORACLES: dict[str, str] = {
     "op3_embedding_dup": f"""
 WITH RECURSIVE v AS (
@@ -58,4 +81,5 @@ d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top FROM d)
 SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM m""",
+    "op12_lloyd": _lloyd_sql(),
 }
