@@ -87,17 +87,16 @@ SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN n >=
     "op13_collocations": """
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
 w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
-g AS (SELECT lang, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: w[i:i + n - 1])) AS g FROM w, range(1, 5) t(n)),
-f AS (SELECT lang, n AS len, g, count(*) AS f FROM g GROUP BY ALL),
+g AS (SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda n: list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))))) AS g FROM w),
+f AS MATERIALIZED (SELECT lang, g, len(g) - len(replace(g, ' ', '')) + 1 AS len, count(*) AS f FROM g GROUP BY lang, g),
 total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE f >= 30 AND len > 1),
-cuts AS (SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score FROM c, range(1, 4) t(k), f x, f y
-  WHERE k < c.len AND x.lang = c.lang AND y.lang = c.lang AND x.g = c.g[1:k] AND y.g = c.g[k + 1:]),
+often AS MATERIALIZED (SELECT lang, g, len, f, string_split(g, ' ') AS w FROM f WHERE f >= 30),
+parts AS (SELECT lang, g, f AS a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, len)) AS k FROM often)),
+cuts AS (SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM parts c JOIN often x ON x.lang = c.lang AND x.g = c.x JOIN often y ON y.lang = c.lang AND y.g = c.y),
 low AS (SELECT lang, g, arg_min({'a': a, 'l': l, 'r': r, 'score': score}, (score, k)) AS s FROM cuts GROUP BY lang, g),
-held AS (SELECT lang, unnest(list_transform(range(1, c.len - m + 2), lambda i: g[i:i + m - 1])) AS g, f FROM c, range(2, 4) t(m) WHERE m < c.len),
+held AS (SELECT lang, f, unnest(flatten(list_transform(range(2, len), lambda m: list_transform(range(1, len - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS g FROM often WHERE len > 2),
 longest AS (SELECT lang, g, max(f) AS f FROM held GROUP BY lang, g),
-kept AS (SELECT low.lang, array_to_string(low.g, ' ') AS phrase, s.a AS a, s.l AS l, s.r AS r, s.score::BIGINT AS score FROM low LEFT JOIN longest h ON h.lang = low.lang AND h.g = low.g
-  WHERE h.f IS NULL OR 100 * h.f < 80 * s.a),
+kept AS (SELECT low.lang, low.g AS phrase, s.a AS a, s.l AS l, s.r AS r, s.score::BIGINT AS score FROM low LEFT JOIN longest h ON h.lang = low.lang AND h.g = low.g WHERE h.f IS NULL OR 100 * h.f < 80 * s.a),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }
