@@ -108,12 +108,13 @@ class Shard:
 def shards_of(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     src = docs.select(F.col(f"`{lang}`").cast("string").alias("l"), F.col(f"`{text}`").cast("string").alias("t"))
     bound_batches(docs.sparkSession)
+    most = SHARD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard()
         for b in batches:
             shard.add(b.column(0), b.column(1))
-            if shard.length >= SHARD:
+            if shard.length >= most:
                 yield shard.row()
                 shard = Shard()
         if shard.length:

@@ -180,6 +180,7 @@ def blocks_of(vectors: DataFrame, id_col: str, vector: str, dim: int, scale: int
     sound &= ~F.exists(values, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == limit))
     src = vectors.select(F.col(f"`{id_col}`").cast("long").alias("i"), values.alias("v")).filter(sound)
     bound_batches(vectors.sparkSession)
+    most = BLOCK
 
     def made(ids: list, x: np.ndarray) -> pa.RecordBatch:
         x = np.floor(scale * x)
@@ -193,9 +194,9 @@ def blocks_of(vectors: DataFrame, id_col: str, vector: str, dim: int, scale: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, n = [], [], 0
         for b in batches:
-            for a in range(0, b.num_rows, BLOCK):
-                part = b.slice(a, BLOCK)
-                if n + part.num_rows > BLOCK:
+            for a in range(0, b.num_rows, most):
+                part = b.slice(a, most)
+                if n + part.num_rows > most:
                     yield made(ids, np.concatenate(parts))
                     ids, parts, n = [], [], 0
                 ids.append(part.column(0))

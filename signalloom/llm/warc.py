@@ -38,6 +38,7 @@ from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,8 +156,8 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 # --- files
 
 
-def gathered(pieces: Iterator[bytes], opening: Callable[[int], bytes], end: bytes) -> Iterator[pa.RecordBatch]:
-    """Rows of one file each: opening(number of the file), then whole pieces up to FILE_BYTES, with `end` between them."""
+def gathered(pieces: Iterator[bytes], opening: Callable[[int], bytes], end: bytes, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one file each: opening(number of the file), then pieces until `most` bytes are reached, with `end` between them."""
     parts: list[bytes] = []
     size = made = 0
     for p in pieces:
@@ -164,7 +165,7 @@ def gathered(pieces: Iterator[bytes], opening: Callable[[int], bytes], end: byte
             parts, made = [opening(made)], made + 1
         parts.append(p)
         size += len(p)
-        if size >= FILE_BYTES:
+        if size >= most:
             yield pa.RecordBatch.from_arrays([pa.array([end.join(parts)], pa.binary())], names=["content"])
             parts, size = [], 0
     if parts:
@@ -209,9 +210,10 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
     """Pages as ARC files, of version 1 and 2 by turns; an id is the RANK field of its HTTP header."""
     src = pages.select(*[F.col(f"`{c}`").cast(t).alias(n) for c, t, n in ((id_col, "long", "i"), (url_col, "string", "u"), (body_col, "string", "b"))])
     bound_batches(pages.sparkSession)
+    most = FILE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        version = 1
+        version = 1 + TaskContext.get().partitionId() % 2
 
         def opening(made: int) -> bytes:
             return filedesc(version, made)
@@ -228,10 +230,10 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
                     record = header_line(version, url, "text/html", STAMP, len(block)) + block
                     size += len(record)
                     yield record
-                    if size >= FILE_BYTES:
+                    if size >= most:
                         version, size = 3 - version, 0
 
-        yield from gathered(records(), opening, b"\n")
+        yield from gathered(records(), opening, b"\n", most)
 
     write_files(src.mapInArrow(run, CONTENT), path, "\n")
 
@@ -296,6 +298,7 @@ def convert(spark: SparkSession, arc: str, warc: str, rank: str = RANK, least: i
     """ARC files under a path to WARC files in another: one or more for each, of FILE_BYTES and a record at most."""
     chosen = revisits(truncate_lineage(arc_digests(read_files(spark, arc), rank)), least)
     # hashed, not sorted: rows of `files` are whole archives, those of `chosen` a few bytes for each revisit
+    most = FILE_BYTES
     files = read_files(spark, arc).join(chosen.hint("shuffle_hash"), "archive", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +308,7 @@ def convert(spark: SparkSession, arc: str, warc: str, rank: str = RANK, least: i
                     name, data, at, refers = (c[i].as_py() for c in b.columns)
                     yield from converted(name, data, dict(zip(at or (), refers or ())))
 
-        yield from gathered(records(), lambda _: warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"software: signalloom\r\n"), b"\r\n\r\n")
+        yield from gathered(records(), lambda _: warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"software: signalloom\r\n"), b"\r\n\r\n", most)
 
     write_files(files.select("archive", "content", "at", "refers").mapInArrow(run, CONTENT), warc, "\r\n\r\n")
 
