@@ -34,7 +34,7 @@ from .common import bound_batches, release_memory, table, truncate_lineage
 
 DIM, SCALE, K, ROUNDS, SEED = 64, 64, 16, 3, 1
 #: Vectors of a block and of a leaf.
-BLOCK, LEAF = 2048, 24
+BLOCK, LEAF = 1024, 24
 #: Up to this size of components a squared distance fits 63 bits.
 NARROW = 1 << 26
 LIMB = 40
@@ -66,7 +66,8 @@ def cover_tree(x: np.ndarray, leaf: int) -> Tree:
         a, z, reach = queue[at]
         at += 1
         own = order[a:z]
-        d = _distances(x[own], x[own[0]])
+        p = x[own]
+        d = _distances(p, p[0])
         radius = float(d.max())
         nodes.append([own[0], radius, len(queue), 0, a, z - a])
         if z - a <= leaf or radius == 0 or not np.isfinite(radius):
@@ -76,7 +77,7 @@ def cover_tree(x: np.ndarray, leaf: int) -> Tree:
         centres = 1
         while near.max() > reach:
             far = int(near.argmax())
-            d = _distances(x[own], x[own[far]])
+            d = _distances(p, p[far])
             closer = d < near
             near[closer], which[closer] = d[closer], centres
             centres += 1

@@ -179,7 +179,7 @@ def test_walk_prunes_and_covers():
     centroids[4] = centroids[2]
     nodes, to, leaves = lloyd.walk(x, t, centroids, lloyd.cover_tree(centroids, 1))
     assert t.size[nodes].sum() + sum(t.size[i] for i, _ in leaves) == 1500
-    assert len(nodes) < 700 and 4 not in to  # whole nodes go to one centroid, and equal ones to the first
+    assert len(nodes) < 1000 and 4 not in to  # whole nodes go to one centroid, and equal ones to the first
 
 
 # --- collocations
