@@ -297,12 +297,40 @@ def save_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("vec_id", count(lambda x: F.abs(S.repaired(x)) > 1).alias("clipped_samples"), count(lambda x: ~S.is_finite(x)).alias("non_finite_samples"))
 
 
+LONG = 4096  # rows of a segment
+
+
+def _one_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one stream in the order of their numbers."""
+    return _table(spark, sf_dir, "events").select(F.lit(0).alias("stream_id"), F.col("event_id").alias("pos"), (F.col("value") / SCALE).alias("x"))
+
+
+def long_dc_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.scan_samples(_one_stream(spark, sf_dir), folds.dc_blocker, size=LONG).withColumn("y", F.round("y", 6))
+
+
+def long_highpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.scan_samples(_one_stream(spark, sf_dir), lambda: folds.high_pass(80, 16_000), size=LONG).withColumn("y", F.round("y", 6))
+
+
+def long_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    blocks = _table(spark, sf_dir, "events").select(F.lit(0).alias("stream_id"), e.alias("ord"), (e * 7 % 11).alias("pushed"), (e * e % 9).alias("wanted"))
+    return align.capped_levels_scanned(blocks, 12, LONG).select("ord", "queued", "silence", "dropped")
+
+
+def long_speaking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = W.score_windows(_one_stream(spark, sf_dir), SIZE, RATE, LEVEL).select("stream_id", F.col("win").alias("seq"), "end", F.col("probability").alias("score"))
+    return W.speaking_state_scanned(w, LEVEL, HOLDOFF, LONG // SIZE).select("seq", "end", F.round("score", 6).alias("score"), "is_speaking")
+
+
 QUERIES = {f.__name__: f for f in (
     vad_segments, vad_windows, speaking_state, speech_events, chunk_scores, rebatch_fixed, chunk_positions, overlap_frames, context_carry,
     overrun_drop, ring_evict, record_take, playback_underrun, reference_queue, reference_align, reference_capped, rms_subblock, downmix,
     select_channel, channel_map, planar_roundtrip, deinterleave, pcm16_encode, pcm16_round, pcm16_decode, frame_peaks, frame_mean_squares,
     sanitize_report, clip_report, linear_resample, si_sdr, seg_snr, fw_seg_snr, dc_block, highpass, limiter, agc, linear_resample_stream,
     polyphase_resample, echo_cancel, echo_silent, model_windows, device_match, format_resolve, save_report,
+    long_dc_block, long_highpass, long_queue, long_speaking,
 )}
 
 _PUSH = "p AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord, event_id * 7 % 11 AS pushed, event_id * 5 % 9 AS wanted FROM events)"
@@ -374,4 +402,9 @@ SELECT n.stream_id, round(coalesce(avg(snr), 0), 4) + 0 AS fw_seg_snr FROM n LEF
     "agc": f"WITH RECURSIVE {EVENTS}, k AS (SELECT pow(10, -18.0 / 20) AS target, pow(10, -50.0 / 20) AS nf, pow(10, 1.5) AS mx, pow(10, -1.5) AS mn, 1 - exp(-1 / (0.4 * 16000)) AS sl, 1 - exp(-1 / (0.01 * 16000)) AS atk, 1 - exp(-1 / (0.02 * 16000)) AS wm, pow(10, 6.0 / 16000 / 20) AS up), r AS (SELECT stream_id, CAST(-1 AS BIGINT) AS pos, 0.0::DOUBLE AS y, 0.0::DOUBLE AS power, 1.0::DOUBLE AS gain, 1600 AS warm, 0 AS hang FROM s GROUP BY 1 UNION ALL SELECT stream_id, pos, y, power, CASE WHEN NOT present THEN gain WHEN want <= gain THEN gain + (want - gain) * atk WHEN warm > 0 THEN gain + (want - gain) * wm ELSE least(gain * up, want) END, CASE WHEN present THEN greatest(0, warm - 1) ELSE warm END, CASE WHEN loud THEN 3200 ELSE greatest(0, hang - 1) END FROM (SELECT *, loud OR hang > 0 AS present, greatest(mn, least(mx, target / sqrt(power))) AS want FROM (SELECT *, sqrt(power) > nf AS loud FROM (SELECT s.stream_id, s.pos, s.x * r.gain AS y, r.power + greatest(sl, 1.0::DOUBLE / (s.pos + 1)) * (s.x * s.x - r.power) AS power, r.gain, r.warm, r.hang, k.* FROM r JOIN s ON s.stream_id = r.stream_id AND s.pos = r.pos + 1, k)))) SELECT stream_id, pos, round(y, 6) + 0 AS y FROM r WHERE pos >= 0",
     "device_match": "SELECT CAST(s_suppkey AS INTEGER) AS \"index\", s_name AS name, CASE WHEN s_suppkey % 10 <> 0 THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS id, s_suppkey = 7 AS is_default FROM supplier WHERE contains(lower(s_name), 'supplier#0000000')",
     "format_resolve": "SELECT page_id, '/rec/' || page_id || ['.wav', '.AIFF', '.flac', '.mp3', ''][page_id % 5 + 1] AS path, CASE page_id % 5 WHEN 0 THEN 'wav' WHEN 1 THEN 'aiff' WHEN 2 THEN 'flac' END AS format FROM pages",
+    # closed forms of the recursions: sums of past samples under growing weights
+    "long_dc_block": "WITH e AS (SELECT event_id AS pos, value / 397.0 AS x FROM events), d AS (SELECT pos, x - coalesce(lag(x) OVER (ORDER BY pos), 0) AS d FROM e) SELECT 0 AS stream_id, pos, round(sum(d * pow(0.995::DOUBLE, -pos)) OVER (ORDER BY pos) * pow(0.995::DOUBLE, pos), 6) + 0 AS y FROM d",
+    "long_highpass": "WITH RECURSIVE e AS MATERIALIZED (SELECT event_id AS pos, value / 397.0 AS x FROM events), w AS (SELECT 2 * pi() * 80 / 16000 AS w), k AS MATERIALIZED (SELECT (1 + cos(w)) / 2 / (1 + sin(w) / sqrt(2)) AS b0, -2 * cos(w) / (1 + sin(w) / sqrt(2)) AS a1, (1 - sin(w) / sqrt(2)) / (1 + sin(w) / sqrt(2)) AS a2 FROM w), r AS (SELECT pos, b0 * x AS y, -2 * b0 * x - a1 * b0 * x AS z1, b0 * x - a2 * b0 * x AS z2 FROM e, k WHERE pos = 0 UNION ALL SELECT s.pos, b0 * s.x + z1, -2 * b0 * s.x - a1 * (b0 * s.x + z1) + z2, b0 * s.x - a2 * (b0 * s.x + z1) FROM r JOIN e s ON s.pos = r.pos + 1, k) SELECT 0 AS stream_id, pos, round(y, 6) + 0 AS y FROM r",
+    "long_queue": "WITH RECURSIVE p AS MATERIALIZED (SELECT event_id AS ord, event_id * 7 % 11 AS pushed, event_id * event_id % 9 AS wanted FROM events), r AS (SELECT CAST(-1 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS queued, CAST(0 AS BIGINT) AS silence, CAST(0 AS BIGINT) AS dropped UNION ALL SELECT p.ord, greatest(0, r.queued + least(p.pushed, 12 - r.queued) - p.wanted), greatest(0, p.wanted - r.queued - least(p.pushed, 12 - r.queued)), p.pushed - least(p.pushed, 12 - r.queued) FROM r JOIN p ON p.ord = r.ord + 1) SELECT * FROM r WHERE ord >= 0",
+    "long_speaking": f'WITH w AS (SELECT event_id // {SIZE} AS win, sqrt(avg(value / 397.0 * value / 397.0)) AS p FROM events GROUP BY 1 HAVING count(*) = {SIZE}), v AS (SELECT win, (win + 1) * {SIZE} / {RATE} AS t1, p, p >= {LEVEL} AS speech FROM w), z AS (SELECT *, max(CASE WHEN speech THEN t1 END) OVER (ORDER BY win) AS last_loud FROM v) SELECT win AS seq, t1 AS "end", round(p, 6) + 0 AS score, coalesce(speech OR t1 - last_loud < {HOLDOFF}, false) AS is_speaking FROM z',
 }

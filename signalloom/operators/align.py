@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import SEGMENT, running, scanned
+
 
 def reference_levels(blocks: DataFrame) -> DataFrame:
     """Rows (stream_id, ord, pushed, wanted) with queued after the block and silence supplied in it."""
@@ -24,15 +26,70 @@ def reference_levels(blocks: DataFrame) -> DataFrame:
     return df.withColumn("silence", F.greatest(F.lit(0), F.col("wanted") - before - F.col("pushed"))).drop("__s")
 
 
-def clamp_scan(shift: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Running values of x -> max(low, min(high, x + shift)) from 0 on; such steps compose to steps of the same kind,
-    so all prefixes follow by doubling."""
+def clamp_maps(shift: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All prefixes of steps x -> max(low, min(high, x + shift)); such steps compose to steps of the same kind, so by doubling."""
     shift, low, high, d = shift.copy(), low.copy(), np.maximum(low, high), 1
     while d < len(shift):
         s, lo, hi = shift[d:], low[d:], high[d:]
         shift[d:], low[d:], high[d:] = shift[:-d] + s, np.clip(low[:-d] + s, lo, hi), np.clip(high[:-d] + s, lo, hi)
         d *= 2
-    return np.clip(shift, low, high)
+    return shift, low, high
+
+
+def clamp_scan(shift: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Running values of the steps from 0 on."""
+    return np.clip(*clamp_maps(shift, low, high))
+
+
+class QueueCarry:
+    """A bounded queue as a carry: rows of samples pushed and wanted shift its level between limits."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+
+    def steps(self, pushed: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p, w = pushed.astype(np.int64), wanted.astype(np.int64)
+        return p - w, np.zeros(len(p), np.int64), np.maximum(0, self.capacity - w)
+
+    def start(self) -> np.ndarray:
+        return np.zeros(1)
+
+    def summary(self, pushed: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        return np.array([c[-1] for c in clamp_maps(*self.steps(pushed, wanted))], float)
+
+    def composed(self, first: np.ndarray, then: np.ndarray) -> np.ndarray:
+        (s1, low1, high1), (s2, low2, high2) = first, then
+        return np.array([s1 + s2, np.clip(low1 + s2, low2, high2), np.clip(high1 + s2, low2, high2)])
+
+    def after(self, state: np.ndarray, summary: np.ndarray) -> np.ndarray:
+        return np.clip(state + summary[0], summary[1], summary[2])
+
+    def outputs(self, state: np.ndarray, pushed: np.ndarray, wanted: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        p, w, level = pushed.astype(np.int64), wanted.astype(np.int64), int(state[0])
+        shift, low, high = self.steps(pushed, wanted)
+        low[0] = high[0] = np.clip(level + shift[0], 0, high[0])
+        after = clamp_scan(shift, low, high)
+        before = np.concatenate([[level], after[:-1]])
+        kept = np.minimum(p, self.capacity - before)
+        return [after, np.maximum(0, w - before - kept), p - kept], np.array([after[-1]], float)
+
+
+def capped_levels_scanned(blocks: DataFrame, capacity: int, size: int = SEGMENT) -> DataFrame:
+    """`capped_levels` (queued, silence, dropped) by a scan over segments of `size` in ord: one stream is many tasks' work."""
+    new = [(c, T.LongType()) for c in ("queued", "silence", "dropped")]
+    return scanned(blocks, "ord", ["pushed", "wanted"], lambda: QueueCarry(capacity), new, size)
+
+
+def reference_levels_scanned(blocks: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """`reference_levels` (queued, silence) from running sums by segments."""
+    df = running(blocks, "ord", size, "sum", F.col("pushed") - F.col("wanted"), "__s")
+    df = running(df, "ord", size, "min", F.col("__s"), "__low")
+    df = df.withColumn("queued", F.col("__s") - F.least(F.lit(0), F.col("__low")))
+    # the level before a block follows from the sums behind it, without its row
+    sum_before = F.col("__s") - F.col("pushed") + F.col("wanted")
+    low_before = running(df.withColumn("__b", sum_before), "ord", size, "min", F.col("__b"), "__lb")
+    before = F.col("__b") - F.least(F.lit(0), F.col("__lb"))
+    return low_before.withColumn("silence", F.greatest(F.lit(0), F.col("wanted") - before - F.col("pushed"))).drop("__s", "__low", "__b", "__lb")
 
 
 def capped_levels(blocks: DataFrame, capacity: int) -> DataFrame:

@@ -12,28 +12,38 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .ordered import SEGMENT, in_order, scanned, spans
 
 BLOCK = 64
 
 
+@lru_cache(maxsize=256)
+def block_tables(a: tuple, b: tuple, c: tuple, d: float) -> tuple[np.ndarray, ...]:
+    """What a block gives from its state, from its samples, and the state behind it from both; one set for all streams."""
+    a, b, c = np.array(a), np.array(b), np.array(c)
+    powers = [np.eye(len(b))]
+    for _ in range(BLOCK):
+        powers.append(a @ powers[-1])
+    from_state = np.array([c @ p for p in powers[:BLOCK]])  # block x state
+    impulse = np.array([d, *(c @ p @ b for p in powers[: BLOCK - 1])])
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None]
+    response = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    return from_state, response, powers[BLOCK], np.array([powers[BLOCK - 1 - k] @ b for k in range(BLOCK)]).T
+
+
 class LinearFilter:
     """s' = a s + b x, y = c s + d x for one channel."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: float):
-        self.c, self.state = c, np.zeros(len(b))
-        powers = [np.eye(len(b))]
-        for _ in range(BLOCK):
-            powers.append(a @ powers[-1])
-        self.from_state = np.array([c @ p for p in powers[:BLOCK]])  # block x state
-        impulse = np.array([d, *(c @ p @ b for p in powers[: BLOCK - 1])])
-        lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None]
-        self.response = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
-        self.step, self.drive = powers[BLOCK], np.array([powers[BLOCK - 1 - k] @ b for k in range(BLOCK)]).T
-        self.a, self.b, self.d = a, b, d
+        self.a, self.b, self.c, self.d, self.state = a, b, c, d, np.zeros(len(b))
+        self.from_state, self.response, self.step, self.drive = block_tables(tuple(map(tuple, a.tolist())), tuple(b.tolist()), tuple(c.tolist()), d)
 
     def process(self, x: np.ndarray) -> np.ndarray:
         n = len(x) // BLOCK
@@ -281,32 +291,105 @@ class Chain:
         return tail if tail is not None else np.zeros(0)
 
 
+def series(first: LinearFilter, then: LinearFilter) -> LinearFilter:
+    """Both, one behind the other, as one filter."""
+    a = np.block([[first.a, np.zeros((len(first.b), len(then.b)))], [np.outer(then.b, first.c), then.a]])
+    return LinearFilter(a, np.concatenate([first.b, then.b * first.d]), np.concatenate([then.d * first.c, then.c]), first.d * then.d)
+
+
+class FilterCarry:
+    """A linear filter as a carry: n rows take the state s to a^n s + what they drive."""
+
+    def __init__(self, make: Callable[[], LinearFilter]):
+        self.filter = make()
+
+    def start(self) -> np.ndarray:
+        return np.zeros(len(self.filter.b))
+
+    def summary(self, x: np.ndarray) -> np.ndarray:
+        self.filter.state = self.start()
+        self.filter.process(x)
+        return np.concatenate([[len(x)], self.filter.state])
+
+    def composed(self, first: np.ndarray, then: np.ndarray) -> np.ndarray:
+        return np.concatenate([[first[0] + then[0]], self.after(first[1:], then)])
+
+    def after(self, state: np.ndarray, summary: np.ndarray) -> np.ndarray:
+        return np.linalg.matrix_power(self.filter.a, int(summary[0])) @ state + summary[1:]
+
+    def outputs(self, state: np.ndarray, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        self.filter.state = state
+        return [self.filter.process(x)], self.filter.state
+
+
+def scan_samples(samples: DataFrame, make: Callable[[], LinearFilter], out: str = "y", size: int = SEGMENT) -> DataFrame:
+    """samples (stream_id, pos, x) through a linear filter, by a scan over segments: one stream is many tasks' work."""
+    x = samples.select("stream_id", "pos", samples["x"].cast("double").alias("x"))
+    return scanned(x, "pos", ["x"], lambda: FilterCarry(make), [(out, T.DoubleType())], size).drop("x")
+
+
 def fold_samples(samples: DataFrame, make: Callable[[], object], out: str = "y") -> DataFrame:
-    """samples (stream_id, pos, x) with the kernel's output, one fold per stream in position order.
+    """samples (stream_id, pos, x) with the kernel's output, one fold per stream in position order, batch by batch.
 
     For kernels that keep the length.
     """
-    schema = f"{samples.select('stream_id', 'pos').schema.simpleString()[7:-1].replace(':', ' ')}, {out} double"
+    x = samples.select("stream_id", "pos", samples["x"].cast("double").alias("x"))
+    schema = T.StructType([*x.schema.fields[:2], T.StructField(out, T.DoubleType())])
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos")
-        return pd.DataFrame({"stream_id": g["stream_id"], "pos": g["pos"], out: make().process(g["x"].to_numpy(float))})
+    def run(batches):
+        kernel = None
+        for b, parts in spans(batches):
+            v, y = b.column(2).to_numpy(zero_copy_only=False), []
+            for a, z, fresh in parts:
+                kernel = make() if fresh else kernel
+                y.append(kernel.process(v[a:z]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(y), pa.float64())], names=schema.names)
 
-    return samples.select("stream_id", "pos", "x").groupBy("stream_id").applyInPandas(run, schema)
+    return in_order(x, ["stream_id"], ["pos"], run, schema)
 
 
 def fold_chunks(chunks: DataFrame, make: Callable[[int, int], object], rate: int | None = None) -> DataFrame:
-    """Chunk rows through make(sample_rate, channels), flushed at the end of each stream; ids, order and layout stay."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("seq").reset_index(drop=True)
-        channels, source = int(g["channels"].iat[0]), int(g["sample_rate"].iat[0])
-        kernel, rows = make(source, channels), []
-        for data in [*g["data"], None]:
-            x = kernel.flush() if data is None else kernel.process(np.asarray(data, float)[: len(data) // channels * channels].reshape(-1, channels))
-            if len(x):
-                rows.append(np.asarray(x, np.float32).ravel())
-        n = len(rows)
-        return pd.DataFrame({"stream_id": [g["stream_id"].iat[0]] * n, "seq": range(n), "sample_rate": rate or source, "channels": channels, "data": rows})
-
-    return chunks.groupBy("stream_id").applyInPandas(run, "stream_id string, seq long, sample_rate int, channels int, data array<float>")
+    """Chunk rows through make(sample_rate, channels), flushed at the end of each stream; ids, order and layout stay.
+
+    Batch by batch: memory is a batch's and the kernel's, whatever the stream's length. Null data is an empty chunk, a
+    part of a frame at a chunk's end is left out.
+    """
+    src = chunks.select("stream_id", "sample_rate", "channels", chunks["data"].cast("array<float>").alias("data"), "seq")
+    types = (T.LongType(), T.IntegerType(), T.IntegerType(), T.ArrayType(T.FloatType()))
+    schema = T.StructType([src.schema["stream_id"], *(T.StructField(n, t) for n, t in zip(("seq", "sample_rate", "channels", "data"), types))])
+
+    def run(batches):
+        kernel = who = None
+        seq = channels = source = 0
+        kind = None
+
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            ids, seqs, rates, widths, data = zip(*rows)
+            sizes = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(sizes, np.concatenate(data).astype(np.float32))
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(seqs, pa.int64()), pa.array(rates, pa.int32()), pa.array(widths, pa.int32()), lists], names=schema.names)
+
+        def row(x: np.ndarray) -> list[tuple]:
+            nonlocal seq
+            if not len(x):
+                return []
+            seq += 1
+            return [(who, seq - 1, rate or source, channels, np.asarray(x, np.float32).ravel())]
+
+        for b, parts in spans(batches):
+            rows, kind = [], b.schema.field(0).type
+            for a, z, fresh in parts:
+                if fresh:
+                    rows += row(kernel.flush()) if kernel is not None else []
+                    who, source, channels, seq = b.column(0)[a].as_py(), b.column(1)[a].as_py(), b.column(2)[a].as_py(), 0
+                    kernel = make(source, channels)
+                for i in range(a, z):
+                    data = b.column(3)[i].values
+                    x = data.to_numpy(zero_copy_only=False).astype(float) if data is not None else np.zeros(0)
+                    rows += row(kernel.process(x[: len(x) // channels * channels].reshape(-1, channels)))
+            if rows:
+                yield given(rows)
+        if kernel is not None and (rows := row(kernel.flush())):
+            yield given(rows)
+
+    return in_order(src, ["stream_id"], ["seq"], run, schema)

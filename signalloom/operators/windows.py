@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import SEGMENT, running
+
 
 def positions(df: DataFrame, stream: str, *order: str, name: str = "pos") -> DataFrame:
     """Position from 0 within each stream."""
@@ -41,6 +43,20 @@ def speaking_state(chunks: DataFrame, threshold: float, holdoff: float) -> DataF
     return chunks.withColumn("is_speaking", F.coalesce(above | (F.col("end") - last < holdoff), F.lit(False)))
 
 
+def speaking_state_scanned(chunks: DataFrame, threshold: float, holdoff: float, size: int = SEGMENT) -> DataFrame:
+    """`speaking_state` by segments of `size` in seq: one stream is many tasks' work."""
+    above = F.col("score") >= threshold
+    df = running(chunks, "seq", size, "max", F.when(above, F.col("end")), "__last")
+    return df.withColumn("is_speaking", F.coalesce(above | (F.col("end") - F.col("__last") < holdoff), F.lit(False))).drop("__last")
+
+
+def chunk_positions_scanned(chunks: DataFrame, rate: float, size: int = SEGMENT) -> DataFrame:
+    """`chunk_positions` by segments of `size` in seq."""
+    df = running(running(chunks, "seq", size, "sum", F.col("frames"), "__total"), "seq", size, "sum", F.lit(1), "__n")
+    out = df.withColumn("sequence", F.col("__n") - 1).withColumn("start", (F.col("__total") - F.col("frames")) / rate)
+    return out.withColumn("end", F.col("__total") / rate).drop("__total", "__n")
+
+
 def transitions(states: DataFrame) -> DataFrame:
     """`speech` and `silence` events where is_speaking changes; a stream begins in silence."""
     by = Window.partitionBy("stream_id").orderBy("seq")
