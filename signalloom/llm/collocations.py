@@ -5,11 +5,12 @@ A shard's suffix array is sorted by numpy prefix doubling: ranks of one word, of
 goes. Neighbouring suffixes share a number of words (LCP); each run that shares n or more is an LCP interval, one phrase of
 n words with the interval's size as its count. Counts of all shards are merged by language and phrase.
 
-A phrase of LEAST occurrences has only words and word pairs of so many, so phrases are counted in three passes: words;
-hashes of pairs of such words; phrases of such pairs. What a pass lets through reaches the tasks as a bitmap of hashes, of
+A phrase of LEAST occurrences has only parts of so many, so three passes come before: hashes of words, of pairs of such
+words, of triples of such pairs are counted, and the phrases of the suffix arrays that are known by these, or of four words
+with both triples known, go into the merge. What a pass lets through reaches the tasks as a bitmap of hashes, of
 up to MAP_BITS bits (32 MB) whatever the corpus. A bitmap only lets too much through, never too little, and the
-final counts are by the phrases themselves, so results are exact at any size; beyond MAP_BITS / 8 frequent pairs the
-third pass merely carries more rows.
+final counts are by the phrases themselves, so results are exact at any size; beyond MAP_BITS / 8 frequent runs of one length
+the passes merely carry more rows.
 
 Scores compare a phrase with the two parts of each cut; the lowest counts. A part has at least the phrase's count, so all
 parts are in the merged table. Parts that many phrases share are looked up by broadcast (`skew.lookup`). A
@@ -133,9 +134,12 @@ def word_hashes(langs: pa.Array, words: pa.Array, of: np.ndarray) -> np.ndarray:
     return mix64(parts[0] + mix64(parts[1].copy())[of])
 
 
-def pair_hashes(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Hash of the words at each place and the next; meaningless where one is missing."""
-    return mix64(mix64(h[ids[:-1]] + np.uint64(1)) ^ h[ids[1:]])
+def gram_hashes(h: np.ndarray, ids: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Hashes of the 1, 2, .. `longest` words from each place on; meaningless where one is missing."""
+    out = [h[ids]]
+    for n in range(1, longest):
+        out.append(mix64(mix64(out[-1][:-1] + np.uint64(n)) ^ out[0][n:]))
+    return out
 
 
 def unpacked(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
@@ -147,21 +151,19 @@ def unpacked(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray
 
 # --- what is frequent
 
-COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("words", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("f", T.LongType())])
+COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("words", T.IntegerType()), T.StructField("f", T.LongType())])
 
 
-def word_counts(shards: DataFrame) -> DataFrame:
-    """(lang, phrase, words = 1, h, f) of each shard's words."""
+def language_sizes(shards: DataFrame) -> DataFrame:
+    """(lang, n): all words of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for langs, words, of, ids in unpacked(b):
-                f = np.bincount(ids[ids >= 0], minlength=len(words))
-                h = word_hashes(langs, words, of).view(np.int64)
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(of)), words, pa.array(np.ones(len(f), np.int32)), pa.array(h), pa.array(f)], names=COUNTS.names)
-        release_memory()
+            for langs, _, of, ids in unpacked(b):
+                n = np.bincount(of[ids[ids >= 0]], minlength=len(langs))
+                yield pa.RecordBatch.from_arrays([langs, pa.array(n)], names=["lang", "n"])
 
-    return shards.mapInArrow(run, COUNTS)
+    return shards.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def bitmap(spark: SparkSession, hashes: DataFrame, count: int):
@@ -186,23 +188,27 @@ def known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
 
 
-PAIRS = T.StructType([T.StructField("h", T.LongType()), T.StructField("f", T.LongType())])
+HASHES = T.StructType([T.StructField("h", T.LongType()), T.StructField("f", T.LongType())])
 
 
-def pair_counts(shards: DataFrame, words) -> DataFrame:
-    """(h, f): hashes of each shard's word pairs of known words, with their counts."""
+def hash_counts(shards: DataFrame, n: int, shorter=None) -> DataFrame:
+    """(h, f): hashes of each shard's runs of n words, whose runs of n - 1 words are known, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for langs, vocabulary, of, ids in unpacked(b):
-                h = word_hashes(langs, vocabulary, of)
-                sound = (ids >= 0) & known(words.value, h)[ids]
-                pairs = pair_hashes(h, ids)[sound[:-1] & sound[1:]]
-                found, f = np.unique(pairs, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(f)], names=PAIRS.names)
+            for langs, words, of, ids in unpacked(b):
+                grams = gram_hashes(word_hashes(langs, words, of), ids, n)
+                sound = np.ones(len(grams[-1]), bool)
+                for k in range(n):
+                    sound &= ids[k : k + len(sound)] >= 0
+                if n > 1:
+                    at = np.flatnonzero(sound)
+                    sound[at] = known(shorter.value, grams[-2][at]) & known(shorter.value, grams[-2][at + 1])
+                found, f = np.unique(grams[-1][sound], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(f)], names=HASHES.names)
         release_memory()
 
-    return shards.mapInArrow(run, PAIRS)
+    return shards.mapInArrow(run, HASHES)
 
 
 # --- suffix arrays
@@ -246,35 +252,45 @@ def intervals(ids: np.ndarray, sa: np.ndarray, lcp: np.ndarray, n: int) -> tuple
     return at[whole], size[whole]
 
 
-def phrase_counts(shards: DataFrame, pairs) -> DataFrame:
-    """(lang, phrase, words, h = 0, f) of each shard's phrases of 2 to LONGEST words whose pairs are known."""
+def phrase_counts(shards: DataFrame, maps: list) -> DataFrame:
+    """(lang, phrase, words, f) of each shard's phrases that may be frequent: known themselves, by maps[n - 1], up to
+    len(maps) words, and of one word more where both shorter ones are."""
+    longest = len(maps) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for langs, words, of, ids in unpacked(b):
+                grams = gram_hashes(word_hashes(langs, words, of), ids, longest - 1)
                 linked = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                linked[linked] = known(pairs.value, pair_hashes(word_hashes(langs, words, of), ids)[linked])
+                linked[linked] = known(maps[1].value, grams[1][linked])
                 left, right = np.append(linked, False), np.concatenate([[False], linked])
                 at = np.flatnonzero(left | right)  # the words of any known pair, with a break where two aren't one
                 places = np.arange(len(at)) + np.cumsum(~right[at])
-                kept = np.full(int(places[-1]) + 2 if len(at) else 1, -1, np.int32)
-                kept[places] = ids[at]
-                sa, lcp = suffix_array(kept)
-                for n in range(2, LONGEST + 1):
+                kept, origin = np.full(int(places[-1]) + 2 if len(at) else 1, -1, np.int32), np.zeros(int(places[-1]) + 2 if len(at) else 1, np.int64)
+                kept[places], origin[places] = ids[at], at
+                sa, lcp = suffix_array(kept, longest)
+                f = np.bincount(ids[ids >= 0], minlength=len(words))
+                one = np.flatnonzero(known(maps[0].value, word_hashes(langs, words, of)))
+                yield from phrase_rows(langs, of[one], words.take(pa.array(one)), 1, f[one])
+                for n in range(2, longest + 1):
                     first, f = intervals(kept, sa, lcp, n)
+                    k = min(n, longest - 1)
+                    own = grams[k - 1][origin[first]]
+                    sound = known(maps[k - 1].value, own)
+                    if n > k:
+                        sound &= known(maps[k - 1].value, grams[k - 1][origin[first] + 1])
+                    first, f = first[sound], f[sound]
                     parts = [words.take(pa.array(kept[first + k])) for k in range(n)]
-                    phrase = pa.compute.binary_join_element_wise(*parts, " ")
-                    lang = langs.take(pa.array(of[kept[first]]))
-                    for a in range(0, len(f), 1 << 16):
-                        z = min(len(f), a + (1 << 16))
-                        yield pa.RecordBatch.from_arrays([lang[a:z], phrase[a:z], pa.array(np.full(z - a, n, np.int32)), pa.array(np.zeros(z - a, np.int64)), pa.array(f[a:z])], names=COUNTS.names)
+                    yield from phrase_rows(langs, of[kept[first]], pa.compute.binary_join_element_wise(*parts, " "), n, f)
         release_memory()
 
     return shards.mapInArrow(run, COUNTS)
 
 
-def merged(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.first("h").alias("h"), F.sum("f").alias("f"))
+def phrase_rows(langs: pa.Array, of: np.ndarray, phrases: pa.Array, n: int, f: np.ndarray, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(f), most):
+        k = len(f[a : a + most])
+        yield pa.RecordBatch.from_arrays([langs.take(pa.array(of[a : a + k])), phrases[a : a + k], pa.array(np.full(k, n, np.int32)), pa.array(f[a : a + k], pa.int64())], names=COUNTS.names)
 
 
 # --- scores
@@ -313,19 +329,19 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     """(lang, rank, phrase, a, l, r, n, score): the first `top` phrases of each language."""
     spark = docs.sparkSession
     shards = truncate_lineage(shards_of(docs, text, lang))
-    words = truncate_lineage(merged(word_counts(shards)))
-    total = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = words.filter(F.col("f") >= least)
-    word_map = bitmap(spark, words.select("h"), words.count())
-    pairs = truncate_lineage(pair_counts(shards, word_map).groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("h"))
-    pair_map = bitmap(spark, pairs, pairs.count())
-    phrases = merged(phrase_counts(shards, pair_map)).filter(F.col("f") >= least)
-    found = truncate_lineage(phrases.unionByName(words).drop("h"))
+    total = truncate_lineage(language_sizes(shards))
+    maps: list = []
+    for n in range(1, LONGEST):
+        often = hash_counts(shards, n, maps[-1] if maps else None).groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("h")
+        often = truncate_lineage(often)
+        maps.append(bitmap(spark, often, often.count()))
+    phrases = phrase_counts(shards, maps).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    found = truncate_lineage(phrases.filter(F.col("f") >= least))
     held = contained(found)
     kept = scored(found).join(held, ["lang", "phrase"], "left").filter(F.col("longest").isNull() | (wide("longest") * 100 < wide("a") * SHARE))
     kept = truncate_lineage(kept.drop("words", "longest"))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
-    slices = max(1, min(kept.count() // SLICE, 512))
+    slices = max(16, min(kept.count() // SLICE, 512))
     best = kept.withColumn("__s", F.pmod(F.xxhash64("phrase"), F.lit(slices)))
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "__s").orderBy(*order))).filter(F.col("rank") <= top)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)

@@ -217,21 +217,21 @@ def brute_phrases(docs, least=30, top=2000):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_collocations_equal_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(collocations, "SHARD", 700)
     monkeypatch.setattr(collocations, "SLICE", 20)
     r = random.Random(seed)
     vocabulary = [*"abcdefgh", "É", "Ünd", "w" * 300, "don't", "A", "B", "x y"]
     docs = [(None, None), ("en", ""), ("en", None), ("und", "a b a b"), ("xx", "A" * 5)]
-    for _ in range(150):
+    for _ in range(400):
         words = [r.choice(vocabulary[: r.randrange(2, len(vocabulary))]) for _ in range(r.randrange(60))]
         words += ["one", "Two", "three", "four"] * r.randrange(3) + ["z"] * r.randrange(9)
         docs.append((r.choice(["en", "de", None, "und"]), "".join(w + r.choice([" ", " ", "  ", "\t", " ", ", ", ".", "\n", "\x0b"]) for w in words)))
     df = spark.createDataFrame(docs, "lang string, text string").selectExpr("*", "1 AS rank", "2 AS f", "3 AS h", "'q' AS phrase").repartition(4)
     for top in (2000, 3):
         want = brute_phrases(docs, top=top)
-        assert len(want) > 8 and plain(collocations.collocations(df, top=top).collect()) == plain(want)
+        assert len(want) > 4 and plain(collocations.collocations(df, top=top).collect()) == plain(want)
 
 
 def test_collocations_of_nothing(spark):
