@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ from .streaming import live
 class File:
     """Recordings of one rate and channel count, as chunk rows; single-pass like the stream it stands for."""
 
-    def __init__(self, chunks: DataFrame, sample_rate: int, channels: int, config: Conditioning | None = None):
-        self.sample_rate, self.channels = sample_rate, channels
+    def __init__(self, chunks: DataFrame, sample_rate: int, channels: int, config: Conditioning | None = None, reference: DataFrame | None = None):
+        """reference: chunk rows of what was played, by the same stream ids; read where the configuration cancels echo."""
+        self.sample_rate, self.channels, self.reference = sample_rate, channels, reference
         self.config = config or Conditioning(sample_rate=sample_rate, channels=channels)
         self.config.layout(channels)  # an impossible or ambiguous layout is refused here
         self._rows = run.Recording(chunks)
@@ -39,14 +41,27 @@ class File:
     def buffer(cls, spark: SparkSession, samples, sample_rate: int, channels: int, config: Conditioning | None = None, stream_id: str = "buffer") -> File:
         return cls(audio.buffer_source(spark, stream_id, samples, sample_rate, channels), sample_rate, channels, config)
 
-    def chunks(self) -> DataFrame:
-        """The conditioned recording in blocks of FILE_BLOCK frames; energy detection adds score and is_speaking."""
-        out = reblocked(run.condition(self._rows.take(), self.config, self.sample_rate, self.channels), self.config.delivered_channels(self.channels), FILE_BLOCK)
-        d = self.config.detector
-        if d is None or d.kind != "energy":
-            return out
-        scored = out.withColumn("score", S.rms(F.col("data"))).withColumn("frames", F.size("data") / F.col("channels"))
-        timed = windows.chunk_positions(scored, self.config.sample_rate)
+    def chunks(self, factory: Callable[[], models.Session] | None = None, key: str = "detector") -> DataFrame:
+        """The conditioned recording in blocks of FILE_BLOCK frames; a detector adds score and is_speaking, echo cancelling `echo`.
+
+        Scores are of the signal before any transforming step, collapsed to the mean of its channels or the detector's one.
+        A model detector needs a session factory; without one, blocks of such a configuration have no score.
+        """
+        config, d = self.config, self.config.detector
+        channels, rows = config.delivered_channels(self.channels), self._rows.take()
+        if d is not None and d.kind != "energy" and factory is None:
+            config, d = replace(config, detector=None), None
+        if run.needs_fold(config, self.sample_rate, self.channels):
+            scored = run.delivered(rows, config, self.sample_rate, self.channels, FILE_BLOCK, self.reference, factory, key)
+            scored = scored if config.echo is not None else scored.drop("echo")
+            if d is None:
+                return scored.drop("score")
+        else:
+            out = reblocked(run.condition(rows, config, self.sample_rate, self.channels), channels, FILE_BLOCK)
+            if d is None:
+                return out
+            scored = out.withColumn("score", S.rms(run.collapsed(F.col("data"), channels, d.source)))
+        timed = windows.chunk_positions(scored.withColumn("frames", F.size("data") / F.col("channels")), config.sample_rate)
         return windows.speaking_state(timed, d.level, d.holdoff).drop("frames", "sequence")
 
     def analyze(self, factory: Callable[[], models.Session] | None = None, key: str = "detector") -> tuple[DataFrame, DataFrame]:
@@ -63,7 +78,12 @@ class File:
     def save(self, folder: str, kind: str = "wav") -> DataFrame:
         """Each stream as one file of the folder; the report rows."""
         sinks.format_of("x." + kind)
-        return sinks.save_streams(run.condition(self._rows.take(), self.config, self.sample_rate, self.channels), folder, kind)
+        config = replace(self.config, detector=None)
+        if config.echo is not None:
+            out = run.delivered(self._rows.take(), config, self.sample_rate, self.channels, FILE_BLOCK, self.reference)
+        else:
+            out = run.condition(self._rows.take(), config, self.sample_rate, self.channels)
+        return sinks.save_streams(out, folder, kind)
 
 
 def reblocked(chunks: DataFrame, channels: int, frames: int) -> DataFrame:
@@ -82,39 +102,42 @@ def reblocked(chunks: DataFrame, channels: int, frames: int) -> DataFrame:
 
 
 class Microphone:
-    """Live chunk files of a folder, conditioned by one keyed fold per stream."""
+    """Live chunk files of a folder, conditioned by one keyed fold per stream.
 
-    def __init__(self, spark: SparkSession, folder: str, source_rate: int, source_channels: int, config: Conditioning | None = None):
+    Rows of a configuration that cancels echo have a `side`: `far` ones are what was played, at the configured reference rate.
+    """
+
+    #: Files that one trigger reads.
+    FILES = 64
+
+    def __init__(self, spark: SparkSession, folder: str, source_rate: int, source_channels: int, config: Conditioning | None = None, factory: Callable[[], models.Session] | None = None, key: str = "detector"):
         self.config = config or Conditioning(sample_rate=source_rate, channels=source_channels)
         self.config.layout(source_channels)
-        if self.config.echo is not None:
-            raise ConfigError("a folder of one side has no reference; use streaming.live.echo_cancelled for two")
-        if self.config.detector is not None and self.config.detector.kind != "energy":
-            raise DetectorError("live blocks are scored by the energy rule; score recordings by a model with File.analyze")
-        self.source = (spark, folder, source_rate, source_channels)
+        if self.config.detector is not None and self.config.detector.kind != "energy" and factory is None:
+            raise DetectorError("no session factory for the model")
+        self.source, self.factory, self.key = (spark, folder, source_rate, source_channels), factory, key
 
-    def read(self) -> DataFrame:
+    def read(self, queue: int | None = None, **timing) -> DataFrame:
         """A streaming DataFrame of conditioned blocks of frames_per_buffer frames; a stream's last row flushes and closes it.
 
-        dtype int16 adds their 16-bit `codes`; a detector gives score and is_speaking (of all delivered channels, or of its one).
+        dtype int16 adds their 16-bit `codes`; a detector gives score and is_speaking, by the signal before any transforming step.
+        queue: chunks of a stream taken in one trigger, the newest beyond are dropped and counted. timing: see streaming.live.
         """
         spark, folder, rate, channels = self.source
-        config, d = self.config, self.config.detector
-        steps = [s for s in run.plan(config, rate, channels) if s.name not in ("sanitize", "downmix", "map")]
-        rows = run.laid_out(live.capture(spark, folder), config, channels)
-        make = lambda _, c: run.kernel_of(steps, config.sample_rate, c) if steps else folds.Chain([_Through()])
-        out = live.folded(rows, make, config.frames_per_buffer, config.sample_rate, d.level if d else None, d.holdoff if d else 0.0, d.source if d else None)
+        config, d, key = self.config, self.config.detector, self.key
+        rows = live.capture(spark, folder, self.FILES, config.echo is not None)
+        if config.echo is None:
+            near = run.laid_out(rows, config, channels)
+        else:  # the reference keeps its own layout
+            far = F.col("side") == "far"
+            rows = rows.withColumn("near", run.layout_of(F.col("data"), config, channels))
+            width = config.delivered_channels(channels)
+            near = rows.withColumn("data", F.when(far, F.col("data")).otherwise(F.col("near"))).withColumn("channels", F.when(far, F.col("channels")).otherwise(F.lit(width))).drop("near")
+        make = lambda *_: run.blocks_of(config, rate, channels, config.frames_per_buffer, key)
+        out = live.folded(near, make, rate=config.sample_rate, level=d.level if d else None, holdoff=d.holdoff if d else 0.0, factory=self.factory, queue=queue, **timing)
         return out.withColumn("codes", F.transform("data", S.pcm16)) if config.dtype == "int16" else out
 
 
-class _Through:
-    def process(self, x):
-        return x
-
-    def flush(self):
-        return folds.np.zeros(0)
-
-
 def record(chunks: DataFrame, seconds: float, folder: str, kind: str = "wav") -> DataFrame:
     """The first seconds of each stream as a file: whole chunks, at least one frame."""
     sized = chunks.withColumn("frames", F.floor(F.size("data") / F.col("channels")).cast("long"))

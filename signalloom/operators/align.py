@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .folds import PolyphaseResampler
 from .ordered import SEGMENT, running, scanned
 
 
@@ -134,10 +135,14 @@ def aligned(near: DataFrame, far: DataFrame) -> DataFrame:
 class EchoCanceller:
     """Adaptive filter in the frequency domain, partitioned in blocks (overlap-save, normalised steps).
 
-    With a silent reference the output is the input, bit for bit.
+    With a silent reference the output is the input, bit for bit. suppress: what is left of the echo is lowered further, by
+    LEAST at most, where the echo found is strong beside the output.
     """
 
-    def __init__(self, tail: int, block: int = 256, step: float = 0.5):
+    LEAST = 0.5
+
+    def __init__(self, tail: int, block: int = 256, step: float = 0.5, suppress: bool = False):
+        self.suppress, self.gain = suppress, 1.0
         self.n, self.parts, self.step = block, max(1, -(-tail // block)), step
         self.weights = np.zeros((self.parts, block + 1), complex)
         self.far_spectra = np.zeros((self.parts, block + 1), complex)
@@ -147,7 +152,7 @@ class EchoCanceller:
     def process(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
         """Blocks that are complete so far; the rest waits."""
         near, far = np.concatenate([self.near_left, near]), np.concatenate([self.far_left, far])
-        k, out = len(near) // self.n, []
+        k, out = min(len(near), len(far)) // self.n, []
         for i in range(k):
             a = slice(i * self.n, (i + 1) * self.n)
             out.append(self._block(near[a], far[a]))
@@ -155,8 +160,10 @@ class EchoCanceller:
         return np.concatenate(out) if out else np.zeros(0)
 
     def flush(self) -> np.ndarray:
+        """What waits, with silence for what the reference lacks."""
         n = len(self.near_left)
-        out = self.process(np.zeros(-n % self.n), np.zeros(-n % self.n)) if n else np.zeros(0)
+        short = n + -n % self.n - len(self.far_left)
+        out = self.process(np.zeros(-n % self.n), np.zeros(max(0, short))) if n else np.zeros(0)
         return out[:n]
 
     def _block(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -173,7 +180,12 @@ class EchoCanceller:
         t = np.fft.irfft(g, axis=1)
         t[:, self.n :] = 0  # only causal taps of each part
         self.weights = self.weights + np.fft.rfft(t, axis=1)
-        return error
+        if not self.suppress:
+            return error
+        left = float((error * error).sum())
+        goal = max(self.LEAST, left / (left + 0.01 * float((echo * echo).sum()) + 1e-12))
+        ramp, self.gain = np.linspace(self.gain, goal, self.n), goal
+        return error * ramp
 
 
 def echo_cancelled(pairs: DataFrame, tail: int, block: int = 256) -> DataFrame:
@@ -200,13 +212,26 @@ def echo_metrics(cancelled: DataFrame, *by: str) -> DataFrame:
 class LiveCanceller:
     """Near and far samples as they come: the far ones wait in a bounded queue, the near ones set the pace.
 
-    One engine per near channel hears the same reference. Counters: far samples dropped at a full queue, silence
-    supplied at an empty one; delay is where the first channel's filter is strongest, in samples.
+    One engine per near channel, made at the first near block, hears the same reference, which is averaged over its channels
+    and brought to the near rate. A near block takes as much reference as the far end lags behind it; only when none is
+    queued, silence makes up the rest. Several channels are fed in whole blocks of the engine. Counters: far samples
+    dropped (the newest) at a full queue, silence supplied at an empty one.
     """
 
-    def __init__(self, tail: int, channels: int = 1, capacity: int = 32_000, block: int = 256):
-        self.engines = [EchoCanceller(tail, block) for _ in range(channels)]
-        self.queue, self.capacity, self.dropped, self.silence = np.zeros(0), capacity, 0, 0
+    def __init__(self, tail: int, channels: int | None = None, capacity: int = 32_000, block: int = 256, rate: int = 16_000, reference_rate: int | None = None, suppress: bool = False):
+        self.tail, self.block, self.capacity, self.suppress = tail, block, capacity, suppress
+        self.rate, self.reference_rate = rate, reference_rate or rate
+        self.resampler = PolyphaseResampler(self.reference_rate, rate) if self.reference_rate != rate else None
+        self.engines = self.pending = None
+        self.queue, self.dropped, self.silence = np.zeros(0), 0, 0
+        self.far_fed = self.near_seen = 0
+        if channels is not None:
+            self._prepare(channels)
+
+    def _prepare(self, channels: int) -> None:
+        self.engines = [EchoCanceller(self.tail, self.block, suppress=self.suppress) for _ in range(channels)]
+        self.pending = np.zeros((0, channels))
+        self.power = np.zeros((2, channels))
 
     def push_reference(self, far: np.ndarray) -> None:
         """far: n, or n x channels, which are averaged."""
@@ -215,18 +240,61 @@ class LiveCanceller:
         self.dropped += max(0, len(far) - room)
         self.queue = np.concatenate([self.queue, far[:room]])
 
+    def _reference(self, n: int) -> np.ndarray:
+        """Reference for n more near samples."""
+        self.near_seen += n
+        budget = self.near_seen - self.far_fed
+        if budget <= 0:
+            return np.zeros(0)
+        take = -(-budget * self.reference_rate // self.rate)
+        far, self.queue = self.queue[:take], self.queue[take:]
+        if not len(far):  # silence only where nothing is queued: in front of queued reference it would be a gap
+            self.silence += budget
+            self.far_fed += budget
+            return np.zeros(budget)
+        far = self.resampler.process(far) if self.resampler else far
+        self.far_fed += len(far)
+        return far
+
+    def _cancelled(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        out = np.stack([e.process(near[:, c], far) for c, e in enumerate(self.engines)], 1)
+        return self._measured(near, out)
+
+    def _measured(self, near: np.ndarray, out: np.ndarray) -> np.ndarray:
+        self.power += np.stack([(near * near).sum(0), (out * out).sum(0)])
+        return out
+
     def process(self, near: np.ndarray) -> np.ndarray:
         """near: n x channels."""
-        n = len(near)
-        far, self.queue = self.queue[:n], self.queue[n:]
-        self.silence += n - len(far)
-        far = np.concatenate([far, np.zeros(n - len(far))])
-        return np.stack([e.process(near[:, c], far) for c, e in enumerate(self.engines)], 1)
+        if self.engines is None:
+            self._prepare(near.shape[1])
+        if len(self.engines) > 1:
+            near = np.concatenate([self.pending, near])
+            whole = len(near) // self.block * self.block
+            near, self.pending = near[:whole], near[whole:]
+        return self._cancelled(near, self._reference(len(near))) if len(near) else near[:0]
 
     def flush(self) -> np.ndarray:
-        return np.stack([e.flush() for e in self.engines], 1)
+        if self.engines is None:
+            return np.zeros((0, 1))
+        rest, self.pending = self.pending, self.pending[:0]
+        tail = self._cancelled(rest, self._reference(len(rest)))
+        left, self.queue = self.queue, self.queue[:0]
+        if self.resampler:
+            left = np.concatenate([self.resampler.process(left), self.resampler.flush()])
+        more = self._cancelled(rest[:0], left)
+        end = np.stack([e.flush() for e in self.engines], 1)
+        return np.concatenate([tail, more, self._measured(end[:0], end)])
+
+    @property
+    def delays(self) -> list[int]:
+        """Where each channel's filter is strongest, in samples."""
+        return [int(np.abs(np.fft.irfft(e.weights, axis=1)[:, : e.n].ravel()).argmax()) for e in self.engines or []]
 
     @property
     def delay(self) -> int:
-        taps = np.fft.irfft(self.engines[0].weights, axis=1)[:, : self.engines[0].n].ravel()
-        return int(np.abs(taps).argmax())
+        return self.delays[0] if self.engines else 0
+
+    def counters(self) -> dict:
+        power = self.power if self.engines else np.ones((2, 0))
+        return {"dropped": self.dropped, "silence": self.silence, "delays": self.delays, "erle_db": (10 * np.log10((power[0] + 1e-12) / (power[1] + 1e-12))).tolist()}

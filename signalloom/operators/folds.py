@@ -45,6 +45,13 @@ class LinearFilter:
         self.a, self.b, self.c, self.d, self.state = a, b, c, d, np.zeros(len(b))
         self.from_state, self.response, self.step, self.drive = block_tables(tuple(map(tuple, a.tolist())), tuple(b.tolist()), tuple(c.tolist()), d)
 
+    def __getstate__(self) -> tuple:
+        return self.a, self.b, self.c, self.d, self.state  # the tables are made again
+
+    def __setstate__(self, kept: tuple) -> None:
+        self.__init__(*kept[:4])
+        self.state = kept[4]
+
     def process(self, x: np.ndarray) -> np.ndarray:
         n = len(x) // BLOCK
         blocks = x[: n * BLOCK].reshape(n, BLOCK)

@@ -118,15 +118,15 @@ class Step:
 
 
 def plan(config: Conditioning, source_rate: int, source_channels: int) -> list[Step]:
-    """The normalising steps (sanitize, layout, resample), then the transforming ones; empty: pass through."""
+    """The normalising steps (sanitize, layout, resample, echo), then the transforming ones; empty: pass through."""
     kind, wanted = config.layout(source_channels)
-    if config.echo is not None:
-        raise ConfigError("echo cancelling needs a reference stream: align it and use operators.align.echo_cancelled, or streaming.live.echo_cancelled")
     steps = []
     if kind != "identity":
         steps.append(Step("downmix" if kind == "mean" else "map", {"map": wanted}))
     if source_rate != config.sample_rate:
         steps.append(Step("resample", {"from": source_rate, "to": config.sample_rate}))
+    if config.echo is not None:
+        steps.append(Step("echo", {"cancel": config.echo}))
     if config.dc_removal:
         steps.append(Step("dc"))
     if config.denoise:
@@ -140,6 +140,10 @@ def plan(config: Conditioning, source_rate: int, source_channels: int) -> list[S
     return [Step("sanitize"), *steps] if steps else []
 
 
+#: Steps before the detector's tap.
+NORMALISING = ("sanitize", "downmix", "map", "resample", "echo")
+
+
 def detector_feed_rate(rate: int) -> tuple[int, int]:
     """Rate and window that the detector runs at: 8 and 16 kHz as they are, anything else at 16 kHz."""
     rate = rate if rate in DETECTOR_RATES else 16_000

@@ -79,14 +79,11 @@ def test_live_options(spark, tmp_path):
     assert [len(r["data"]) for r in seen] == [500] * 35 + [100] and [r["closed"] for r in seen] == [False] * 35 + [True]
     x = np.concatenate([r["data"] for r in seen]).astype(np.float32)
     assert (x == X).all() and np.concatenate([r["codes"] for r in seen]).tolist() == sinks.codes16(X).tolist()
-    assert all(abs(r["score"] - np.sqrt(np.mean(np.square(r["data"])))) < 1e-6 for r in seen)
+    assert all(abs(r["score"] - np.sqrt(np.mean(np.square(r["data"])))) < 1e-6 for r in seen)  # nothing transforms this stream
     on = [r["is_speaking"] for r in seen]
     assert on[:16] == [True] * 16 and on[17:19] == [True] * 2 and not any(on[21:])
-    for bad in (Conditioning(echo=EchoCancel()), Conditioning(detector=Detector("model"))):
-        with pytest.raises((ConfigError, DetectorError)):
-            Microphone(spark, str(tmp_path / "in"), 16_000, 1, bad)
-    with pytest.raises(ConfigError):
-        File.buffer(spark, X, 16_000, 1, Conditioning(echo=EchoCancel(), limiter=-1.0)).chunks()
+    with pytest.raises(DetectorError):
+        Microphone(spark, str(tmp_path / "in"), 16_000, 1, Conditioning(detector=Detector("model")))
 
 
 def test_reblocked_and_headers(spark, tmp_path):
