@@ -40,6 +40,8 @@ LEAST, TOP, LONGEST, SHARE = 30, 2000, 4, 80
 #: Words of a shard; texts are never cut, so one shard can be longer by a text.
 SHARD = 1 << 20
 MAP_BITS = 1 << 28
+#: Bits of a hash that is only to be counted, and hashes that a task gathers before it sends them.
+HASH_BITS, PENDING = 48, 3 << 20
 #: Phrases that one task ranks at first.
 SLICE = 50_000
 UND = "und"
@@ -184,31 +186,85 @@ def bitmap(spark: SparkSession, hashes: DataFrame, count: int):
 
 
 def known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = (h & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    place = (keys_of(h) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
     return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
 
 
-HASHES = T.StructType([T.StructField("h", T.LongType()), T.StructField("f", T.LongType())])
+PACKED = T.StructType([T.StructField("part", T.LongType()), T.StructField("steps", T.BinaryType()), T.StructField("f", T.BinaryType())])
 
 
-def hash_counts(shards: DataFrame, n: int, shorter=None) -> DataFrame:
-    """(h, f): hashes of each shard's runs of n words, whose runs of n - 1 words are known, with their counts."""
+def keys_of(h: np.ndarray) -> np.ndarray:
+    """The HASH_BITS highest bits of 64-bit hashes."""
+    return h >> np.uint64(64 - HASH_BITS)
+
+
+def narrowed(v: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest takes, behind that number."""
+    width = max(1, (int(v.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widened(b: bytes) -> np.ndarray:
+    v = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
+    out = np.zeros((len(v), 8), np.uint8)
+    out[:, : b[0]] = v
+    return out.view("<u8").ravel()
+
+
+def summed(h: list[np.ndarray], f: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order with the sums of their counts."""
+    h, f = np.concatenate(h), np.concatenate(f)
+    by = np.argsort(h)
+    h, f = h[by], f[by]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(f, first) if len(first) else f
+
+
+def packed(h: np.ndarray, f: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted hashes and counts in a row for each value of their `bits` highest bits: the first hash and the steps to the others."""
+    part = (h >> np.uint64(HASH_BITS - bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), part[1:] != part[:-1]]))
+    edges = list(zip(first.tolist(), np.append(first[1:], len(h)).tolist()))
+    steps = [narrowed(np.diff(h[a:z], prepend=part[a].astype(np.uint64) << np.uint64(HASH_BITS - bits))) for a, z in edges]
+    return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(steps, pa.binary()), pa.array([narrowed(f[a:z]) for a, z in edges], pa.binary())], names=PACKED.names)
+
+
+def frequent_hashes(shards: DataFrame, n: int, least: int, words: int, shorter=None) -> DataFrame:
+    """(h): hashes of runs of n words, whose runs of n - 1 words are known, with `least` occurrences together.
+
+    Counted by task, then by range of hashes; a range is sent as one packed row, and there are so many that one holds about a
+    million of the corpus's words.
+    """
+    bits, most = max(8, (words >> 20).bit_length()), PENDING
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, fs, size = [], [], 0
         for b in batches:
-            for langs, words, of, ids in unpacked(b):
-                grams = gram_hashes(word_hashes(langs, words, of), ids, n)
+            for langs, vocabulary, of, ids in unpacked(b):
+                grams = gram_hashes(word_hashes(langs, vocabulary, of), ids, n)
                 sound = np.ones(len(grams[-1]), bool)
                 for k in range(n):
                     sound &= ids[k : k + len(sound)] >= 0
                 if n > 1:
                     at = np.flatnonzero(sound)
                     sound[at] = known(shorter.value, grams[-2][at]) & known(shorter.value, grams[-2][at + 1])
-                found, f = np.unique(grams[-1][sound], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(f)], names=HASHES.names)
+                found, f = np.unique(keys_of(grams[-1][sound]), return_counts=True)
+                del grams
+                hs, fs, size = [*hs, found], [*fs, f], size + len(found)
+                if size >= most:
+                    yield packed(*summed(hs, fs), bits)
+                    hs, fs, size = [], [], 0
+        if size:
+            yield packed(*summed(hs, fs), bits)
         release_memory()
 
-    return shards.mapInArrow(run, HASHES)
+    def often(t: pa.Table) -> pa.Table:
+        start = np.uint64(t.column("part")[0].as_py()) << np.uint64(HASH_BITS - bits)
+        hs = [np.cumsum(widened(b), dtype=np.uint64) + start for b in t.column("steps").to_pylist()]
+        h, f = summed(hs, [widened(b).astype(np.int64) for b in t.column("f").to_pylist()])
+        return pa.table({"h": pa.array(h[f >= least].astype(np.int64))})
+
+    return shards.mapInArrow(run, PACKED).groupBy("part").applyInArrow(often, "h long")
 
 
 # --- suffix arrays
@@ -330,10 +386,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     spark = docs.sparkSession
     shards = truncate_lineage(shards_of(docs, text, lang))
     total = truncate_lineage(language_sizes(shards))
+    words = total.agg(F.sum("n")).first()[0] or 0
     maps: list = []
     for n in range(1, LONGEST):
-        often = hash_counts(shards, n, maps[-1] if maps else None).groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("h")
-        often = truncate_lineage(often)
+        often = truncate_lineage(frequent_hashes(shards, n, least, words, maps[-1] if maps else None))
         maps.append(bitmap(spark, often, often.count()))
     phrases = phrase_counts(shards, maps).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
     found = truncate_lineage(phrases.filter(F.col("f") >= least))
