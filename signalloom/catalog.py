@@ -256,6 +256,15 @@ def polyphase_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("stream_id").agg(F.sum(F.size("data")).alias("n"))
 
 
+def polyphase_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """44.1 to 16 kHz, of 160 phases, sample by sample."""
+    chunks = W.rebatched(_samples(spark, sf_dir), 16).select("stream_id", F.col("seq").cast("long").alias("seq"), F.lit(44_100).alias("sample_rate"), F.lit(1).alias("channels"), F.col("data").cast("array<float>").alias("data"))
+    out = folds.fold_chunks(chunks, lambda r, c: folds.PerChannel(lambda: folds.PolyphaseResampler(44_100, 16_000), c), 16_000)
+    base = F.sum(F.size("data")).over(Window.partitionBy("stream_id").orderBy("seq")) - F.size("data")
+    y = out.withColumn("base", base).select("stream_id", "base", F.posexplode("data").alias("i", "y"))
+    return y.select("stream_id", (F.col("base") + F.col("i")).alias("pos"), F.round(F.col("y").cast("double"), 5).alias("y"))
+
+
 def echo_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _samples(spark, sf_dir)
     far = s.withColumn("pos", F.col("pos") + 2)
@@ -330,7 +339,7 @@ QUERIES = {f.__name__: f for f in (
     select_channel, channel_map, planar_roundtrip, deinterleave, pcm16_encode, pcm16_round, pcm16_decode, frame_peaks, frame_mean_squares,
     sanitize_report, clip_report, linear_resample, si_sdr, seg_snr, fw_seg_snr, dc_block, highpass, limiter, agc, linear_resample_stream,
     polyphase_resample, echo_cancel, echo_silent, model_windows, device_match, format_resolve, save_report,
-    long_dc_block, long_highpass, long_queue, long_speaking,
+    long_dc_block, long_highpass, long_queue, long_speaking, polyphase_values,
 )}
 
 _PUSH = "p AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord, event_id * 7 % 11 AS pushed, event_id * 5 % 9 AS wanted FROM events)"
@@ -407,4 +416,5 @@ SELECT n.stream_id, round(coalesce(avg(snr), 0), 4) + 0 AS fw_seg_snr FROM n LEF
     "long_highpass": "WITH RECURSIVE e AS MATERIALIZED (SELECT event_id AS pos, value / 397.0 AS x FROM events), w AS (SELECT 2 * pi() * 80 / 16000 AS w), k AS MATERIALIZED (SELECT (1 + cos(w)) / 2 / (1 + sin(w) / sqrt(2)) AS b0, -2 * cos(w) / (1 + sin(w) / sqrt(2)) AS a1, (1 - sin(w) / sqrt(2)) / (1 + sin(w) / sqrt(2)) AS a2 FROM w), r AS (SELECT pos, b0 * x AS y, -2 * b0 * x - a1 * b0 * x AS z1, b0 * x - a2 * b0 * x AS z2 FROM e, k WHERE pos = 0 UNION ALL SELECT s.pos, b0 * s.x + z1, -2 * b0 * s.x - a1 * (b0 * s.x + z1) + z2, b0 * s.x - a2 * (b0 * s.x + z1) FROM r JOIN e s ON s.pos = r.pos + 1, k) SELECT 0 AS stream_id, pos, round(y, 6) + 0 AS y FROM r",
     "long_queue": "WITH RECURSIVE p AS MATERIALIZED (SELECT event_id AS ord, event_id * 7 % 11 AS pushed, event_id * event_id % 9 AS wanted FROM events), r AS (SELECT CAST(-1 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS queued, CAST(0 AS BIGINT) AS silence, CAST(0 AS BIGINT) AS dropped UNION ALL SELECT p.ord, greatest(0, r.queued + least(p.pushed, 12 - r.queued) - p.wanted), greatest(0, p.wanted - r.queued - least(p.pushed, 12 - r.queued)), p.pushed - least(p.pushed, 12 - r.queued) FROM r JOIN p ON p.ord = r.ord + 1) SELECT * FROM r WHERE ord >= 0",
     "long_speaking": f'WITH w AS (SELECT event_id // {SIZE} AS win, sqrt(avg(value / 397.0 * value / 397.0)) AS p FROM events GROUP BY 1 HAVING count(*) = {SIZE}), v AS (SELECT win, (win + 1) * {SIZE} / {RATE} AS t1, p, p >= {LEVEL} AS speech FROM w), z AS (SELECT *, max(CASE WHEN speech THEN t1 END) OVER (ORDER BY win) AS last_loud FROM v) SELECT win AS seq, t1 AS "end", round(p, 6) + 0 AS score, coalesce(speech OR t1 - last_loud < {HOLDOFF}, false) AS is_speaking FROM z',
+    "polyphase_values": f"WITH {EVENTS}, n AS (SELECT stream_id, count(*) AS n FROM s GROUP BY 1), r AS (SELECT 16000.0::DOUBLE / 44100 * 0.95 AS cut), h AS (SELECT cut, CAST(ceil(16 / cut) AS BIGINT) AS half FROM r), o AS (SELECT stream_id, unnest(range((n * 160 + 440) // 441)) AS j FROM n), k AS (SELECT stream_id, j, cut, half, j * 441 // 160 AS a, (j * 441 % 160) / 160.0::DOUBLE AS part, unnest(range(1 - half, half + 1)) AS k FROM o, h), t AS (SELECT stream_id, j, a + k AS pos, (k - part) * cut * pi() AS t, cut, 0.5 + 0.5 * cos(pi() * greatest(-1, least(1, (k - part) / half))) AS w FROM k) SELECT stream_id, j AS pos, round(CAST(CAST(coalesce(sum(CAST(CAST(x AS FLOAT) AS DOUBLE) * CASE WHEN t = 0 THEN 1 ELSE sin(t) / t END * cut * w), 0) AS FLOAT) AS DOUBLE), 5) + 0 AS y FROM t LEFT JOIN s USING (stream_id, pos) GROUP BY 1, 2",
 }

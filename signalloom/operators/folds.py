@@ -217,14 +217,26 @@ class LinearResampler:
         return np.zeros(0)
 
 
+def sinc_taps(part: np.ndarray, half: int, cut: float) -> np.ndarray:
+    """For each fraction of a sample the weights of the 2 * half samples round it: a sinc under a raised cosine."""
+    t = np.arange(-half + 1, half + 1)[None] - part[:, None]
+    return np.sinc(t * cut) * cut * (0.5 + 0.5 * np.cos(np.pi * np.clip(t / half, -1, 1)))
+
+
+@lru_cache(maxsize=64)
+def tap_table(phases: int, half: int, cut: float) -> np.ndarray:
+    return sinc_taps(np.arange(phases) / phases, half, cut)
+
+
 class PolyphaseResampler:
     """Windowed-sinc resampling by a ratio; output j needs the input round j * source / target.
 
-    Ratios with an upsampling factor of at most 1024 are exact, others are taken at their nearest such fraction
-    per output. How much has come out after n inputs depends on the rates and n only; flush gives the tail.
+    An output has one of as many phases as the reduced upsampling factor. Up to PHASES of them the taps of all come from
+    one table, made once for a pair of rates; beyond, each output's taps are computed.
+    How much has come out after n inputs depends on the rates and n only; flush gives the tail.
     """
 
-    TAPS = 32
+    TAPS, PHASES = 32, 1024
 
     def __init__(self, source: int, target: int):
         ratio = Fraction(source, target)
@@ -239,12 +251,13 @@ class PolyphaseResampler:
         if end <= self.made:
             return np.zeros(0)
         j = np.arange(self.made, end)
-        num = j * self.ratio.numerator
-        at, part = num // self.ratio.denominator, (num % self.ratio.denominator) / self.ratio.denominator
-        k = np.arange(-self.half + 1, self.half + 1)
-        t = (k[None] - part[:, None]) * self.cut
-        taps = np.sinc(t) * self.cut * (0.5 + 0.5 * np.cos(np.pi * np.clip((k[None] - part[:, None]) / self.half, -1, 1)))
-        y = (self.kept[(at - self.first)[:, None] + k[None]] * taps).sum(1)
+        at, phase = np.divmod(j * self.ratio.numerator, self.ratio.denominator)
+        near = np.lib.stride_tricks.sliding_window_view(self.kept, 2 * self.half)  # from each sample on
+        if self.ratio.denominator <= self.PHASES:
+            taps = tap_table(self.ratio.denominator, self.half, self.cut)[phase]
+        else:
+            taps = sinc_taps(phase / self.ratio.denominator, self.half, self.cut)
+        y = np.einsum("jk,jk->j", near[at - self.first - self.half + 1], taps)
         self.made = end
         low = end * self.ratio.numerator // self.ratio.denominator - self.half
         drop = max(0, min(low - self.first, len(self.kept)))

@@ -144,3 +144,25 @@ def test_denoiser_latency():
 def test_band_snr_ranks():
     x = np.random.default_rng(3).normal(size=4096)
     assert band_snr(x, x) == 35 and band_snr(x, x + 0.1 * np.roll(x, 5)) > band_snr(x, 0.5 * np.roll(x, 5)) and band_snr(x[:100], x[:100]) == 0
+
+
+@pytest.mark.parametrize("rates", [(48_000, 16_000), (44_100, 16_000), (16_000, 44_101)])
+def test_resampler_values_are_the_direct_sum(rates):
+    x = np.random.default_rng(6).normal(0, 0.3, 700)
+    r = folds.PolyphaseResampler(*rates)
+    got = np.concatenate([r.process(x[:123]), r.process(x[123:]), r.flush()])
+    cut = min(1.0, rates[1] / rates[0]) * 0.95
+    half = math.ceil(16 / cut)
+    for j in range(0, len(got), 7):
+        t = np.arange(700) - j * rates[0] / rates[1]
+        near = (t > -half - 1) & (t <= half)
+        w = np.sinc(t * cut) * cut * (0.5 + 0.5 * np.cos(np.pi * np.clip(t / half, -1, 1)))
+        assert abs(got[j] - (x * w)[near].sum()) < 1e-9
+
+
+def test_tables_are_made_once():
+    folds.block_tables.cache_clear()
+    folds.tap_table.cache_clear()
+    for _ in range(50):
+        folds.GainControl(-18, RATE), folds.dc_blocker(), folds.PolyphaseResampler(44_100, 16_000).process(np.ones(500))
+    assert folds.block_tables.cache_info().misses == 2 and folds.tap_table.cache_info().misses == 1
