@@ -40,7 +40,7 @@ RADIUS, TURNS = 8, 72
 #: Bytes of a corner: x, y, scale and turn as floats, then the descriptor.
 CORNER = 16 + BITS // 8
 #: Equal parts of a candidate that agree: VOTES, and one more for CHANCE pairs of corners, which smooth images share by chance.
-VOTES, CHANCE = 4, 16_384
+VOTES, CHANCE, COPY = 4, 16_384, 32
 #: Turns that agree: a window of WINDOW, one begins at every half of it. Steps of scale agree with one neighbour.
 WINDOW, STEPS = 6, 64
 NEAR_BITS, MIN_INLIERS, MIN_PART, REACH = 36, 6, 0.5, 2.5
@@ -183,37 +183,69 @@ def features_of(images: list[bytes | None]) -> dict:
 
 # ---- geometric consensus -----------------------------------------------------------------------------------
 
-_ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) // CORNER
     return np.frombuffer(data, np.float32, 4 * n).reshape(n, 4), np.frombuffer(data, np.uint8, offset=16 * n).reshape(n, -1)
 
 
+#: Bounds of one comparison: distances made together, and similarities that are tried.
+TOGETHER, SIMILARITIES = 1 << 22, 2048
+
+
+def nearest_bits(da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of da the nearest row of db (the first of equals) and the bits between them; for each row of db the nearest
+    of da. In slices, so memory doesn't grow with both."""
+    a, b = (np.pad(x, ((0, 0), (0, -x.shape[1] % 8))).view(np.uint64) for x in (np.ascontiguousarray(da), np.ascontiguousarray(db)))
+    j, bits = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+    back, low = np.zeros(len(b), np.int64), np.full(len(b), 1 << 30)
+    step = max(1, TOGETHER // len(b))
+    for at in range(0, len(a), step):
+        d = np.bitwise_count(a[at : at + step, None] ^ b[None]).sum(2, dtype=np.int32)
+        j[at : at + step] = best = d.argmin(1)
+        bits[at : at + step] = d[np.arange(len(d)), best]
+        up = d.argmin(0)
+        least = d[up, np.arange(len(b))]
+        closer = least < low
+        back[closer], low[closer] = at + up[closer], least[closer]
+    return j, bits, back
+
+
 def inliers(a: bytes, b: bytes) -> tuple[int, int]:
-    """How many matched corners agree on one similarity, and how many matches there are."""
+    """How many matched corners agree on one similarity, and how many matches there are.
+
+    Two matches make a similarity. All pairs of matches are tried where they are SIMILARITIES at most, otherwise so many,
+    drawn alike each time: of a true copy's matches more than MIN_PART are right, so about one pair in four or more is.
+    """
     (pa_, da), (pb, db) = _unpack(a), _unpack(b)
     if not len(pa_) or not len(pb):
         return 0, 0
-    d = _ones[da[:, None] ^ db[None]].sum(2)
-    j = d.argmin(1)
-    i = np.flatnonzero((d[np.arange(len(da)), j] <= NEAR_BITS) & (d.argmin(0)[j] == np.arange(len(da))))
-    if len(i) < 2:
-        return len(i), len(i)
+    j, bits, back = nearest_bits(da, db)
+    i = np.flatnonzero((bits <= NEAR_BITS) & (back[j] == np.arange(len(da))))
+    n = len(i)
+    if n < 2:
+        return n, n
     p, q = (x[:, 0] + 1j * x[:, 1] for x in (pa_[i], pb[j[i]]))
-    u, v = np.triu_indices(len(i), 1)
+    if n * (n - 1) // 2 <= 16 * SIMILARITIES:
+        u, v = np.triu_indices(n, 1)
+    else:
+        draw = np.random.default_rng(n)
+        u, v = draw.integers(0, n, 16 * SIMILARITIES), draw.integers(0, n, 16 * SIMILARITIES)
     far = np.abs(p[u] - p[v]) > 4
     u, v = u[far], v[far]
     if not len(u):
-        return 1, len(i)
+        return 1, n
     turn = (q[u] - q[v]) / (p[u] - p[v])
     ok = (np.abs(turn) > 0.4) & (np.abs(turn) < 2.5)
     u, turn = u[ok], turn[ok]
     if not len(u):
-        return 1, len(i)
-    off = np.abs(turn[:, None] * (p - p[u][:, None]) + q[u][:, None] - q)
-    return int((off <= REACH).sum(1).max()), len(i)
+        return 1, n
+    if n * (n - 1) // 2 > 16 * SIMILARITIES:
+        u, turn = u[:SIMILARITIES], turn[:SIMILARITIES]
+    best, step = 0, max(1, TOGETHER // n)
+    for at in range(0, len(u), step):
+        t, w = turn[at : at + step, None], u[at : at + step]
+        best = max(best, int((np.abs(t * (p - p[w][:, None]) + q[w][:, None] - q) <= REACH).sum(1).max()))
+    return best, n
 
 
 def is_copy(a: bytes, b: bytes) -> bool:
@@ -255,8 +287,12 @@ def _parts(data: list[bytes]) -> list[np.ndarray]:
 
 
 def needed(corners_a, corners_b):
-    """Equal parts, agreeing on a turn and a step of scale, that make two images with so many corners a candidate."""
-    return VOTES + corners_a * corners_b // CHANCE
+    """Equal parts, agreeing on a turn and a step of scale, that make two images with so many corners a candidate.
+
+    What chance gives grows as the product of both counts, what a copy gives as the smaller one, so the latter bounds it: from
+    some 2,000 corners on (images of about 400 x 400), unrelated images are candidates too, and verification alone parts them.
+    """
+    return VOTES + np.minimum(corners_a * corners_b // CHANCE, np.minimum(corners_a, corners_b) // COPY)
 
 
 def _starts(new: np.ndarray) -> np.ndarray:

@@ -488,3 +488,39 @@ def test_registry(spark, data):
 
     assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
     assert isinstance(pd.DataFrame, type) and quality_crf.KEEP_AT == 0.3
+
+
+def large_images(side):
+    """A field of several grains, an unrelated one, and the first with noise, cropped, resized, and turned."""
+    r = np.random.default_rng(side)
+    field = lambda: sum(np.kron(r.normal(size=(side // k, side // k)), np.ones((k, k))) * k**0.5 for k in (4, 8, 16, 32))
+    grey = lambda x: (x - x.min()) / (x.max() - x.min()) * 255
+    a, b = (grey(media_copies._box(field()[None].astype(np.float32), 1)[0]) for _ in range(2))
+    w = media_copies._shrinking(side, side * 3 // 4)
+    y, x = np.mgrid[:side, :side] - side / 2
+    c, s = math.cos(math.radians(33)), math.sin(math.radians(33))
+    u, v = (c * x - s * y + side / 2).clip(0, side - 1).astype(int), (s * x + c * y + side / 2).clip(0, side - 1).astype(int)
+    e = side // 8
+    return [a, b, np.clip(a + r.normal(0, 4, a.shape), 0, 255), a[e:-e, e:-e], w @ a @ w.T, a[v, u]]
+
+
+@pytest.mark.parametrize("side", [256, 512])
+def test_copies_of_large_images(spark, side):
+    images = large_images(side)
+    media = spark.createDataFrame([(i, media_copies.grey_bytes(x)) for i, x in enumerate(images)], "media_id long, image binary")
+    assert {r.media_id: r.class_id for r in media_copies.group_copies(media).collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
+def test_a_comparison_is_bounded():
+    import tracemalloc
+
+    a, b = (media_copies.features_of([media_copies.grey_bytes(x)])["data"][0].as_py() for x in large_images(384)[:3:2])
+    tracemalloc.start()
+    good, matched = media_copies.inliers(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert good > 0.9 * matched > 500 and most < 400 << 20
+    (pa_, da), (_, db) = media_copies._unpack(a), media_copies._unpack(b)
+    d = np.bitwise_count(da[:200, None] ^ db[None]).sum(2)
+    j, bits, _ = media_copies.nearest_bits(da[:200], db)
+    assert (j == d.argmin(1)).all() and (bits == d.min(1)).all()
