@@ -14,7 +14,7 @@ from .operators import devices as dev
 from .operators import folds, models, windows
 from .plans import run
 from .plans.config import FILE_BLOCK, Conditioning, Detector, EchoCancel
-from .sources import audio, sinks
+from .sources import audio, ranges, sinks
 from .streaming import live
 
 
@@ -30,9 +30,9 @@ class File:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, config: Conditioning | None = None, glob: str | None = None) -> File:
-        """All audio files under a path; their common rate and channels come from the headers."""
-        chunks = audio.scan_audio(spark, path, FILE_BLOCK, glob)
-        kinds = audio.scan_headers(spark, path, glob).select("sample_rate", "channels").distinct().take(2)
+        """All audio files under a path; their common rate and channels come from the headers, which are all that is read here."""
+        chunks = ranges.scan_ranges(spark, path, FILE_BLOCK, glob)
+        kinds = ranges.ranges(spark, path, FILE_BLOCK, glob).select("sample_rate", "channels").distinct().take(2)
         if len(kinds) != 1:
             raise ConfigError("the files have no or more than one rate and channel count; open them apart")
         return cls(chunks, kinds[0]["sample_rate"], kinds[0]["channels"], config)

@@ -129,3 +129,39 @@ def test_devices(spark):
             devices.select_device(w, **bad)
     with pytest.raises(DeviceError):
         devices.select_device(devices.with_default(d, None))
+
+
+def test_ranges_equal_whole_files(spark, tmp_path):
+    import struct
+
+    from pyspark.sql import functions as F
+
+    from signalloom.sources import ranges
+
+    x = np.random.default_rng(9).uniform(-1, 1, 30_000).astype(np.float32)
+    float_wav = b"RIFF\0\0\0\0WAVEfmt " + struct.pack("<IHHIIHH", 16, 3, 2, 8000, 64_000, 8, 32) + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", 4 * len(x)) + x.tobytes()
+    long_wav = b"RF64\xff\xff\xff\xffWAVEds64" + struct.pack("<IQQQI", 28, 0, 2 * len(x), 0, 0) + b"fmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32_000, 4, 16) + b"data\xff\xff\xff\xff" + sinks.codes16(x).tobytes()
+    files = {"a.wav": sinks.encode(x, 8000, 2, "wav"), "b.aiff": sinks.encode(x, 8000, 2, "aiff"), "c.flac": sinks.encode(x[:9000], 8000, 2, "flac"), "d.wav": float_wav, "e.wav": sinks.encode(x[:0], 8000, 2, "wav"), "f.wav": sinks.encode(x, 8000, 2, "wav")[:-7]}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    want = audio.scan_audio(spark, str(tmp_path), 160)
+    got = ranges.scan_ranges(spark, str(tmp_path), 160, size=10_000)
+    assert got.count() == want.count() > 400 and got.exceptAll(want).count() == 0
+    planned = ranges.ranges(spark, str(tmp_path), 160, size=10_000).groupBy(F.element_at(F.split("path", "/"), -1)).count().collect()
+    assert {r[0]: r[1] for r in planned} == {"a.wav": 7, "b.aiff": 7, "c.flac": 1, "d.wav": 14, "f.wav": 7}  # 120,000 bytes by 7 blocks of 1,280
+    (tmp_path / "g.wav").write_bytes(long_wav)
+    only = ranges.scan_ranges(spark, str(tmp_path), 160, "g.wav", 10_000).orderBy("seq").toPandas()["data"]
+    assert (np.concatenate(only.to_list()) == (sinks.codes16(x) / 32768).astype(np.float32)).all()
+
+
+def test_a_file_above_two_gigabytes_is_planned_by_its_header(spark, tmp_path):
+    from signalloom.sources import ranges
+
+    size = 3 << 30
+    with open(tmp_path / "long.wav", "wb") as f:  # a sparse file
+        f.write(sinks.wav_header(size // 2, 48_000, 2))
+        f.truncate(44 + size)
+    plan = ranges.ranges(spark, str(tmp_path)).orderBy("seq").collect()
+    step = plan[1].at - plan[0].at
+    assert len(plan) == -(-size // step) and sum(r["size"] for r in plan) == size and step % (4 * 1600) == 0 and step <= 64 << 20
+    assert all(r.seq == (r["at"] - 44) // 6400 for r in plan)
