@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .functions import samples as S
 from .operators import align, devices, folds, models, quality
 from .operators import windows as W
+from .plans import run
+from .plans.config import Conditioning, Detector
 
 SIZE, RATE, LEVEL, HOLDOFF = 8, 16.0, 0.15, 0.6
 GAIN = 4.0
@@ -333,13 +335,22 @@ def long_speaking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.speaking_state_scanned(w, LEVEL, HOLDOFF, LONG // SIZE).select("seq", "end", F.round("score", 6).alias("score"), "is_speaking")
 
 
+def detector_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two channels (x, -x / 2) by their mean, beside blocks of 64 frames that went through high-pass and gain control."""
+    both = F.flatten(F.transform("data", lambda x: F.array(x, x * -0.5))).cast("array<float>")
+    chunks = W.rebatched(_samples(spark, sf_dir), 16).select("stream_id", F.col("seq").cast("long").alias("seq"), F.lit(16_000).alias("sample_rate"), F.lit(2).alias("channels"), both.alias("data"))
+    config = Conditioning(channels=2, highpass=80, agc=-18, detector=Detector(threshold=LEVEL))
+    out = run.delivered(chunks, config, 16_000, 2, 64)
+    return out.select("stream_id", "seq", (F.size("data") / 2).cast("long").alias("frames"), F.round("score", 5).alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
     vad_segments, vad_windows, speaking_state, speech_events, chunk_scores, rebatch_fixed, chunk_positions, overlap_frames, context_carry,
     overrun_drop, ring_evict, record_take, playback_underrun, reference_queue, reference_align, reference_capped, rms_subblock, downmix,
     select_channel, channel_map, planar_roundtrip, deinterleave, pcm16_encode, pcm16_round, pcm16_decode, frame_peaks, frame_mean_squares,
     sanitize_report, clip_report, linear_resample, si_sdr, seg_snr, fw_seg_snr, dc_block, highpass, limiter, agc, linear_resample_stream,
     polyphase_resample, echo_cancel, echo_silent, model_windows, device_match, format_resolve, save_report,
-    long_dc_block, long_highpass, long_queue, long_speaking, polyphase_values,
+    long_dc_block, long_highpass, long_queue, long_speaking, polyphase_values, detector_tap,
 )}
 
 _PUSH = "p AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord, event_id * 7 % 11 AS pushed, event_id * 5 % 9 AS wanted FROM events)"
@@ -417,4 +428,5 @@ SELECT n.stream_id, round(coalesce(avg(snr), 0), 4) + 0 AS fw_seg_snr FROM n LEF
     "long_queue": "WITH RECURSIVE p AS MATERIALIZED (SELECT event_id AS ord, event_id * 7 % 11 AS pushed, event_id * event_id % 9 AS wanted FROM events), r AS (SELECT CAST(-1 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS queued, CAST(0 AS BIGINT) AS silence, CAST(0 AS BIGINT) AS dropped UNION ALL SELECT p.ord, greatest(0, r.queued + least(p.pushed, 12 - r.queued) - p.wanted), greatest(0, p.wanted - r.queued - least(p.pushed, 12 - r.queued)), p.pushed - least(p.pushed, 12 - r.queued) FROM r JOIN p ON p.ord = r.ord + 1) SELECT * FROM r WHERE ord >= 0",
     "long_speaking": f'WITH w AS (SELECT event_id // {SIZE} AS win, sqrt(avg(value / 397.0 * value / 397.0)) AS p FROM events GROUP BY 1 HAVING count(*) = {SIZE}), v AS (SELECT win, (win + 1) * {SIZE} / {RATE} AS t1, p, p >= {LEVEL} AS speech FROM w), z AS (SELECT *, max(CASE WHEN speech THEN t1 END) OVER (ORDER BY win) AS last_loud FROM v) SELECT win AS seq, t1 AS "end", round(p, 6) + 0 AS score, coalesce(speech OR t1 - last_loud < {HOLDOFF}, false) AS is_speaking FROM z',
     "polyphase_values": f"WITH {EVENTS}, n AS (SELECT stream_id, count(*) AS n FROM s GROUP BY 1), r AS (SELECT 16000.0::DOUBLE / 44100 * 0.95 AS cut), h AS (SELECT cut, CAST(ceil(16 / cut) AS BIGINT) AS half FROM r), o AS (SELECT stream_id, unnest(range((n * 160 + 440) // 441)) AS j FROM n), k AS (SELECT stream_id, j, cut, half, j * 441 // 160 AS a, (j * 441 % 160) / 160.0::DOUBLE AS part, unnest(range(1 - half, half + 1)) AS k FROM o, h), t AS (SELECT stream_id, j, a + k AS pos, (k - part) * cut * pi() AS t, cut, 0.5 + 0.5 * cos(pi() * greatest(-1, least(1, (k - part) / half))) AS w FROM k) SELECT stream_id, j AS pos, round(CAST(CAST(coalesce(sum(CAST(CAST(x AS FLOAT) AS DOUBLE) * CASE WHEN t = 0 THEN 1 ELSE sin(t) / t END * cut * w), 0) AS FLOAT) AS DOUBLE), 5) + 0 AS y FROM t LEFT JOIN s USING (stream_id, pos) GROUP BY 1, 2",
+    "detector_tap": f"WITH {EVENTS} SELECT stream_id, pos // 64 AS seq, count(*) AS frames, round(sqrt(avg(pow((CAST(CAST(x AS FLOAT) AS DOUBLE) + CAST(CAST(x * -0.5 AS FLOAT) AS DOUBLE)) / 2, 2))), 5) + 0 AS score FROM s GROUP BY 1, 2",
 }
