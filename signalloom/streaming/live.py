@@ -2,7 +2,7 @@
 
 A stream is folded by its sequence numbers, in whatever order its chunks arrive: a chunk that is early waits in the state, one
 whose number was folded already is rejected and counted. A gap is passed over when `hold` chunks wait behind it or
-`patience_ms` have gone by, and counted as missing. A row with `last` flushes the kernels once and closes the stream; what
+`patience_ms` have gone by, and counted as missing. Rows without a number are rejected, ones without data only end a stream. A row with `last` flushes the kernels once and closes the stream; what
 comes later is rejected and counted, never merged. A closed stream leaves the state after `forget_ms`; one that
 is idle for `idle_ms` is flushed and closed. Timers fire in triggers, so they need a query that goes on.
 
@@ -51,7 +51,7 @@ class _Stream:
     def arrive(self, rows, queue: int | None) -> None:
         taken = 0
         for r in rows:
-            seq = int(r.seq)
+            seq = -1 if pd.isna(r.seq) else int(r.seq)
             if self.closed or seq < self.want or seq in self.waiting:
                 self.rejected += 1
                 continue
@@ -139,6 +139,11 @@ def folded(
             nonlocal source
             for at, channels, data, last, side in s.ready():
                 far = side == "far"
+                if not len(data):  # dropped, or without data: nothing but maybe the end
+                    if last and not far:
+                        finish()
+                        return
+                    continue
                 if s.blocks is None:
                     s.blocks = start(int(at), None if far else int(channels))
                     if s.blocks.score is not None:

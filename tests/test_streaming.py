@@ -146,6 +146,17 @@ def test_gaps_and_overrun(spark, tmp_path):
     assert got == want == {"s": 5, "t": 0, "u": 0} and sum(r["closed"] for r in seen) == 3
 
 
+def test_rows_without_data_or_number(spark, tmp_path):
+    rows = [("a", 0, None, None, None, False), ("a", 1, 8000, 2, [1.0, 2.0], False), ("a", None, 8000, 2, [9.0, 9.0], False), ("a", 2, None, None, None, True), ("b", 0, None, None, None, True), (None, 0, 8000, 1, [3.0], True)]
+    spark.createDataFrame(rows, ROWS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    same = lambda r, c: folds.PerChannel(lambda: folds.LinearResampler(1, 1), c)
+    drain(live.folded(live.capture(spark, str(tmp_path / "in")), same), seen, str(tmp_path / "ck"))
+    got = {s: [r for r in seen if r["stream_id"] == s] for s in ("a", "b", None)}
+    assert blocks_in_order(got["a"]).tolist() == [1, 2] and sum(r["rejected"] for r in got["a"]) == 1
+    assert blocks_in_order(got[None]).tolist() == [3] and all(sum(bool(r["closed"]) for r in g) == 1 for g in got.values())
+
+
 def until(query, done, seconds=60):
     for _ in range(seconds * 5):
         if done():
