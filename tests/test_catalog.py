@@ -50,3 +50,16 @@ def test_rendered_blocks(spark):
     assert [r["data"] for r in got] == [[0, 1, 2], [3, 4, 5], [6, 0, 0], [0, 0, 0]] and [r["underrun"] for r in got] == [0, 0, 2, 3]
     assert got[0]["wide"] == [0, 0, 1, 1, 2, 2]
     assert [r["underrun"] for r in W.rendered(s, 4).orderBy("seq").collect()] == [0, 1]
+
+
+def test_long_dc_block_beyond_its_sql(spark, tmp_path):
+    """From 141,602 on the SQL's growing weights pass the largest double; the query goes on as the recursion does."""
+    n = 150_000
+    spark.range(n).selectExpr("id AS event_id", "CAST(id * 7919 % 397 AS DOUBLE) AS value").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["long_dc_block"](spark, str(tmp_path)).toPandas().sort_values("pos")
+    want, before, y = [], 0.0, 0.0
+    for i in range(n):
+        x = i * 7919 % 397 / 397.0
+        y, before = x - before + 0.995 * y, x
+        want.append(y)
+    assert list(got["pos"]) == list(range(n)) and (got["y"] - want).abs().max() < 5.1e-7
