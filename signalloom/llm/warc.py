@@ -47,6 +47,8 @@ from .common import bound_batches, map_batches, release_memory, remove_folder, s
 from .skew import lookup
 
 FILE_BYTES = 32 << 20
+#: Of the files' gzip: on pages a fifth of the usual level's time for an eighth more bytes.
+LEVEL = "BEST_SPEED"
 LEAST = 1000
 RANK = "X-Page-Id"
 NO_URL = "urn:none"
@@ -183,7 +185,7 @@ CONTENT = fields_of(content=T.BinaryType())
 def write_files(rows: DataFrame, path: str, end: str) -> None:
     """A gzip file for each row's bytes, which `end` closes; the text writer takes bytes as they are."""
     files = rows.select(F.col("content").cast("string").alias("value"))
-    files.write.option("lineSep", end).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    files.write.option("lineSep", end).option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", LEVEL).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

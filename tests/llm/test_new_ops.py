@@ -108,6 +108,15 @@ def test_copies_become_revisits(spark, tmp_path, monkeypatch):
     assert len(files) > 4 and set(heads) == {b"1", b"2"}
 
 
+def test_files_are_packed_at_their_level(spark, tmp_path):
+    r = random.Random(5)
+    text = " ".join(r.choice(["archive", "record", "payload", "digest", "revisit"]) + str(r.randrange(999)) for _ in range(40_000)).encode()
+    warc.write_files(spark.createDataFrame([(bytearray(text),)], warc.CONTENT), f"{tmp_path}/x", "\n")
+    packed = next(p for p in (tmp_path / "x").iterdir() if p.name.endswith(".gz")).read_bytes()
+    fast, usual = len(gzip.compress(text, 1)), len(gzip.compress(text, 6))
+    assert gzip.decompress(packed) == text + b"\n" and abs(len(packed) - fast) < abs(len(packed) - usual)
+
+
 def test_archive_edges(spark, tmp_path):
     twice = [(7, "a", "z" * 2000)] * 3
     got = archived(spark, twice, tmp_path / "a").collect()
