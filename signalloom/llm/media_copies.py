@@ -7,7 +7,8 @@ parts; an equal part is a vote for the turn and the step of scale between its tw
 votes (`needed`) that agree within a window of turns and steps is a candidate: images are dealt into blocks of about
 BLOCK, and each pair of blocks is one task, which holds their descriptors. It first pairs each image with the smallest
 one of every part's bucket; then all pairs with enough votes that the links so far leave in different components, so
-only these are enumerated. Candidates are verified: corners are matched by Hamming distance, and a similarity (shift,
+only these are enumerated. A task of two blocks leaves the pairs inside each to the block's own task, but for leaders of
+crowds, whose links spare it pairs across. Candidates are verified: corners are matched by Hamming distance, and a similarity (shift,
 turn, scale) must hold for MIN_INLIERS of the matches and MIN_PART of them. Only links that join two components leave
 the task, fewer than its images; they are united into classes.
 
@@ -44,8 +45,10 @@ VOTES, CHANCE, COPY = 4, 16_384, 32
 #: Turns that agree: a window of WINDOW, one begins at every half of it. Steps of scale agree with one neighbour.
 WINDOW, STEPS = 6, 64
 NEAR_BITS, MIN_INLIERS, MIN_PART, REACH = 36, 6, 0.5, 2.5
-#: Images a block, votes that a task counts together, and cells of their first count.
-BLOCK, CHUNK, CELLS = 10_240, 1_000_000, 1 << 21
+#: Images a block, votes that a task counts together, and cells of their first count, few enough for a processor's cache.
+BLOCK, CHUNK, CELLS = 10_240, 1 << 17, 1 << 19
+#: An odd number that spreads pairs over cells; images of its own block that a leader must have for a pair of blocks to verify them.
+SPREAD, CROWD = 0x9E3779B97F4A7, 16
 SEED = 97
 QUERY_EVERY = 20
 FEATURES = T.StructType([T.StructField("n_corners", T.IntegerType()), T.StructField("data", T.BinaryType())])
@@ -188,8 +191,8 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.float32, 4 * n).reshape(n, 4), np.frombuffer(data, np.uint8, offset=16 * n).reshape(n, -1)
 
 
-#: Bounds of one comparison: distances made together, and similarities that are tried.
-TOGETHER, SIMILARITIES = 1 << 22, 2048
+#: Bounds of one comparison: distances made together, similarities that are tried, and those that are tried first.
+TOGETHER, SIMILARITIES, FIRST = 1 << 22, 2048, 64
 
 
 def nearest_bits(da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,7 +203,7 @@ def nearest_bits(da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray
     back, low = np.zeros(len(b), np.int64), np.full(len(b), 1 << 30)
     step = max(1, TOGETHER // len(b))
     for at in range(0, len(a), step):
-        d = np.bitwise_count(a[at : at + step, None] ^ b[None]).sum(2, dtype=np.int32)
+        d = sum(np.bitwise_count(x[:, None] ^ y[None]).astype(np.int16) for x, y in zip(a[at : at + step].T, b.T))
         j[at : at + step] = best = d.argmin(1)
         bits[at : at + step] = d[np.arange(len(d)), best]
         up = d.argmin(0)
@@ -210,8 +213,8 @@ def nearest_bits(da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return j, bits, back
 
 
-def inliers(a: bytes, b: bytes) -> tuple[int, int]:
-    """How many matched corners agree on one similarity, and how many matches there are.
+def inliers(a: bytes, b: bytes, decide: bool = False) -> tuple[int, int]:
+    """How many matched corners agree on one similarity, and how many matches there are; to decide, as soon as they are a copy's.
 
     Two matches make a similarity. All pairs of matches are tried where they are SIMILARITIES at most, otherwise so many,
     drawn alike each time: of a true copy's matches more than MIN_PART are right, so about one pair in four or more is.
@@ -241,16 +244,20 @@ def inliers(a: bytes, b: bytes) -> tuple[int, int]:
         return 1, n
     if n * (n - 1) // 2 > 16 * SIMILARITIES:
         u, turn = u[:SIMILARITIES], turn[:SIMILARITIES]
-    best, step = 0, max(1, TOGETHER // n)
-    for at in range(0, len(u), step):
+    best, at, step = 0, 0, min(FIRST, max(1, TOGETHER // n)) if decide else max(1, TOGETHER // n)
+    while at < len(u) and not (decide and enough_agree(best, n)):
         t, w = turn[at : at + step, None], u[at : at + step]
         best = max(best, int((np.abs(t * (p - p[w][:, None]) + q[w][:, None] - q) <= REACH).sum(1).max()))
+        at, step = at + step, max(1, TOGETHER // n)
     return best, n
 
 
+def enough_agree(good: int, matched: int) -> bool:
+    return good >= MIN_INLIERS and good >= MIN_PART * matched
+
+
 def is_copy(a: bytes, b: bytes) -> bool:
-    good, matched = inliers(a, b)
-    return a == b or good >= MIN_INLIERS and good >= MIN_PART * matched
+    return a == b or enough_agree(*inliers(a, b, decide=True))
 
 
 def _sorted(keys: np.ndarray, at: np.ndarray, pose: np.ndarray, images: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,7 +282,7 @@ def _parts(data: list[bytes]) -> list[np.ndarray]:
     """Image number, part and pose of every part that several images or poses have, by part and then image."""
     read = [_unpack(x) for x in data]
     keys = part_keys(np.concatenate([bits for _, bits in read]))
-    pose = np.concatenate([poses(place) for place, _ in read])
+    pose = poses(np.concatenate([place for place, _ in read]))
     at = np.repeat(np.arange(len(data), dtype=np.int32), [len(bits) for _, bits in read])
     out = []
     for t in range(TABLES):  # the table is a part's highest bits
@@ -300,23 +307,38 @@ def _starts(new: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
+def _stable(x: np.ndarray) -> np.ndarray:
+    """The stable order of small numbers, sorted as one number with their places."""
+    k = x.astype(np.int64) << 32
+    k |= np.arange(len(x))
+    k.sort()
+    k &= 0xFFFFFFFF
+    return k.astype(np.int32)
+
+
 def _changed(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
 
 
+def crowded(cell: np.ndarray) -> np.ndarray:
+    """The places whose cell at least VOTES of them have; equal things have one cell, so none with VOTES is left out."""
+    cell = cell & (CELLS - 1)
+    return np.flatnonzero((np.bincount(cell, minlength=CELLS) >= VOTES)[cell])
+
+
 def agreeing(pairs: np.ndarray, keys: np.ndarray, pose_a: np.ndarray, pose_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each pair once and the most of its distinct equal parts that agree on a turn and a step of scale, most first.
 
     One row is one equal part of a pair. Only pairs with VOTES of them at least are given.
     """
-    cell = pairs & (CELLS - 1)
-    some = np.bincount(cell, minlength=CELLS)[cell] >= VOTES  # no fewer than the pair's own
-    pairs, keys, pose_a, pose_b = pairs[some], keys[some], pose_a[some].astype(np.int64), pose_b[some].astype(np.int64)
+    pose_a, pose_b = pose_a.astype(np.int64), pose_b.astype(np.int64)
     half, spans = WINDOW // 2, TURNS * 2 // WINDOW
     turn = (pose_a % TURNS - pose_b % TURNS) % TURNS // half
     step = pose_a // TURNS - pose_b // TURNS + STEPS
     bins = np.concatenate([(turn - t) % spans * (2 * STEPS) + step - z for t in (0, 1) for z in (0, 1)])
     pairs, keys = np.tile(pairs, 4), np.tile(keys, 4)
+    some = crowded((pairs * SPREAD ^ bins * (SPREAD >> 20)) >> 20)
+    pairs, keys, bins = pairs[some], keys[some], bins[some]
     order = np.lexsort((keys, bins, pairs))
     pairs, keys, bins = pairs[order], keys[order], bins[order]
     bin_ = _changed(pairs) | _changed(bins)
@@ -331,44 +353,76 @@ def agreeing(pairs: np.ndarray, keys: np.ndarray, pose_a: np.ndarray, pose_b: np
     return pairs[order], votes[order]
 
 
+def _voting(image: np.ndarray, by: np.ndarray, first: np.ndarray, n: np.ndarray, at: np.ndarray, keys: np.ndarray, pose: np.ndarray, width: int):
+    """Pairs (image * width + other image) and their votes, where row i is image[i], by its part by[i], beside the n[i] parts from first[i] on.
+
+    Rows of an image are consecutive, and counted in one chunk. What is kept of a vote is looked up for crowded cells only.
+    """
+    if not len(image):
+        return
+    cut = np.flatnonzero(_changed(image))
+    group = np.flatnonzero(_changed(np.add.reduceat(n, cut, dtype=np.int64).cumsum() // CHUNK))
+    base = (image.astype(np.int64) * width & (CELLS - 1)).astype(np.int32)
+    for x, z in zip(cut[group], np.append(cut[group[1:]], len(image))):
+        end = np.cumsum(n[x:z], dtype=np.int64)
+        to = np.arange(end[-1], dtype=np.int32) + np.repeat((first[x:z] - (end - n[x:z])).astype(np.int32), n[x:z])
+        some = crowded(np.repeat(base[x:z], n[x:z]) + at[to])
+        if len(some):
+            row, to = x + np.searchsorted(end, some, "right"), to[some]
+            yield agreeing(image[row].astype(np.int64) * width + at[to], keys[by[row]], pose[by[row]], pose[to])
+
+
 def _voted(parts: list[np.ndarray], comp: np.ndarray, side: np.ndarray | None, corners: np.ndarray):
-    """All pairs (a, b) of images of different components with the votes they need, most votes first in each chunk. parts is emptied."""
+    """All pairs (a, b) of images of different components, with sides of different ones too, with the votes they need, most
+    votes first in each chunk. parts is emptied.
+
+    Images are ranked by side, then by component. In a bucket an image meets what stands before it: with sides the ones of
+    the first side, but for its component's; without them what is before its component.
+    """
     at, keys, pose = parts
     parts.clear()
     size = np.bincount(comp, minlength=len(comp))[comp]
-    order = np.lexsort((comp, -size))  # the largest component enumerates nothing
+    order = np.lexsort((comp, -size) if side is None else (comp, -size, side))  # without sides the largest component enumerates nothing
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     comp = comp[order]
+    then = None if side is None else side[order] != side[order[0]]  # of the second side
+    if then is not None:
+        both = np.isin(comp, comp[then]) & np.isin(comp, comp[~then])
+        number = np.unique(np.stack([-size[order], comp]), axis=1, return_inverse=True)[1].ravel()  # components as they are ranked
     width = 8 * (BITS // 8 // TABLES)
-    tables, done, out = np.searchsorted(keys, np.arange(TABLES + 1) << width), 0, []
+    tables, done, out, met = np.searchsorted(keys, np.arange(TABLES + 1) << width), 0, [], []
     for x, z in zip(tables[:-1], tables[1:]):
         a, k, p = _sorted(keys[x:z], rank[at[x:z]], pose[x:z], len(order))
         bucket = _changed(k)
         first = _starts(bucket)
-        n = _starts(bucket | _changed(comp[a])) - first  # of other components, before its own in the bucket
-        out.append((a, k, p, (first + done).astype(np.int32), n.astype(np.int32)))
+        if then is None:
+            end = _starts(bucket | _changed(comp[a]))
+            spans = [(np.arange(len(a)), first, end)]
+        else:
+            late = then[a]
+            mid = first + np.add.reduceat(~late, np.flatnonzero(bucket), dtype=np.int64)[np.cumsum(bucket) - 1] if len(a) else first
+            one, two = np.flatnonzero(late & ~both[a]), np.flatnonzero(late & both[a])
+            early = np.flatnonzero(~late)
+            code = lambda i: k[i].astype(np.int64) << 32 | number[a[i]]
+            have, mine = code(early), code(two)
+            own = [first[two] + np.searchsorted(have, mine, s) - np.searchsorted(have, mine >> 32 << 32) for s in ("left", "right")]
+            spans = [(one, first[one], mid[one]), (two, first[two], own[0]), (two, own[1], mid[two])]
+        for i, start, end in spans:
+            some = np.flatnonzero(end > start)
+            i, start, end = i[some], start[some], end[some]
+            met.append((a[i], (i + done).astype(np.int32), (start + done).astype(np.int32), (end - start).astype(np.int32)))
+        out.append((a, k, p))
         done += len(a)
     del a, k, p, bucket
-    at, keys, pose, first, n = _joined(out)
-    mine = np.flatnonzero(n)
-    mine = mine[np.argsort(at[mine], kind="stable")].astype(np.int32)
-    image, first, n = at[mine], first[mine], n[mine]
-    cut = np.flatnonzero(_changed(image))
-    last = np.add.reduceat(n, cut, dtype=np.int64).cumsum() if len(cut) else cut
-    group = np.flatnonzero(_changed(last // CHUNK))
-    for x, z in zip(cut[group], np.append(cut[group[1:]], len(image))):
-        k = n[x:z].astype(np.int64)
-        to = np.repeat(first[x:z] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-        by = np.repeat(mine[x:z], k)
-        pairs, votes = agreeing(np.repeat(image[x:z].astype(np.int64), k) * len(order) + at[to], keys[by], pose[by], pose[to])
+    at, keys, pose = _joined(out)
+    image, by, first, n = _joined(met)
+    mine = _stable(image)
+    for pairs, votes in _voting(image[mine], by[mine], first[mine], n[mine], at, keys, pose, len(order)):
         a, b = order[pairs // len(order)], order[pairs % len(order)]
         enough = votes >= needed(corners[a], corners[b])
         a, b = a[enough], b[enough]
-        if side is not None:
-            across = side[a] != side[b]
-            a, b = a[across], b[across]
-        yield from zip(a.tolist(), b.tolist())
+        yield from zip(a.tolist(), b.tolist()) if side is None else zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist())
 
 
 def _led(at: np.ndarray, keys: np.ndarray, pose: np.ndarray, corners: np.ndarray):
@@ -378,21 +432,17 @@ def _led(at: np.ndarray, keys: np.ndarray, pose: np.ndarray, corners: np.ndarray
     leads = at == at[bucket]
     poses_led = np.add.reduceat(leads, new, dtype=np.int32) if len(new) else new
     count = np.repeat(poses_led, np.diff(np.append(new, len(keys))))  # poses of the leader, at its bucket's start
-    count[leads] = 0
-    total, n = np.bincount(at, count, len(corners)).cumsum() if len(at) else np.zeros(len(corners)), len(corners)
-    cuts = np.flatnonzero(_changed(total // CHUNK))
-    for low, high in zip(cuts, np.append(cuts[1:], n)):
-        by = np.flatnonzero((at >= low) & (at < high) & (count > 0))
-        k = count[by].astype(np.int64)
-        to = np.repeat(bucket[by] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-        by = np.repeat(by, k)
-        pairs, votes = agreeing(at[to].astype(np.int64) * n + at[by], keys[by], pose[to], pose[by])
-        enough = votes >= needed(corners[pairs // n], corners[pairs % n])
-        yield from (divmod(p, n) for p in pairs[enough].tolist())
+    by = np.flatnonzero(~leads)
+    by = by[_stable(at[by])]
+    for pairs, votes in _voting(at[by], by, bucket[by], count[by], at, keys, pose, len(corners)):
+        b, a = np.divmod(pairs, len(corners))
+        enough = votes >= needed(corners[a], corners[b])
+        yield a[enough], b[enough]
 
 
 def joining_links(ids: np.ndarray, data: list[bytes], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join components, of all pairs with the votes they need; with sides, of those across them at least."""
+    """Links that join components, of all pairs with the votes they need; with sides, of those across them, and inside one
+    of leaders with more than CROWD images there."""
     order = np.argsort(ids, kind="stable")
     ids, data, side = ids[order], [data[i] for i in order], None if side is None else side[order]
     parts = _parts(data)
@@ -410,8 +460,13 @@ def joining_links(ids: np.ndarray, data: list[bytes], side: np.ndarray | None =
             parent[max(x, y)] = min(x, y)
             out.append((int(ids[a]), int(ids[b])))
 
-    for a, b in _led(*parts, corners):
-        meet(a, b)
+    a, b = (np.concatenate(x) for x in zip((np.zeros(0, int),) * 2, *_led(*parts, corners)))
+    if side is not None:  # a block's own links are another task's; here they only save a crowd's pairs
+        same = side[a] == side[b]
+        some = ~same | (np.bincount(a[same], minlength=len(ids))[a] > CROWD)
+        a, b = a[some], b[some]
+    for x, y in zip(a.tolist(), b.tolist()):
+        meet(x, y)
     comp = np.array([root(i) for i in range(len(ids))], np.int64)
     for a, b in _voted(parts, comp, side, corners):
         meet(a, b)

@@ -295,6 +295,35 @@ def test_media_votes_equal_brute_force(spark, data, monkeypatch):
         assert got == {i: least[want[k]] for k, i in enumerate(ids)}
 
 
+def test_blocks_meet_across_only(monkeypatch):
+    """Of a pair of blocks only pairs across it are counted and verified, crowds aside; classes are those of all images at once."""
+    grey = lambda x: media_copies.grey_bytes(np.clip(x, 0, 255))
+    fields, rng = media_copies.fields(64).reshape(64, 64, 64) * 40 + 128, np.random.default_rng(3)
+    images = [grey(f[i:, j:]) for f in fields[:20] for i, j in ((0, 0), (5, 2))] + [grey(fields[40] + rng.normal(0, 2, (64, 64))) for _ in range(60)]
+    data, ids = media_copies.features_of(images)["data"].to_pylist(), np.arange(len(images))
+    counted, verified, agreeing, is_copy = [], [], media_copies.agreeing, media_copies.is_copy
+
+    def counting(pairs, *more):
+        counted.append(len(pairs))
+        return agreeing(pairs, *more)
+
+    def verifying(a, b):
+        verified.append((data.index(a), data.index(b)))
+        return is_copy(a, b)
+
+    monkeypatch.setattr(media_copies, "agreeing", counting)
+    monkeypatch.setattr(media_copies, "is_copy", verifying)
+    for side in (ids % 2, ids // 2 % 2, (ids > 70).astype(int), np.zeros(len(ids), int)):
+        verified.clear()
+        links = media_copies.joining_links(ids, data, side)
+        assert all(side[a] != side[b] or min(a, b) >= 40 for a, b in verified)
+        for s in set(side.tolist()):
+            links += [(int(ids[side == s][a]), int(ids[side == s][b])) for a, b in media_copies.joining_links(np.arange((side == s).sum()), [d for d, x in zip(data, side) if x == s])]
+        assert roots(len(ids), links) == [i // 2 * 2 if i < 40 else 40 for i in ids]
+    counted.clear()
+    assert not [x for x in media_copies._voted(media_copies._parts(data), ids, np.zeros(len(ids), int), np.array([len(d) // media_copies.CORNER for d in data]))] and not counted
+
+
 def picture(n, seed):
     f = np.fft.fft2(np.random.default_rng(seed).standard_normal((n, n)))
     k = np.hypot(np.fft.fftfreq(n)[:, None], np.fft.fftfreq(n)[None])
